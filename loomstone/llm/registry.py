@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op02_language, op04_packing, op08_mixing
+from . import op01_imatch, op02_language, op03_warc, op04_packing, op08_mixing
 
 QUERIES = {
+    "op1_imatch": op01_imatch.query,
     "op2_language_id": op02_language.query,
+    "op3_warc": op03_warc.query,
     "op4_packing": op04_packing.query,
     "op8_mixing": op08_mixing.query,
 }
