@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .scratch import read_table
 from .textnum import U64, buffers, chunks, mix, words
 
-LOW, HIGH, LEXICON, SUBSETS, CHARS, LEVELS = 0.0001, 0.25, 200_000, 96, 10, 20
+LOW, HIGH, LEXICON, SUBSETS, CHARS, LEVELS = 0.0001, 0.25, 200_000, 96, 5, 20
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = True
 _TERM[128:] = True

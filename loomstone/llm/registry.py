@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import op01_imatch, op02_language, op03_warc, op04_packing, op08_mixing
+from . import op01_imatch, op02_language, op03_warc, op04_packing, op05_lines, op08_mixing, op10_jaccard
 
 QUERIES = {
     "op1_imatch": op01_imatch.query,
     "op2_language_id": op02_language.query,
     "op3_warc": op03_warc.query,
     "op4_packing": op04_packing.query,
+    "op5_line_dedup": op05_lines.query,
     "op8_mixing": op08_mixing.query,
+    "op10_jaccard": op10_jaccard.query,
 }
 
-SQL = {"op8_mixing": op08_mixing.SQL}
+SQL = {"op5_line_dedup": op05_lines.SQL, "op8_mixing": op08_mixing.SQL}
