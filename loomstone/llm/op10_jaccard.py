@@ -3,11 +3,13 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Documents of one set are one class. Two classes
 link when 100 * |intersection| >= 75 * |union|.
 
-1. Groups. Classes that share one of MINHASHES least permuted hashes are compared with the least class of that bucket,
-   a number of pairs linear in the classes; verified pairs make the first groups (connected classes).
+1. Groups. Classes that share two of MINHASHES least permuted hashes with the least class of those buckets are
+   compared with it, a number of pairs linear in the classes; verified pairs make the first groups (connected
+   classes). A link that this misses is found in step 3.
 2. Token-group matrix. Tokens have one global order: those seen often last, the others by hash. If two sets link, the
-   first |Q| - ceil(3/4 |Q|) + 1 tokens of either hold a common token, so a group qualifies for a query group only if
-   their unions of such tokens meet and their sizes can link. The matrix holds one row for each token and group,
+   first |Q| - ceil(3/4 |Q|) + 1 tokens of either hold a common token, and of sizes s <= l at least
+   ceil(3/7 (s + l)) + 1 - ceil(3/4 l) common ones. So a group qualifies for a query group only if the unions of such
+   tokens have that many in common and the sizes can link. The matrix holds one row for each token and group,
    unions being formed before the shuffle; its rows are sorted by token and runs of a token give pairs of groups.
 3. Opening. Classes of qualifying groups that fit in size are verified on their whole sets; new links merge groups.
    Classes of one group are never compared again, so a group of n copies costs n rows, not n * n.
@@ -180,7 +182,7 @@ def matrix(prefixes: DataFrame) -> DataFrame:
 
 
 def qualifying(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of groups with a common token in the matrix and sizes that can link."""
+    """Pairs (a, b), a < b, of groups whose sizes can link and whose unions have as many common tokens as a link needs."""
 
     def pairs_of(run: np.ndarray) -> Iterator[np.ndarray]:
         """run: rows (g, low, high) of one token, sorted by g."""
@@ -191,16 +193,22 @@ def qualifying(rows: DataFrame) -> DataFrame:
             fit = (DEN * high[i + 1 :] >= NUM * low[i]) & (DEN * high[i] >= NUM * low[i + 1 :])
             if fit.any():
                 other = g[i + 1 :][fit]
-                yield np.stack((np.full(len(other), g[i]), other), 1)
+                l, h = np.minimum(low[i], low[i + 1 :][fit]), np.maximum(high[i], high[i + 1 :][fit])
+                yield np.stack((np.full(len(other), g[i]), other, np.ones(len(other), np.int64), l, h), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.zeros((0, 4), np.int64)
         held: list[np.ndarray] = []
         size = 0
 
-        def out() -> pa.RecordBatch:
-            x = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
-            return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+        def summed() -> np.ndarray:
+            x = np.concatenate(held)
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            first = np.flatnonzero(np.concatenate(([True], (x[1:, :2] != x[:-1, :2]).any(1))))
+            return np.column_stack((x[first, :2], np.add.reduceat(x[:, 2], first), np.minimum.reduceat(x[:, 3], first), np.maximum.reduceat(x[:, 4], first)))
+
+        def out(x: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x[:, k]) for k in range(5)], ["a", "b", "c", "low", "high"])
 
         def take(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
@@ -217,10 +225,10 @@ def qualifying(rows: DataFrame) -> DataFrame:
                     held.append(p)
                     size += len(p)
                     if size > 500_000:
-                        x = out()
-                        held, size = [np.stack((x.column(0).to_numpy(), x.column(1).to_numpy()), 1)], x.num_rows
+                        held = [summed()]
+                        size = len(held[0])
                         if size > 250_000:
-                            yield x
+                            yield out(held[0])
                             held, size = [], 0
 
         for b in batches:
@@ -231,10 +239,13 @@ def qualifying(rows: DataFrame) -> DataFrame:
             yield from take(block[:cut])
         yield from take(left)
         if held:
-            yield out()
+            yield out(summed())
 
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "token").sortWithinPartitions("token", "g").mapInArrow(run, "a long, b long").distinct()
+    found = rows.repartition(n, "token").sortWithinPartitions("token", "g").mapInArrow(run, "a long, b long, c long, low long, high long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    least = F.greatest("low", F.ceil(F.col("high") * NUM / DEN))
+    need = F.ceil((least + F.col("high")) * NUM / (NUM + DEN)) + 1 - F.ceil(F.col("high") * NUM / DEN)
+    return found.filter(F.col("c") >= F.greatest(F.lit(1), need)).select("a", "b")
 
 
 def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -250,7 +261,7 @@ def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> D
     mine = scratch.keep(rows.filter("n > 0").join(same.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("node"), "n", "least", "prefix"), "mine")
     buckets = mine.select("node", "n", F.posexplode("least").alias("i", "h"))
     leaders = buckets.groupBy("i", "h").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("i", "h", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
-    near = buckets.join(leaders, ["i", "h"]).filter((F.col("node") != F.col("a")) & _can_link("n", "na")).select("a", F.col("node").alias("b")).distinct()
+    near = buckets.join(leaders, ["i", "h"]).filter((F.col("node") != F.col("a")) & _can_link("n", "na")).groupBy("a", F.col("node").alias("b")).count().filter(F.col("count") >= 2).select("a", "b")
     near = scratch.keep(near, "near")
     links = scratch.keep(verified(near, docs, scratch, k).union(ties), "links")
     labels = components(links, scratch)
