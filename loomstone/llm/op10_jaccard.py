@@ -3,15 +3,17 @@
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Documents of one set are one class. Two classes
 link when 100 * |intersection| >= 75 * |union|.
 
-1. Groups. Classes that share two of MINHASHES least permuted hashes with the least class of those buckets are
-   compared with it, a number of pairs linear in the classes; verified pairs make the first groups (connected
+1. Groups. Classes that share a pair of least permuted hashes are compared with the first and the last class of that
+   bucket, a number of pairs linear in the classes; verified pairs make the first groups (connected
    classes). A link that this misses is found in step 3.
 2. Token-group matrix. Tokens have one global order: those seen often last, the others by hash. If two sets link, the
    first |Q| - ceil(3/4 |Q|) + 1 tokens of either hold a common token, and of sizes s <= l at least
    ceil(3/7 (s + l)) + 1 - ceil(3/4 l) common ones. So a group qualifies for a query group only if the unions of such
    tokens have that many in common and the sizes can link. The matrix holds one row for each token and group,
    unions being formed before the shuffle; its rows are sorted by token and runs of a token give pairs of groups.
-3. Opening. Classes of qualifying groups that fit in size are verified on their whole sets; new links merge groups.
+3. Opening. Jaccard distance is a metric: a member x of a group with centre a and a member y of one with centre b are
+   no nearer than d(a, b) - d(a, x) - d(b, y). Members that can be near enough and fit in size are verified on their
+   whole sets; new links merge groups.
    Classes of one group are never compared again, so a group of n copies costs n rows, not n * n.
 
 The order needs no exact counts, only to be the same everywhere: a fixed bitmap of 2^HOT_BITS bits marks at most
@@ -36,7 +38,7 @@ from .components import components
 from .scratch import Scratch, read_table
 from .textnum import U64, buffers, chunks, mix, shingle_sets
 
-WORDS, NUM, DEN, MINHASHES, HOT_BITS, HOT_MOST, HOT_LEAST = 5, 75, 100, 6, 23, 1 << 17, 24
+WORDS, NUM, DEN, MINHASHES, HOT_BITS, HOT_MOST, HOT_LEAST, BLOCK, BAND = 5, 75, 100, 16, 23, 1 << 19, 16, 5_000_000, 1.02
 _SEEDS = mix(np.arange(1, MINHASHES + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
 
 
@@ -68,7 +70,7 @@ def hot_bitmap(docs: DataFrame, k: int = WORDS) -> np.ndarray:
 
         def counted() -> pa.RecordBatch:
             t, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            often = n >= max(2, len(held) // 1000)
+            often = n >= 2
             return pa.record_batch([pa.array(t[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
 
         for b in batches:
@@ -77,7 +79,7 @@ def hot_bitmap(docs: DataFrame, k: int = WORDS) -> np.ndarray:
                     if key not in held:
                         held[key] = x
                         size += len(x)
-                if size > 3_000_000:
+                if size > BLOCK:
                     yield counted()
                     held, size = {}, 0
         if held:
@@ -105,7 +107,8 @@ def described(docs: DataFrame, bitmap: np.ndarray, k: int = WORDS) -> DataFrame:
                 k1, k2 = _keys(sets)
                 least, heads = [], []
                 for x in sets:
-                    least.append(mix(x[None, :] ^ _SEEDS[:, None]).min(1) if len(x) else np.zeros(0, U64))
+                    h = mix(x[None, :] ^ _SEEDS[:, None]).min(1) if len(x) else np.zeros(0, U64)
+                    least.append(mix(h[::2] * U64(0x9FB21C651E98DF25) + h[1::2]))
                     last = hot[(x >> U64(64 - HOT_BITS)).astype(np.int64)]
                     p = prefix_length(len(x))
                     head = x[~last][:p] if last.any() else x[:p]
@@ -143,15 +146,19 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = WORDS) -> DataFrame:
     return found.join(wanted, "node", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int = WORDS) -> DataFrame:
-    """pairs(a, b) of nodes that link, on their whole sets."""
+def measured(pairs: DataFrame, docs: DataFrame, scratch: Scratch, k: int = WORDS) -> DataFrame:
+    """pairs(a, b) of nodes with the tokens common to their whole sets and those of either."""
     wanted = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     sets = scratch.keep(whole_sets(docs, wanted, k), "sets")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    x = x.withColumn("common", F.size(F.array_intersect("x", "y")))
-    links = scratch.keep(x.filter(DEN * F.col("common") >= NUM * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct(), "links")
+    x = x.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    out = scratch.keep(x.select("a", "b", "common", (F.col("total") - F.col("common")).alias("either")), "measured")
     scratch.drop(wanted, sets)
-    return links
+    return out
+
+
+def _links(found: DataFrame) -> DataFrame:
+    return found.filter(DEN * F.col("common") >= NUM * F.col("either")).select("a", "b").distinct()
 
 
 def _can_link(n: str, m: str) -> F.Column:
@@ -159,7 +166,7 @@ def _can_link(n: str, m: str) -> F.Column:
 
 
 def matrix(prefixes: DataFrame) -> DataFrame:
-    """(token, g, low, high) of prefixes(g, n, prefix): a group's tokens once a batch, with its least and largest set."""
+    """(token, g, band, low, high) of prefixes(g, n, prefix): the tokens of a group's sets of like size once a batch, with the least and largest of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,47 +175,48 @@ def matrix(prefixes: DataFrame) -> DataFrame:
             token = lists.flatten().to_numpy(zero_copy_only=False)
             g = np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)
             n = np.repeat(b.column(1).to_numpy(zero_copy_only=False), size)
-            order = np.lexsort((token, g))
-            token, g, n = token[order], g[order], n[order]
+            band = np.floor(np.log(n) / np.log(BAND)).astype(np.int64)
+            order = np.lexsort((token, band, g))
+            token, g, n, band = token[order], g[order], n[order], band[order]
             if not len(g):
                 continue
-            first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1]))))
+            first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1]) | (band[1:] != band[:-1]))))
             low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
             for s in range(0, len(first), 200_000):
                 f = first[s : s + 200_000]
-                yield pa.record_batch([pa.array(token[f]), pa.array(g[f]), pa.array(low[s : s + 200_000]), pa.array(high[s : s + 200_000])], ["token", "g", "low", "high"])
+                yield pa.record_batch([pa.array(token[f]), pa.array(g[f]), pa.array(band[f]), pa.array(low[s : s + 200_000]), pa.array(high[s : s + 200_000])], ["token", "g", "band", "low", "high"])
 
-    return prefixes.select("g", "n", "prefix").mapInArrow(run, "token long, g long, low long, high long")
+    return prefixes.select("g", "n", "prefix").mapInArrow(run, "token long, g long, band long, low long, high long")
 
 
 def qualifying(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of groups whose sizes can link and whose unions have as many common tokens as a link needs."""
+    """Pairs of parts (group, band of sizes) of different groups, whose sizes can link and whose unions have as many common tokens as a link needs."""
 
     def pairs_of(run: np.ndarray) -> Iterator[np.ndarray]:
-        """run: rows (g, low, high) of one token, sorted by g."""
-        first = np.flatnonzero(np.concatenate(([True], run[1:, 0] != run[:-1, 0])))
-        g = run[first, 0]
-        low, high = np.minimum.reduceat(run[:, 1], first), np.maximum.reduceat(run[:, 2], first)
+        """run: rows (g, band, low, high) of one token, sorted by g and band."""
+        first = np.flatnonzero(np.concatenate(([True], (run[1:, :2] != run[:-1, :2]).any(1))))
+        g, band = run[first, 0], run[first, 1]
+        low, high = np.minimum.reduceat(run[:, 2], first), np.maximum.reduceat(run[:, 3], first)
         for i in range(len(g) - 1):
-            fit = (DEN * high[i + 1 :] >= NUM * low[i]) & (DEN * high[i] >= NUM * low[i + 1 :])
+            fit = (DEN * high[i + 1 :] >= NUM * low[i]) & (DEN * high[i] >= NUM * low[i + 1 :]) & (g[i + 1 :] != g[i])
             if fit.any():
-                other = g[i + 1 :][fit]
-                l, h = np.minimum(low[i], low[i + 1 :][fit]), np.maximum(high[i], high[i + 1 :][fit])
-                yield np.stack((np.full(len(other), g[i]), other, np.ones(len(other), np.int64), l, h), 1)
+                k = i + 1 + np.flatnonzero(fit)
+                one = np.ones(len(k), np.int64)
+                yield np.stack((one * g[i], one * band[i], g[k], band[k], one, np.minimum(low[i], low[k]), np.maximum(high[i], high[k])), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((0, 4), np.int64)
+        left = np.zeros((0, 5), np.int64)
         held: list[np.ndarray] = []
         size = 0
 
         def summed() -> np.ndarray:
             x = np.concatenate(held)
-            x = x[np.lexsort((x[:, 1], x[:, 0]))]
-            first = np.flatnonzero(np.concatenate(([True], (x[1:, :2] != x[:-1, :2]).any(1))))
-            return np.column_stack((x[first, :2], np.add.reduceat(x[:, 2], first), np.minimum.reduceat(x[:, 3], first), np.maximum.reduceat(x[:, 4], first)))
+            x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
+            first = np.flatnonzero(np.concatenate(([True], (x[1:, :4] != x[:-1, :4]).any(1))))
+            return np.column_stack((x[first, :4], np.add.reduceat(x[:, 4], first), np.minimum.reduceat(x[:, 5], first), np.maximum.reduceat(x[:, 6], first)))
 
         def out(x: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x[:, k]) for k in range(5)], ["a", "b", "c", "low", "high"])
+            return pa.record_batch([pa.array(x[:, k]) for k in range(7)], ["a", "a_band", "b", "b_band", "c", "low", "high"])
 
         def take(block: np.ndarray) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
@@ -242,10 +250,10 @@ def qualifying(rows: DataFrame) -> DataFrame:
             yield out(summed())
 
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.repartition(n, "token").sortWithinPartitions("token", "g").mapInArrow(run, "a long, b long, c long, low long, high long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = rows.repartition(n, "token").sortWithinPartitions("token", "g", "band").mapInArrow(run, "a long, a_band long, b long, b_band long, c long, low long, high long").groupBy("a", "a_band", "b", "b_band").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
     least = F.greatest("low", F.ceil(F.col("high") * NUM / DEN))
     need = F.ceil((least + F.col("high")) * NUM / (NUM + DEN)) + 1 - F.ceil(F.col("high") * NUM / DEN)
-    return found.filter(F.col("c") >= F.greatest(F.lit(1), need)).select("a", "b")
+    return found.filter(F.col("c") >= F.greatest(F.lit(1), need)).select("a", "a_band", "b", "b_band")
 
 
 def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -260,17 +268,31 @@ def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> D
     ties = light.join(several, "doc_id", "left_semi").join(same, ["k1", "k2", "n"]).filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     mine = scratch.keep(rows.filter("n > 0").join(same.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("node"), "n", "least", "prefix"), "mine")
     buckets = mine.select("node", "n", F.posexplode("least").alias("i", "h"))
-    leaders = buckets.groupBy("i", "h").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("i", "h", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
-    near = buckets.join(leaders, ["i", "h"]).filter((F.col("node") != F.col("a")) & _can_link("n", "na")).groupBy("a", F.col("node").alias("b")).count().filter(F.col("count") >= 2).select("a", "b")
+    ends = buckets.groupBy("i", "h").agg(F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    leaders = ends.select("i", "h", F.explode(F.array("first", "last")).alias("lead")).select("i", "h", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
+    near = buckets.join(leaders, ["i", "h"]).filter((F.col("node") != F.col("a")) & _can_link("n", "na")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     near = scratch.keep(near, "near")
-    links = scratch.keep(verified(near, docs, scratch, k).union(ties), "links")
+    links = scratch.keep(_links(measured(near, docs, scratch, k)).union(ties), "links")
     labels = components(links, scratch)
     grouped = mine.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("g"))
     pairs = scratch.keep(qualifying(matrix(grouped)), "pairs")
-    members = mine.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("g"))
-    opened = pairs.join(members.select(F.col("g").alias("a"), F.col("node").alias("x"), F.col("n").alias("nx")), "a").join(members.select(F.col("g").alias("b"), F.col("node").alias("y"), F.col("n").alias("ny")), "b")
+    band = F.floor(F.log("n") / float(np.log(BAND)))
+    members = scratch.keep(mine.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("g"), band.alias("band")), "members")
+    # how far a member is from its group's least node, and these nodes of two groups from each other
+    among = members.filter("g != node").select(F.col("g").alias("a"), F.col("node").alias("b"))
+    far = measured(among.union(pairs.select("a", "b")).distinct(), docs, scratch, k)
+    far = far.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("either")).alias("d"))
+    placed = members.join(far.select(F.col("a").alias("g"), F.col("b").alias("node"), F.col("d").alias("r")), ["g", "node"], "left").withColumn("r", F.when(F.col("g") == F.col("node"), 0.0).otherwise(F.coalesce("r", F.lit(1.0))))
+    placed = scratch.keep(placed, "placed")
+    reach = placed.groupBy("g", "band").agg(F.max("r").alias("r"))
+    p = pairs.join(far, ["a", "b"])
+    for side in "ab":
+        p = p.join(reach.select(F.col("g").alias(side), F.col("band").alias(f"{side}_band"), F.col("r").alias(f"{side}_r")), [side, f"{side}_band"])
+    within = lambda u, v: F.col("d") <= (1 - NUM / DEN) + F.col(u) + F.col(v) + 1e-9
+    sides = [placed.select(F.col("g").alias(s), F.col("band").alias(f"{s}_band"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}")) for s, x in (("a", "x"), ("b", "y"))]
+    opened = p.filter(within("a_r", "b_r")).join(sides[0], ["a", "a_band"]).filter(within("rx", "b_r")).join(sides[1], ["b", "b_band"]).filter(within("rx", "ry"))
     opened = scratch.keep(opened.filter(_can_link("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b")), "opened")
-    more = verified(opened, docs, scratch, k)
+    more = _links(measured(opened, docs, scratch, k))
     labels = components(scratch.keep(links.select("a", "b").union(more), "links"), scratch)
     of = scratch.keep(same.join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("label", "node").alias("component_id")), "of")
     out = rows.select("doc_id", F.col("n"), "k1", "k2").join(of, ["k1", "k2", "n"], "left")
