@@ -50,6 +50,9 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "All-rights-reserved": "All rights reserved",
