@@ -5,7 +5,8 @@ to two 64-bit numbers; of the windows of one hash, that of the least (doc_id, te
 later one covers its three positions. Covered positions are merged and their lines removed.
 
 Windows are counted by hash with partial sums before the shuffle, and only windows that repeat come back; a window
-that a third of all documents hold meets one row of its hash in a join that Spark can split.
+that a third of all documents hold meets one row of its hash in a join that Spark can split. Both joins are merge
+joins at every size, since what they join grows with the input.
 
 Defined cases: null text stays null; texts of fewer than three lines have no window and stay; a null doc_id sorts
 last; rows with equal doc_id and text are one place, so what one keeps all keep; a text that loses every line becomes
@@ -37,12 +38,12 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     scratch = Scratch(docs.sparkSession, "lines")
     held = scratch.keep(windows(docs, text, doc_id), "windows")
     again = held.groupBy("w_h1", "w_h2").agg(F.min(F.struct("w_id", "w_text", "w_pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = held.join(again, ["w_h1", "w_h2"]).filter(F.struct("w_id", "w_text", "w_pos") != F.col("first"))
+    later = held.join(again.hint("merge"), ["w_h1", "w_h2"]).filter(F.struct("w_id", "w_text", "w_pos") != F.col("first"))
     covered = later.groupBy("w_id", "w_text").agg(F.collect_set("w_pos").alias("w_at"))
     covered = covered.select("w_id", "w_text", F.array_distinct(F.flatten(F.transform("w_at", lambda p: F.sequence(p, p + SPAN - 1)))).alias("w_gone"))
     covered = scratch.keep(covered, "covered")
     x = docs.withColumn("w_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))).withColumn("w_own", F.xxhash64(F.col(text)))
-    x = x.join(covered, (x.w_key == covered.w_id) & (x.w_own == covered.w_text), "left").withColumn("w_lines", F.split(F.col(text), "\n", -1))
+    x = x.join(covered.hint("merge"), (x.w_key == covered.w_id) & (x.w_own == covered.w_text), "left").withColumn("w_lines", F.split(F.col(text), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("w_lines") - 1), "w_gone")
     new = F.when(F.col("w_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("w_lines")[i]), "\n"))
     count = F.when(F.col(text).isNull(), 0).otherwise(F.size("w_lines")).cast("long")
