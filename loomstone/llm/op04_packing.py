@@ -18,6 +18,7 @@ stand; an empty table gives no pieces; texts are tokenized whole, whatever their
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,68 +30,82 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, read_table
 from .textnum import buffers, chunks, words
 
-WINDOW, END_ID, SALTS, WORDS_KEPT = 4096, 2, 64, 400_000
+WINDOW, END_ID, SALTS, WORDS_KEPT = 4096, 2, 64, 3_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordTokens:
-    """Ids of words, tokenized once each; emptied when it holds more than WORDS_KEPT words."""
+    """Ids of words, tokenized once each, in a table addressed by their hashes; emptied when it holds WORDS_KEPT words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = WORDS_KEPT):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kept, self.mask = kept, (1 << max(4, int(2.5 * kept).bit_length())) - 1
         self.empty()
 
     def empty(self) -> None:
-        self.hashes, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.counts, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n, self.used = 0, 0
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.hashes, self.counts, self.first = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.ids = np.zeros(1 << 14, np.uint32 if self.tokenizer.get_vocab_size() > 65_535 else np.uint16)
+
+    def _grown(self, name: str, n: int) -> np.ndarray:
+        a = getattr(self, name)
+        if len(a) < n:
+            a = np.concatenate((a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)))
+            setattr(self, name, a)
+        return a
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > WORDS_KEPT:
-            self.empty()
-            return
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        at = len(self.ids) + np.cumsum(counts) - counts
-        where = len(self.counts) + np.arange(len(found))
-        self.counts, self.first = np.concatenate((self.counts, counts)), np.concatenate((self.first, at))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32)))
-        all_h, all_w = np.concatenate((self.hashes, hashes)), np.concatenate((self.where, where))
-        order = np.argsort(all_h, kind="stable")
-        self.hashes, self.where = all_h[order], all_w[order]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        return known, at
+        """Add distinct new words."""
+        for s in range(0, len(texts), 4096):
+            h = hashes[s : s + 4096]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[s : s + 4096], add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int32, len(found))
+            n, ids = self.n + len(h), np.fromiter((i for x in found for i in x), self.ids.dtype)
+            self._grown("hashes", n)[self.n : n] = h
+            self._grown("counts", n)[self.n : n] = counts
+            self._grown("first", n)[self.n : n] = self.used + np.cumsum(counts) - counts
+            self._grown("ids", self.used + len(ids))[self.used : self.used + len(ids)] = ids
+            left, step = np.arange(self.n, n, dtype=np.int32), 0
+            while len(left):
+                at = (self.hashes[left] + np.uint64(step) & np.uint64(self.mask)).astype(np.int64)
+                free = self.slots[at] < 0
+                self.slots[at[free]] = left[free]
+                left = left[self.slots[at] != left]
+                step += 1
+            self.n, self.used = n, self.used + len(ids)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number, -1 for words not seen."""
+        at = (hashes & np.uint64(self.mask)).astype(np.int64)
+        out = self.slots[at]
+        todo = np.flatnonzero((out >= 0) & (self.hashes[out] != hashes))
+        step = 1
+        while len(todo):
+            out[todo] = self.slots[(hashes[todo] + np.uint64(step) & np.uint64(self.mask)).astype(np.int64)]
+            todo = todo[(out[todo] >= 0) & (self.hashes[out[todo]] != hashes[todo])]
+            step += 1
+        return out
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids in one array, and rows+1 offsets."""
         h, start, end, at = words(data, offsets, lower=False)
         if not len(h):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        distinct, place, which = np.unique(h, return_index=True, return_inverse=True)
-        known, _ = self.find(distinct)
-        if not known.all():
-            raw = data.tobytes()
-            new = np.flatnonzero(~known)
-            for part in np.array_split(new, len(new) // (WORDS_KEPT // 4) + 1):
-                self.learn(distinct[part], [raw[start[i] : end[i]].decode() for i in place[part]])
-            known, _ = self.find(distinct)
-        if not known.all():  # the table was emptied: take this chunk's words alone
-            if len(distinct) > WORDS_KEPT:
-                half = (len(offsets) - 1) // 2
-                if half:
-                    (a, m), (b, n) = (self.of(data[: offsets[half]], offsets[: half + 1]), self.of(data[offsets[half] :], offsets[half:] - offsets[half]))
-                    return np.concatenate((a, b)), np.concatenate((m, n[1:] + m[-1]))
-                found = [np.array(self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids, np.uint32)]
-                return found[0], np.array([0, len(found[0])])
-            self.empty()
-            raw = data.tobytes()
+        where = self.find(h)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            distinct, place = np.unique(h[new], return_index=True)
+            if self.n and self.n + len(distinct) > self.kept:
+                self.empty()
+                distinct, place, new = *np.unique(h, return_index=True), np.arange(len(h))
+            place, raw = new[place], data.tobytes()
             self.learn(distinct, [raw[start[i] : end[i]].decode() for i in place])
-        where = self.where[self.find(distinct)[1]][which]
-        counts = self.counts[where]
+            where = self.find(h)
+        counts = self.counts[where].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(counts)))
         ids = self.ids[np.repeat(self.first[where] - ends[:-1], counts) + np.arange(ends[-1])]
         return ids, ends[at]
