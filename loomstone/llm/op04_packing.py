@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, read_table
 from .textnum import buffers, chunks, words
 
-WINDOW, END_ID, SALTS, WORDS_KEPT = 4096, 2, 64, 3_000_000
+WINDOW, END_ID, SALTS, WORDS_KEPT = 4096, 2, 16, 3_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -111,6 +111,10 @@ class WordTokens:
         return ids, ends[at]
 
 
+#: A worker process keeps its words from task to task.
+_TOKENS: dict[str, WordTokens] = {}
+
+
 def piece_rows(tokens: WordTokens, doc_ids: pa.Array, texts: pa.Array, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
     data, offsets = buffers(texts)
     for i, j in chunks(offsets):
@@ -134,7 +138,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """(doc_id, start, length, ids_crc32, doc_tokens) of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))
         for b in batches:
             yield from piece_rows(tokens, b.column(0).cast(pa.int64()), b.column(1), window, end_id)
 
