@@ -34,6 +34,22 @@ WINDOW, END_ID, SALTS, WORDS_KEPT = 4096, 2, 16, 3_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+_KINDS = np.ones(256, np.uint8)
+_KINDS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_KINDS[65:91] = _KINDS[97:123] = _KINDS[128:] = 2
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Hashed parts of texts whose ids stand for themselves: words, or, where the bytes show that the tokenizer splits there too, runs of letters (case folded) and of other signs.
+
+    It splits between letters and other signs, but for contractions; marks, signs beyond Latin-1 and special tokens are left to it. Last: whether words were split so."""
+    after = data[1:][data[:-1] == 0xC3]
+    if (data == 0x27).any() or (data >= 0xC4).any() or (data == 0xC2).any() or (after == 0x97).any() or (after == 0xB7).any() or ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
+        h, start, end, at = words(data, offsets, lower=False)
+        return h ^ np.uint64(0x5851F42D4C957F2D), start, end, at, False
+    return *words(data, offsets, lower=True, inner=_KINDS), True
+
+
 class WordTokens:
     """Ids of words, tokenized once each, in a table addressed by their hashes; emptied when it holds WORDS_KEPT words."""
 
@@ -42,6 +58,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.kept, self.mask = kept, (1 << max(4, int(2.5 * kept).bit_length())) - 1
         self.empty()
 
@@ -58,13 +77,22 @@ class WordTokens:
             setattr(self, name, a)
         return a
 
-    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        """Add distinct new words."""
+    def _tokenized(self, texts: list[str], runs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has. Of runs of letters each ends with its only id that ends a word, so they are tokenized as one text."""
+        if runs:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, self.ids.dtype)
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(texts) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0).astype(np.int32)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), self.ids.dtype), np.fromiter(map(len, found), np.int32, len(found))
+
+    def learn(self, hashes: np.ndarray, texts: list[str], runs: bool = False) -> None:
+        """Add distinct new words; runs: each is a run of letters."""
         for s in range(0, len(texts), 4096):
             h = hashes[s : s + 4096]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[s : s + 4096], add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int32, len(found))
-            n, ids = self.n + len(h), np.fromiter((i for x in found for i in x), self.ids.dtype)
+            ids, counts = self._tokenized(texts[s : s + 4096], runs)
+            n = self.n + len(h)
             self._grown("hashes", n)[self.n : n] = h
             self._grown("counts", n)[self.n : n] = counts
             self._grown("first", n)[self.n : n] = self.used + np.cumsum(counts) - counts
@@ -92,7 +120,7 @@ class WordTokens:
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids in one array, and rows+1 offsets."""
-        h, start, end, at = words(data, offsets, lower=False)
+        h, start, end, at, split = units(data, offsets)
         if not len(h):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         where = self.find(h)
@@ -103,7 +131,9 @@ class WordTokens:
                 self.empty()
                 distinct, place, new = *np.unique(h, return_index=True), np.arange(len(h))
             place, raw = new[place], data.tobytes()
-            self.learn(distinct, [raw[start[i] : end[i]].decode() for i in place])
+            letters = (_KINDS[data[start[place]]] == 2) & split
+            for some, runs in ((letters, True), (~letters, False)):
+                self.learn(distinct[some], [raw[start[i] : end[i]].decode() for i in place[some]], runs)
             where = self.find(h)
         counts = self.counts[where].astype(np.int64)
         ends = np.concatenate(([0], np.cumsum(counts)))

@@ -70,18 +70,18 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, start, end of each word, and rows+1 offsets into them. inner: bytes that belong to words, if other than no white space."""
+    """hash, start, end of each word, and rows+1 offsets into them. inner: bytes that belong to words, if other than no white space; or numbers of kinds of bytes, 0 for none, and a word is of one kind."""
     n = len(data)
     rows = len(offsets) - 1
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
-    word = ~_SPACE[data] if inner is None else inner[data]
+    kind = (~_SPACE if inner is None else inner)[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
-    first = word.copy()
-    first[1:] &= ~word[:-1] | edge[1:-1]
-    last = word.copy()
-    last[:-1] &= ~word[1:] | edge[1:-1]
+    turn = (kind[1:] != kind[:-1]) | edge[1:-1]
+    first, last = kind > 0, kind > 0
+    first[1:] &= turn
+    last[:-1] &= turn
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _power(n)
     total = np.zeros(n + 1, U64)
