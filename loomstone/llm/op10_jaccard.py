@@ -161,10 +161,15 @@ def _links(found: DataFrame) -> DataFrame:
     return found.filter(DEN * F.col("common") >= NUM * F.col("either")).select("a", "b").distinct()
 
 
-def _can_link(n: str, m: str) -> F.Column:
+def _can_link(n: str, m: str):
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
 
 
+def _needed(least, most):
+    """Common tokens among the first ones of two sets of these sizes, if they link."""
+    return F.greatest(F.lit(1), F.ceil((least + most) * NUM / (NUM + DEN)) + 1 - F.ceil(most * NUM / DEN))
+
+
 def matrix(prefixes: DataFrame) -> DataFrame:
     """(token, g, band, low, high) of prefixes(g, n, prefix): the tokens of a group's sets of like size once a batch, with the least and largest of these."""
 
@@ -251,9 +256,7 @@ def qualifying(rows: DataFrame) -> DataFrame:
 
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = rows.repartition(n, "token").sortWithinPartitions("token", "g", "band").mapInArrow(run, "a long, a_band long, b long, b_band long, c long, low long, high long").groupBy("a", "a_band", "b", "b_band").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-    least = F.greatest("low", F.ceil(F.col("high") * NUM / DEN))
-    need = F.ceil((least + F.col("high")) * NUM / (NUM + DEN)) + 1 - F.ceil(F.col("high") * NUM / DEN)
-    return found.filter(F.col("c") >= F.greatest(F.lit(1), need)).select("a", "a_band", "b", "b_band")
+    return found.filter(F.col("c") >= _needed(F.greatest("low", F.ceil(F.col("high") * NUM / DEN)), F.col("high"))).select("a", "a_band", "b", "b_band")
 
 
 def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> DataFrame:
@@ -289,9 +292,13 @@ def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> D
     for side in "ab":
         p = p.join(reach.select(F.col("g").alias(side), F.col("band").alias(f"{side}_band"), F.col("r").alias(f"{side}_r")), [side, f"{side}_band"])
     within = lambda u, v: F.col("d") <= (1 - NUM / DEN) + F.col(u) + F.col(v) + 1e-9
-    sides = [placed.select(F.col("g").alias(s), F.col("band").alias(f"{s}_band"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}")) for s, x in (("a", "x"), ("b", "y"))]
-    opened = p.filter(within("a_r", "b_r")).join(sides[0], ["a", "a_band"]).filter(within("rx", "b_r")).join(sides[1], ["b", "b_band"]).filter(within("rx", "ry"))
-    opened = scratch.keep(opened.filter(_can_link("nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b")), "opened")
+    p = scratch.keep(p.filter(within("a_r", "b_r")), "reachable")
+    parts = p.select(F.col("a").alias("g"), F.col("a_band").alias("band")).union(p.select("b", "b_band")).distinct()
+    some = scratch.keep(placed.join(parts, ["g", "band"], "left_semi").join(mine.select("node", "prefix").hint("merge"), "node"), "some")
+    sides = [some.select(F.col("g").alias(s), F.col("band").alias(f"{s}_band"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("prefix").alias(f"p{x}")) for s, x in (("a", "x"), ("b", "y"))]
+    fit = within("rx", "ry") & _can_link("nx", "ny") & (F.size(F.array_intersect("px", "py")) >= _needed(F.least("nx", "ny"), F.greatest("nx", "ny")))
+    opened = p.join(sides[0], ["a", "a_band"]).filter(within("rx", "b_r")).join(sides[1], ["b", "b_band"]).filter(fit)
+    opened = scratch.keep(opened.select(F.col("x").alias("a"), F.col("y").alias("b")), "opened")
     more = _links(measured(opened, docs, scratch, k))
     labels = components(scratch.keep(links.select("a", "b").union(more), "links"), scratch)
     of = scratch.keep(same.join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("label", "node").alias("component_id")), "of")
