@@ -186,6 +186,18 @@ def test_hamming(spark):
     assert right >= 0.9 * 20 * 20
 
 
+def test_hamming_gives_isolated_vectors_and_small_tables_all_rows(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([c + 0.01 * rng.normal(size=(60, 16)) for c in rng.normal(size=(5, 16))] + [5 * rng.normal(size=(20, 16))])
+    search = lambda v: op09_hamming.search(spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0).toPandas()
+    for v in [x] + [rng.normal(size=(n, 16)) for n in (1, 5, 10, 15, 21)]:
+        got, asked = search(v), range(0, len(v), 4)
+        n = min(20, len(v) - 1)
+        assert got.groupby("query_id")["rank"].apply(sorted).to_dict() == ({q: list(range(1, n + 1)) for q in asked} if n else {})
+        assert (got.query_id != got.vec_id).all() and not got.duplicated(["query_id", "vec_id"]).any()
+        assert np.allclose(got.score, [v[a] @ v[b] for a, b in zip(got.query_id, got.vec_id)])
+
+
 def test_stages_keep_clean_documents(spark, docs):
     clean = docs.filter("doc_id IN (1, 7, 9)").withColumn("lang", F.lit("en"))
     assert stages.line_stage(spark, clean, "").count() == 3 and stages.jaccard_stage(spark, clean, "").count() == 3
