@@ -1,9 +1,10 @@
 """I-Match document fingerprints over randomised lexicons.
 
 A document's terms are its runs of letter and digit bytes, A-Z folded. Kept are the terms whose document frequency
-lies in a band relative to the number of documents (an inverse-document-frequency band); a band from `low` up holds at
-most (mean distinct terms a document) / low terms, and LEXICON bounds what is broadcast, the most frequent of the band
-first. The kept terms are sorted, distinct and hashed in SUBSETS randomised lexicons, each of which holds a term with
+lies in a band relative to the number of documents (an inverse-document-frequency band), all of them. The document
+frequencies sum up to (documents) * (mean distinct terms a document), and each term of the band has low * (documents)
+at least, so the band holds at most (mean distinct terms) / low terms whatever the number of documents: at 150 distinct
+terms 1.5 million hashes, 12 MB to broadcast, and in proportion for longer documents. The kept terms are sorted, distinct and hashed in SUBSETS randomised lexicons, each of which holds a term with
 a probability of 1 / 2^level. A document takes the level log2(code points / CHARS), at which a subset holds a term or two of it, and
 the one above it, so that a document and an edited form of like length have a level in common.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .scratch import read_table
 from .textnum import U64, buffers, chunks, mix, words
 
-LOW, HIGH, LEXICON, SUBSETS, CHARS, LEVELS = 0.0001, 0.25, 200_000, 96, 5, 20
+LOW, HIGH, SUBSETS, CHARS, LEVELS = 0.0001, 0.25, 96, 5, 20
 _TERM = np.zeros(256, bool)
 _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = True
 _TERM[128:] = True
@@ -76,12 +77,11 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH, most: int = LEXICON) -> np.ndarray:
-    """Sorted hashes of the band's terms, at most `most`."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
+    """Sorted hashes of all of the band's terms."""
     n = docs.count()
     band = document_frequencies(docs.select("text")).filter((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n)))
-    terms = band.orderBy(F.col("df").desc(), "term").limit(most).select("term").toPandas()["term"].to_numpy(np.int64)
-    return np.sort(terms.view(U64))
+    return np.sort(band.select("term").toArrow()["term"].to_numpy().view(U64))
 
 
 class Fingerprinter:

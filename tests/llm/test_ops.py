@@ -7,6 +7,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,15 @@ def test_imatch(docs):
     assert op01_imatch.query_rows(d.limit(0), np.zeros(0, np.uint64)).count() == 0
 
 
+def test_imatch_keeps_the_whole_band(spark):
+    texts = [" ".join(f"{c}{i:x}" for i in range(130_000)) for c in "gh"]
+    d = spark.createDataFrame([(i, texts[i % 2]) for i in range(4)], "doc_id long, text string")
+    got = op01_imatch.lexicon(d)
+    want = np.concatenate(op01_imatch.term_sets(*op01_imatch.buffers(pa.array(texts))))
+    assert len(got) == 260_000 and np.array_equal(got, np.sort(want))
+    assert len(op01_imatch.lexicon(d.limit(0))) == 0
+
+
 def test_language(spark, docs):
     a, b = "the and of that with for this", "der die und nicht auf mit das"
     train = spark.createDataFrame([(i, (a if i % 2 else b) * 3, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
