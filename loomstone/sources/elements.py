@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
 from typing import Protocol
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +33,66 @@ def html_elements(pages: DataFrame, preview: int = CONFIG.preview_chars) -> Data
     return rows.select("page_id", "seq", F.lower(F.substring_index("raw", "\x02", 1)).alias("tag"), F.substring(text, 1, preview).alias("text_preview"))
 
 
+class _Anchors(HTMLParser):
+    """Collects [href, text] of a[href] in document order, and the page's first base target."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.base, self.found, self.open, self.hidden = "", [], None, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "base" and not self.base:
+            self.base = (dict(reversed(attrs)).get("href") or "").strip()
+        elif tag in ("script", "style"):
+            self.hidden += 1
+        elif tag == "a":
+            attrs = dict(reversed(attrs))  # of a repeated attribute the first counts
+            self.open = None
+            if "href" in attrs:
+                self.open = [(attrs["href"] or "").strip(), []]
+                self.found.append(self.open)
+        elif tag in ("br", "p", "div", "li", "td") and self.open:
+            self.open[1].append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "a":
+            self.open = None
+
+    def handle_data(self, data):
+        if self.open and not self.hidden:
+            self.open[1].append(data)
+
+
+def anchors(html: str, url: str) -> list[tuple[int, str, str]]:
+    """(seq, href, anchor text) of each a[href] that leads to http or https, resolved against the page's base."""
+    page = _Anchors()
+    page.feed(html)
+    page.close()
+    out = []
+    for seq, (href, text) in enumerate(page.found):
+        if not href or href.startswith("#"):
+            continue
+        try:
+            full = urljoin(urljoin(url, page.base), href)
+        except ValueError:
+            continue  # no URL
+        if full.lower().startswith(("http://", "https://")):
+            out.append((seq, full, " ".join("".join(text).split())[:100]))
+    return out
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """(page_id, seq, href, anchor_text) of all anchors; fragments and empty targets are skipped."""
-    found = F.regexp_extract_all("html", F.lit(r'(?s)(<a href="[^"]*">[^<]*</a>)'), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(found).alias("seq", "a"))
-    href = F.regexp_extract("a", r'href="([^"]*)"', 1)
-    origin = F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)
-    full = F.when(href.startswith("/"), F.concat(origin, href)).otherwise(href)
-    return rows.filter((href != "") & ~href.startswith("#")).select("page_id", "seq", full.alias("href"), F.substring(F.trim(F.regexp_extract("a", r">([^<]*)<", 1)), 1, 100).alias("anchor_text"))
+    """(page_id, seq, href, anchor_text) of all anchors; seq counts every a[href], fragments, empty and other than http(s) targets are skipped."""
+    out = pages.select("page_id").schema.add("seq", "integer").add("href", "string").add("anchor_text", "string")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(i, *x) for i, h, u in zip(part["page_id"], part["html"], part["url"]) if h for x in anchors(h, u or "")]
+            yield pd.DataFrame(rows, columns=out.names)
+
+    return pages.select("page_id", "html", "url").mapInPandas(run, out)
 
 
 def document_lines(documents: DataFrame) -> DataFrame:

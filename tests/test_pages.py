@@ -8,6 +8,7 @@ from util import rows
 from loomstone.functions import text as T
 from loomstone.operators import controller, graph, mining, scoring, sectioning, tiling
 from loomstone.plans import oracles, queries
+from loomstone.sources import elements
 
 D = "/root/testdata/sf0.001"
 E = "unit string, seq int, tag string, x long, y long, w long, h long, depth int, text string"
@@ -114,3 +115,15 @@ def test_idempotent_ingest(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int")
     assert append_unseen(df, str(tmp_path / "s"), ["k"]) == 2 and append_unseen(df, str(tmp_path / "s"), ["k"]) == 0
     assert read_jsonl(spark, str(tmp_path / "none"), "k string").count() == 0
+
+
+def test_links_in_any_form(spark):
+    html = """<a href="/a">One</a> <a class="x" href='b?x=1&amp;y=2'><b>Two</b> &amp; more</a> <A HREF=../c>Three</A><a name="n">none</a>
+    <a href="mailto:m@n.org">m</a><a href="javascript:f()">j</a><a href="#top">t</a><a href="">e</a><!-- <a href="/no">no</a> --><a href="//other.org/d" title="a > b">Four
+    lines</a><script>var s = '<a href="/no">no</a>'</script><a href="http://[bad">bad</a><a href="HTTPS://else.org/">Five"""
+    pages = spark.createDataFrame([(1, "https://site.org/p/q/page", html), (2, "https://site.org/p/", '<base href="/r/"><a href="s">S</a>'), (3, "https://site.org/", None)], "page_id long, url string, html string")
+    got = [tuple(r) for r in elements.html_links(pages).orderBy("page_id", "seq").collect()]
+    assert got == [
+        (1, 0, "https://site.org/a", "One"), (1, 1, "https://site.org/p/q/b?x=1&y=2", "Two & more"), (1, 2, "https://site.org/p/c", "Three"),
+        (1, 7, "https://other.org/d", "Four lines"), (1, 9, "https://else.org/", "Five"), (2, 0, "https://site.org/r/s", "S"),
+    ]
