@@ -163,6 +163,16 @@ def test_licenses(spark):
     assert t[got[0].start : got[0].end] == "Released under the  MIT-License"
 
 
+def test_licenses_whole_texts_and_telling_words(spark):
+    known = op06_licenses.TEMPLATES
+    whole = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "GFDL-1.2", "GFDL-1.3", "Artistic-1.0-Perl", "CC0-1.0")
+    heads = ("GPL-2.0-header", "LGPL-2.1-header", "AGPL-3.0-header", "CC-BY-3.0", "CC-BY-4.0-notice", "CC-BY-NC-SA-2.5-notice")
+    texts = [f"Copyright 2020 A. Nyone.\n{known[k]}\nint main() {{}}" for k in whole + heads] + ["Licensed under CC BY 5.0", "Licensed under CC BY 3.0"]
+    got = op06_licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {i: [(r.license, r.coverage) for r in got if r.doc_id == i] for i in range(len(texts))}
+    assert found == {i: [(k, 1.0)] for i, k in enumerate(whole + heads)} | {len(texts) - 2: [], len(texts) - 1: [("CC-BY-3.0-notice", 1.0)]}
+
+
 def test_html():
     w = op07_html.PRIOR
     page = '<body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>T &amp; u</h1><p>One long sentence of real content here.<br>Next<p><b>Two more words follow here.</p><div class="ad"><p>Buy this now, it is cheap and very good.</p></div></article><section id="comments"><article><p>I liked this very much indeed.</p></article></section><footer>&copy;</footer>'
