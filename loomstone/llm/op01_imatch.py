@@ -10,7 +10,8 @@ the one above it, so that a document and an edited form of like length have a le
 
 The likeness of two fingerprints is the share of equal subset hashes among the subsets in which either document has
 terms, at their common levels; 1 for equal fingerprints, 0 without a common level. Documents without a kept term are
-hashed over all their terms, and those without any term over their whole text.
+hashed over all their terms, and those without any term over their whole text; when one of two compared texts has no
+kept term, both are compared over all their terms, so that the two sides have one vocabulary.
 
 Successors in doc_id order are found without a window over all rows: rows go to ranges of doc_id, each range also gets
 the first document of the next range, and each sorted range is read once.
@@ -88,14 +89,15 @@ class Fingerprinter:
     def __init__(self, lexicon: np.ndarray):
         self.lexicon = lexicon
 
-    def one(self, terms: np.ndarray, text: str) -> tuple[int, np.ndarray]:
-        """First level, and (2, SUBSETS) hashes of its two levels; 0 marks a subset without terms."""
-        if len(self.lexicon) and len(terms):
+    def one(self, terms: np.ndarray, text: str, whole: bool = False) -> tuple[int, np.ndarray, bool]:
+        """First level, (2, SUBSETS) hashes of its two levels, 0 for a subset without terms, and whether they are of kept terms; whole: of all terms."""
+        if len(self.lexicon) and len(terms) and not whole:
             at = np.minimum(np.searchsorted(self.lexicon, terms), len(self.lexicon) - 1)
             kept = terms[self.lexicon[at] == terms]
         else:
             kept = terms[:0]
-        if not len(kept):
+        banded = len(kept) > 0
+        if not banded:
             kept = terms if len(terms) else np.frombuffer(hashlib.sha256(text.encode()).digest()[:8], U64)
         level = int(np.clip(np.floor(np.log2(max(1.0, len(text) / CHARS))), 0, LEVELS))
         draws = mix(kept[None, :] ^ _SEEDS[:, None])
@@ -104,17 +106,23 @@ class Fingerprinter:
             member = draws >> U64(64 - LEVELS - 1) < U64(1 << (LEVELS + 1 - level - k))
             out[k] = np.where(member, mix(draws * U64(0x9FB21C651E98DF25) + U64(k + level)), U64(0)).sum(1, dtype=U64)
             out[k] = np.where(member.any(1), out[k] | U64(1), U64(0))
-        return level, out
+        return level, out, banded
 
-    def many(self, texts: list[str]) -> list[tuple[int, np.ndarray]]:
+    def many(self, texts: list[str], whole: bool = False) -> list[tuple[int, np.ndarray, bool]]:
         data, offsets = buffers(pa.array(texts, pa.large_string()))
         out: list = []
         for i, j in chunks(offsets):
-            out += [self.one(t, texts[i + k]) for k, t in enumerate(term_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
+            out += [self.one(t, texts[i + k], whole) for k, t in enumerate(term_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
         return out
 
+    def near(self, text: str, a: tuple, other: str, b: tuple) -> float:
+        """Likeness of two texts with fingerprints a and b, over one vocabulary."""
+        if a[2] != b[2]:
+            a, b = self.many([text], True)[0] if a[2] else a, self.many([other], True)[0] if b[2] else b
+        return likeness(a, b)
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+
+def likeness(a: tuple, b: tuple) -> float:
     if a[0] == b[0]:
         x, y = a[1], b[1]
     elif abs(a[0] - b[0]) == 1:
@@ -125,7 +133,7 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     return float(((x == y) & some).sum() / some.sum()) if some.any() else float(np.array_equal(a[1], b[1]) and a[0] == b[0])
 
 
-def text_of(f: tuple[int, np.ndarray]) -> str:
+def text_of(f: tuple) -> str:
     """The level, and 16 bits of each subset's hash."""
     return f"{f[0]:02x}" + (f[1] >> U64(48)).astype(">u2").tobytes().hex()
 
@@ -179,7 +187,7 @@ def query_rows(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
                     yield pa.record_batch([
                         pa.array([p[0][1] for p in pairs], pa.int64()), pa.array([len(p[0][2]) for p in pairs], pa.int64()), pa.array([hashlib.sha256(f.encode()).hexdigest() for f in forms]),
                         pa.array([text_of(p[0][3]) for p in pairs]), pa.array([text_of(f) for f in new]),
-                        pa.array([likeness(p[0][3], f) for p, f in zip(pairs, new)]), pa.array([likeness(p[0][3], p[2]) for p in pairs]),
+                        pa.array([maker.near(p[0][2], p[0][3], t, f) for p, t, f in zip(pairs, forms, new)]), pa.array([maker.near(p[0][2], p[0][3], p[1], p[2]) for p in pairs]),
                     ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     return both.mapInArrow(run, OUT)

@@ -130,6 +130,14 @@ def test_imatch_keeps_the_whole_band(spark):
     assert len(op01_imatch.lexicon(d.limit(0))) == 0
 
 
+def test_imatch_compares_over_one_vocabulary(spark):
+    a, b = " ".join(f"rare{i}" for i in range(400)), " ".join(f"kept{i}" for i in range(400))
+    d = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    band = np.sort(np.concatenate(op01_imatch.term_sets(*op01_imatch.buffers(pa.array([b])))))
+    got = {r.doc_id: r for r in op01_imatch.query_rows(d, band).collect()}
+    assert got[1].near_edited > 0.2 and got[1].near_next < 0.1 and got[2].near_edited > 0.2
+
+
 def test_language(spark, docs):
     a, b = "the and of that with for this", "der die und nicht auf mit das"
     train = spark.createDataFrame([(i, (a if i % 2 else b) * 3, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
