@@ -31,4 +31,6 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._scratch_path = labels._scratch_path
+    return out

@@ -6,18 +6,23 @@ link when 100 * |intersection| >= 75 * |union|.
 1. Groups. Classes that share a pair of least permuted hashes are compared with the first and the last class of that
    bucket, a number of pairs linear in the classes; verified pairs make the first groups (connected
    classes). A link that this misses is found in step 3.
-2. Token-group matrix. Tokens have one global order: those seen often last, the others by hash. If two sets link, the
-   first |Q| - ceil(3/4 |Q|) + 1 tokens of either hold a common token, and of sizes s <= l at least
-   ceil(3/7 (s + l)) + 1 - ceil(3/4 l) common ones. So a group qualifies for a query group only if the unions of such
-   tokens have that many in common and the sizes can link. The matrix holds one row for each token and group,
-   unions being formed before the shuffle; its rows are sorted by token and runs of a token give pairs of groups.
-3. Opening. Jaccard distance is a metric: a member x of a group with centre a and a member y of one with centre b are
-   no nearer than d(a, b) - d(a, x) - d(b, y). Members that can be near enough and fit in size are verified on their
-   whole sets; new links merge groups.
-   Classes of one group are never compared again, so a group of n copies costs n rows, not n * n.
+2. Token-group matrix. Tokens have one global order: those seen often last, the others by hash. If two sets link, their
+   first common token stands, in either, before so many others that 3/7 of both sizes can still be common; so only a
+   set's first |Q| - ceil(3/4 |Q|) + 1 tokens count. Of these and |Q| / 16 more, the least and the largest group of each
+   token (partial sums) tell which tokens two groups share. A set that links has more than |Q| / 16 such tokens; the
+   rows of all other sets and tokens go no further, nor do rows that no other group's row of their token fits in size
+   and place.
+3. Opening. Each row carries the parity signature of its whole set: bit h(t) is turned by each token t, so that two
+   signatures differ in no more bits than the sets differ in tokens, and sets that link differ in at most 1/7 of both
+   sizes. In the run of a token, a query set is bounded against each other group at once, by the signature of the
+   group's centre less the group's radius; only the members of groups that qualify are opened and tested one by one.
+   What passes is verified on whole sets; new links merge groups. Sets of one group are never compared again, so a
+   group of n copies costs n rows, not n * n, and near sets that do not link are left out before they make a row.
+   Runs of more than RUN rows are cut in blocks, and each pair of blocks is a unit of its own.
 
 The order needs no exact counts, only to be the same everywhere: a fixed bitmap of 2^HOT_BITS bits marks at most
-HOT_MOST tokens that batches of documents reported most; any marking gives the same result.
+HOT_MOST tokens that batches of documents reported most; any marking gives the same result. Bitmaps of busy tokens and
+of wanted documents have a fixed size too; they only keep rows from being shuffled, and exact joins follow.
 
 Defined cases: a null or blank text has size 0 and links with nothing; a null doc_id links with nothing and its
 component_id is null; rows that share a doc_id count as one document of several texts; fewer than 5 words make one
@@ -38,7 +43,7 @@ from .components import components
 from .scratch import Scratch, read_table
 from .textnum import U64, buffers, chunks, mix, shingle_sets
 
-WORDS, NUM, DEN, MINHASHES, HOT_BITS, HOT_MOST, HOT_LEAST, BLOCK, BAND = 5, 75, 100, 16, 23, 1 << 19, 16, 5_000_000, 1.02
+WORDS, NUM, DEN, MINHASHES, HOT_BITS, HOT_MOST, HOT_LEAST, BLOCK, RUN, MARK_BITS, EXTRA = 5, 75, 100, 16, 23, 1 << 19, 16, 5_000_000, 8192, 25, 16
 _SEEDS = mix(np.arange(1, MINHASHES + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
 
 
@@ -92,13 +97,24 @@ def hot_bitmap(docs: DataFrame, k: int = WORDS) -> np.ndarray:
     return np.packbits(bits)
 
 
-def prefix_length(n: int) -> int:
+def prefix_length(n):
     """Tokens of which one is common to any set that links with one of n: n - ceil(3/4 n) + 1."""
-    return n - -(-NUM * n // DEN) + 1 if n else 0
+    return n + NUM * -n // DEN + 1
+
+
+def extra_length(n):
+    """Tokens read beyond these; of all of them, so many and one are common to any set that links."""
+    return n // EXTRA
+
+
+def signature(x: np.ndarray) -> bytes:
+    """Parities of the tokens by their low bits, in at least twice as many bits as tokens up to 2048 of these."""
+    bits = int(np.clip(1 << int(2 * len(x) - 1).bit_length(), 512, 4096)) if len(x) else 512
+    return np.packbits(np.bincount((x & U64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
 def described(docs: DataFrame, bitmap: np.ndarray, k: int = WORDS) -> DataFrame:
-    """doc_id, n, k1, k2, minhashes and prefix of each document."""
+    """doc_id, n, k1, k2, minhashes, prefix and signature of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.unpackbits(bitmap).astype(bool)
@@ -110,13 +126,13 @@ def described(docs: DataFrame, bitmap: np.ndarray, k: int = WORDS) -> DataFrame:
                     h = mix(x[None, :] ^ _SEEDS[:, None]).min(1) if len(x) else np.zeros(0, U64)
                     least.append(mix(h[::2] * U64(0x9FB21C651E98DF25) + h[1::2]))
                     last = hot[(x >> U64(64 - HOT_BITS)).astype(np.int64)]
-                    p = prefix_length(len(x))
+                    p = prefix_length(len(x)) + extra_length(len(x)) if len(x) else 0
                     head = x[~last][:p] if last.any() else x[:p]
                     heads.append(np.concatenate((head, x[last][: p - len(head)])) if len(head) < p else head)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
-                yield pa.record_batch([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), _lists(least), _lists(heads)], ["doc_id", "n", "k1", "k2", "least", "prefix"])
+                yield pa.record_batch([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), _lists(least), _lists(heads), pa.array([signature(x) for x in sets], pa.binary())], ["doc_id", "n", "k1", "k2", "least", "prefix", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, least array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, least array<long>, prefix array<long>, sig binary")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -125,24 +141,32 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = WORDS) -> DataFrame:
-    """(node, tokens) of the documents in wanted(node). A bitmap of doc_id hashes, of fixed size, keeps other texts from being read into sets; the join is exact."""
-    bits = 22
-    marks = wanted.select(F.shiftrightunsigned(F.xxhash64("node"), 64 - bits).cast("int").alias("m"))
-    words = marks.select(F.floor(F.col("m") / 32).cast("int").alias("w"), F.expr("shiftleft(1L, pmod(m, 32))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # 2^17 rows at most
-    table = np.zeros(1 << (bits - 5), np.int64)
+def bitmap(values: DataFrame) -> np.ndarray:
+    """2^MARK_BITS bits, in words of 64, of which those at the values' (long) upper bits are set; 2^19 rows come to the driver at most."""
+    m = F.shiftrightunsigned(values[values.columns[0]], 64 - MARK_BITS)
+    words = values.select(F.shiftrightunsigned(m, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), m.bitwiseAND(63).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
     table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
+    return table.view(U64)
+
+
+def marked(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values (int64) fall on a bit of the bitmap that is set."""
+    m = values.view(U64) >> U64(64 - MARK_BITS)
+    return (table[(m >> U64(6)).astype(np.int64)] >> (m & U64(63))) & U64(1) > 0
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = WORDS) -> DataFrame:
+    """(node, tokens) of the documents in wanted(node). The bitmap keeps other texts from being read into sets; the join is exact."""
+    table = bitmap(wanted.select(F.xxhash64("node").alias("mark")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (table[m >> 5] >> (m & 31)) & 1 > 0
-            some = b.filter(pa.array(hit))
+            some = b.filter(pa.array(marked(table, b.column(2).to_numpy(zero_copy_only=False))))
             for part, sets in _sets(some, k):
                 yield pa.record_batch([part.column(0), _lists(sets)], ["node", "tokens"])
 
-    mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).cast("int")
-    found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", mark.alias("mark")).mapInArrow(run, "node long, tokens array<long>")
+    found = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("mark")).mapInArrow(run, "node long, tokens array<long>")
     return found.join(wanted, "node", "left_semi")
 
 
@@ -165,147 +189,235 @@ def _can_link(n: str, m: str):
     return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
 
 
-def _needed(least, most):
-    """Common tokens among the first ones of two sets of these sizes, if they link."""
-    return F.greatest(F.lit(1), F.ceil((least + most) * NUM / (NUM + DEN)) + 1 - F.ceil(most * NUM / DEN))
-
-
-def matrix(prefixes: DataFrame) -> DataFrame:
-    """(token, g, band, low, high) of prefixes(g, n, prefix): the tokens of a group's sets of like size once a batch, with the least and largest of these."""
+def matrix(grouped: DataFrame, busy: DataFrame) -> DataFrame:
+    """(token, uid, g, n, room) of grouped(uid, n, g, prefix) for the tokens that are marked busy; room: tokens of the set from this one on."""
+    table = bitmap(busy.select("token"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
+            uid, n, g, lists = b.columns
             size = np.diff(lists.offsets.to_numpy())
             token = lists.flatten().to_numpy(zero_copy_only=False)
-            g = np.repeat(b.column(0).to_numpy(zero_copy_only=False), size)
-            n = np.repeat(b.column(1).to_numpy(zero_copy_only=False), size)
-            band = np.floor(np.log(n) / np.log(BAND)).astype(np.int64)
-            order = np.lexsort((token, band, g))
-            token, g, n, band = token[order], g[order], n[order], band[order]
-            if not len(g):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (g[1:] != g[:-1]) | (band[1:] != band[:-1]))))
-            low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
-            for s in range(0, len(first), 200_000):
-                f = first[s : s + 200_000]
-                yield pa.record_batch([pa.array(token[f]), pa.array(g[f]), pa.array(band[f]), pa.array(low[s : s + 200_000]), pa.array(high[s : s + 200_000])], ["token", "g", "band", "low", "high"])
-
-    return prefixes.select("g", "n", "prefix").mapInArrow(run, "token long, g long, band long, low long, high long")
-
-
-def qualifying(rows: DataFrame) -> DataFrame:
-    """Pairs of parts (group, band of sizes) of different groups, whose sizes can link and whose unions have as many common tokens as a link needs."""
-
-    def pairs_of(run: np.ndarray) -> Iterator[np.ndarray]:
-        """run: rows (g, band, low, high) of one token, sorted by g and band."""
-        first = np.flatnonzero(np.concatenate(([True], (run[1:, :2] != run[:-1, :2]).any(1))))
-        g, band = run[first, 0], run[first, 1]
-        low, high = np.minimum.reduceat(run[:, 2], first), np.maximum.reduceat(run[:, 3], first)
-        for i in range(len(g) - 1):
-            fit = (DEN * high[i + 1 :] >= NUM * low[i]) & (DEN * high[i] >= NUM * low[i + 1 :]) & (g[i + 1 :] != g[i])
-            if fit.any():
-                k = i + 1 + np.flatnonzero(fit)
-                one = np.ones(len(k), np.int64)
-                yield np.stack((one * g[i], one * band[i], g[k], band[k], one, np.minimum(low[i], low[k]), np.maximum(high[i], high[k])), 1)
+            sizes = n.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            hit = marked(table, token)
+            enough = np.bincount(row[hit], minlength=len(size)) > extra_length(sizes)
+            place = np.arange(len(token)) - (np.cumsum(size) - size)[row]
+            at = np.flatnonzero(hit & enough[row] & (place < prefix_length(sizes)[row]))
+            row, room = row[at], sizes[row[at]] - place[at]
+            for s in range(0, len(at), 200_000):
+                r = pa.array(row[s : s + 200_000])
+                yield pa.record_batch([pa.array(token[at[s : s + 200_000]]), uid.take(r), g.take(r), n.take(r), pa.array(room[s : s + 200_000])], ["token", "uid", "g", "n", "room"])
+
+    return grouped.select("uid", "n", "g", "prefix").mapInArrow(run, "token long, uid long, g long, n long, room long")
+
+
+def partnered(rows: DataFrame, most: int = RUN) -> DataFrame:
+    """Of rows(token, uid, g, n, room, held), those for which another group's row of their token fits in size and room; all of a run of more than `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = np.zeros((0, 5), np.int64)
-        held: list[np.ndarray] = []
-        size = 0
+        left: pa.Table | None = None
+
+        def fitting(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            token, g, n, room, held = (t[c].to_numpy() for c in ("token", "g", "n", "room", "held"))
+            keep, at, d = held > most, np.flatnonzero(held <= most), 0
+            while len(at):
+                d += 1
+                at = at[at + d < len(token)]
+                o = at + d
+                on = (token[at] == token[o]) & (DEN * n[at] >= NUM * n[o])  # sorted by size, so none beyond fits
+                at, o = at[on], o[on]
+                need = _need(n[at], n[o])
+                fit = (g[at] != g[o]) & (room[at] >= need) & (room[o] >= need)
+                keep[at[fit]] = keep[o[fit]] = True
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+        for b in batches:
+            t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            if len(t):
+                token = t["token"].to_numpy()
+                cut = int(np.argmax(token == token[-1]))
+                left = t.slice(cut)
+                if len(left) > 4 * most:  # a run that passes whole
+                    cut, left = len(t), None
+                if cut:
+                    yield from fitting(t.slice(0, cut))
+        if left is not None:
+            yield from fitting(left)
+
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.when(F.col("held") > most, F.xxhash64("uid")).otherwise(0)
+    dealt = rows.select("token", "uid", "g", "n", "room", "held").repartition(n, F.col("token"), salt).sortWithinPartitions("token", "n")
+    return dealt.mapInArrow(run, "token long, uid long, g long, n long, room long, held long")
+
+
+def _need(n, m):
+    """Tokens that sets of these sizes have in common if they link."""
+    return -(-NUM * (n + m) // (NUM + DEN))
 
-        def summed() -> np.ndarray:
-            x = np.concatenate(held)
-            x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
-            first = np.flatnonzero(np.concatenate(([True], (x[1:, :4] != x[:-1, :4]).any(1))))
-            return np.column_stack((x[first, :4], np.add.reduceat(x[:, 4], first), np.minimum.reduceat(x[:, 5], first), np.maximum.reduceat(x[:, 6], first)))
 
-        def out(x: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(x[:, k]) for k in range(7)], ["a", "a_band", "b", "b_band", "c", "low", "high"])
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which each signature of x differs from each of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    for w in range(x.shape[1]):
+        out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    return out
+
+
+class Side:
+    """Rows of a run with signatures of one width, by group, each group with its centre, radius, sizes and room."""
+
+    def __init__(self, node: np.ndarray, g: np.ndarray, n: np.ndarray, room: np.ndarray, block: np.ndarray, sig: np.ndarray):
+        o = np.lexsort((node, g))
+        self.node, self.g, self.n, self.room, self.block, self.sig = node[o], g[o], n[o], room[o], block[o], sig[o]
+        self.first = np.flatnonzero(np.concatenate(([True], self.g[1:] != self.g[:-1])))
+        self.count = np.diff(np.append(self.first, len(o)))
+        self.group = self.g[self.first]
+        own = np.repeat(np.arange(len(self.first)), self.count)
+        self.radius = np.maximum.reduceat(np.bitwise_count(self.sig ^ self.sig[self.first[own]]).sum(1, dtype=np.int64), self.first)
+        self.low, self.high, self.most = np.minimum.reduceat(self.n, self.first), np.maximum.reduceat(self.n, self.first), np.maximum.reduceat(self.room, self.first)
+
+    def narrower(self) -> Side:
+        half = self.sig.shape[1] // 2
+        return Side(self.node, self.g, self.n, self.room, self.block, self.sig[:, :half] ^ self.sig[:, half:])
+
+
+def _between(q: Side, x: np.ndarray, p: Side, y: np.ndarray) -> np.ndarray:
+    """Bits in which the signatures of rows x of q and y of p differ."""
+    step = max(1, (1 << 22) // q.sig.shape[1])
+    return np.concatenate([np.bitwise_count(q.sig[x[s : s + step]] ^ p.sig[y[s : s + step]]).sum(1, dtype=np.int64) for s in range(0, len(x), step)] or [np.zeros(0, np.int64)])
+
+
+def opened(q: Side, p: Side, same: bool, apart: bool) -> Iterator[np.ndarray]:
+    """(node, node) of the sets of q and p that can link; same: q is p, so each pair is tried from its lesser group; apart: only sets of different blocks."""
+    centre = p.sig[p.first]
+    step = max(1, min(256, 4_000_000 // len(centre)))
+    for s in range(0, len(q.g), step):
+        t = slice(s, s + step)
+        n, room = q.n[t, None], q.room[t, None]
+        fit = (q.g[t, None] < p.group) if same else (q.g[t, None] != p.group)
+        fit &= (DEN * p.high >= NUM * n) & (DEN * n >= NUM * p.low)
+        need = _need(n, np.maximum(p.low, -(-NUM * n // DEN)))
+        fit &= (room >= need) & (p.most >= need)
+        x, c = np.nonzero(fit)
+        if not len(x):
+            continue
+        d = _differing(q.sig[t], centre)[x, c] if fit.mean() > 0.2 else _between(q, s + x, p, p.first[c])
+        # sets that link differ in no more than this
+        keep = d - p.radius[c] <= (q.n[s + x] + p.high[c]) // 7
+        x, c = s + x[keep], c[keep]
+        if not len(x):
+            continue
+        k = p.count[c]
+        x, y = np.repeat(x, k), np.repeat(p.first[c], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        need = _need(q.n[x], p.n[y])
+        keep = (DEN * np.minimum(q.n[x], p.n[y]) >= NUM * np.maximum(q.n[x], p.n[y])) & (q.room[x] >= need) & (p.room[y] >= need)
+        if apart:
+            keep &= q.block[x] != p.block[y]
+        x, y, need = x[keep], y[keep], need[keep]
+        keep = _between(q, x, p, y) <= q.n[x] + p.n[y] - 2 * need
+        if keep.any():
+            yield np.stack((q.node[x[keep]], p.node[y[keep]]), 1)
+
+
+def qualifying(rows: DataFrame, most: int = RUN) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share a token of rows(token, node, g, n, room, held, sig) and can link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+        held: list[np.ndarray] = []
+        size = 0
 
-        def take(block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            x = np.unique(np.sort(np.concatenate(held), 1), axis=0)
+            return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+        def unit(node: np.ndarray, g: np.ndarray, n: np.ndarray, room: np.ndarray, block: np.ndarray, raw: list[bytes], apart: bool) -> Iterator[np.ndarray]:
+            if (g == g[0]).all():
+                return
+            width = np.fromiter(map(len, raw), np.int64, len(raw))
+            before: Side | None = None
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                here = Side(node[at], g[at], n[at], room[at], block[at], np.frombuffer(b"".join(raw[k] for k in at), U64).reshape(len(at), w // 8))
+                yield from opened(here, here, True, apart)
+                if before is not None and before.sig.shape[1] * 16 == w:
+                    yield from opened(before, here.narrower(), False, apart)
+                before = here
+
+        def take(t: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            same = np.concatenate((block[1:, 0] == block[:-1, 0], [False])) if len(block) else np.zeros(0, bool)
-            other = block[1:, 1] != block[:-1, 1] if len(block) else same
-            busy = np.flatnonzero(same[:-1] & other) if len(block) else same
-            done = -1
-            for i in busy.tolist():
-                if i < done:
-                    continue
-                s = int(np.searchsorted(block[:, 0], block[i, 0], "left"))
-                done = int(np.searchsorted(block[:, 0], block[i, 0], "right"))
-                for p in pairs_of(block[s:done, 1:]):
-                    held.append(p)
-                    size += len(p)
+            keys = np.stack([t[c].to_numpy() for c in ("token", "u", "v")], 1)
+            parts = [t[c].to_numpy() for c in ("node", "g", "n", "room", "block")]
+            raw = t["sig"].to_pylist()
+            edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
+            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                for found in unit(*[c[i:j] for c in parts], raw[i:j], bool(keys[i, 1] != keys[i, 2])):
+                    held.append(found)
+                    size += len(found)
                     if size > 500_000:
-                        held = [summed()]
-                        size = len(held[0])
-                        if size > 250_000:
-                            yield out(held[0])
-                            held, size = [], 0
+                        yield out()
+                        held, size = [], 0
 
         for b in batches:
-            block = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
-            block = np.concatenate((left, block)) if len(left) else block
-            cut = int(np.searchsorted(block[:, 0], block[-1, 0], "left")) if len(block) else 0
-            left = block[cut:]
-            yield from take(block[:cut])
-        yield from take(left)
+            t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+            if not len(t):
+                continue
+            last = [t[c][-1].as_py() for c in ("token", "u", "v")]
+            same = np.logical_and.reduce([t[c].to_numpy() == v for c, v in zip(("token", "u", "v"), last)])
+            cut = int(np.argmax(same))
+            left = t.slice(cut)
+            if cut:
+                yield from take(t.slice(0, cut))
+        if left is not None:
+            yield from take(left)
         if held:
-            yield out(summed())
+            yield out()
 
+    # a run of k blocks goes to its k * (k + 1) / 2 pairs of blocks
+    k = F.ceil(F.col("held") / most).cast("int")
+    x = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("u", F.least("block", "other")).withColumn("v", F.greatest("block", "other"))
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.repartition(n, "token").sortWithinPartitions("token", "g", "band").mapInArrow(run, "a long, a_band long, b long, b_band long, c long, low long, high long").groupBy("a", "a_band", "b", "b_band").agg(F.sum("c").alias("c"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return found.filter(F.col("c") >= _needed(F.greatest("low", F.ceil(F.col("high") * NUM / DEN)), F.col("high"))).select("a", "a_band", "b", "b_band")
+    x = x.select("token", "u", "v", "node", "g", "n", "room", "block", "sig").repartition(n, "token", "u", "v").sortWithinPartitions("token", "u", "v")
+    return x.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.keep(described(docs, hot_bitmap(docs, k), k), "described")
-    light = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "k1", "k2")
-    same = scratch.keep(light.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    rows = scratch.keep(described(docs, hot_bitmap(docs, k), k).withColumn("uid", F.monotonically_increasing_id()), "described")
+    light = scratch.keep(rows.select("doc_id", "n", "k1", "k2", "uid"), "light")
+    some = light.filter("n > 0 AND doc_id IS NOT NULL")
+    same = some.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("x"))
+    same = scratch.keep(same.select("k1", "k2", "n", F.col("x.doc_id").alias("node"), F.col("x.uid").alias("uid")), "classes")
     # an id with several texts ties their classes
-    several = light.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x != y").select("doc_id")
-    ties = light.join(several, "doc_id", "left_semi").join(same, ["k1", "k2", "n"]).filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    mine = scratch.keep(rows.filter("n > 0").join(same.select(F.col("node").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("node"), "n", "least", "prefix"), "mine")
-    buckets = mine.select("node", "n", F.posexplode("least").alias("i", "h"))
+    several = some.groupBy("doc_id").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x != y").select("doc_id")
+    ties = some.select("doc_id", "n", "k1", "k2").join(several, "doc_id", "left_semi").join(same.drop("uid"), ["k1", "k2", "n"]).filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    buckets = rows.select("uid", "least").join(same.select("uid", "node", "n"), "uid").select("node", "n", F.posexplode("least").alias("i", "h"))
     ends = buckets.groupBy("i", "h").agg(F.min(F.struct("node", "n")).alias("first"), F.max(F.struct("node", "n")).alias("last"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     leaders = ends.select("i", "h", F.explode(F.array("first", "last")).alias("lead")).select("i", "h", F.col("lead.node").alias("a"), F.col("lead.n").alias("na"))
     near = buckets.join(leaders, ["i", "h"]).filter((F.col("node") != F.col("a")) & _can_link("n", "na")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     near = scratch.keep(near, "near")
-    links = scratch.keep(_links(measured(near, docs, scratch, k)).union(ties), "links")
+    found = measured(near, docs, scratch, k)
+    links = scratch.keep(_links(found).union(ties), "links")
     labels = components(links, scratch)
-    grouped = mine.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("g"))
-    pairs = scratch.keep(qualifying(matrix(grouped)), "pairs")
-    band = F.floor(F.log("n") / float(np.log(BAND)))
-    members = scratch.keep(mine.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("g"), band.alias("band")), "members")
-    # how far a member is from its group's least node, and these nodes of two groups from each other
-    among = members.filter("g != node").select(F.col("g").alias("a"), F.col("node").alias("b"))
-    far = measured(among.union(pairs.select("a", "b")).distinct(), docs, scratch, k)
-    far = far.groupBy("a", "b").agg(F.min(1 - F.col("common") / F.col("either")).alias("d"))
-    placed = members.join(far.select(F.col("a").alias("g"), F.col("b").alias("node"), F.col("d").alias("r")), ["g", "node"], "left").withColumn("r", F.when(F.col("g") == F.col("node"), 0.0).otherwise(F.coalesce("r", F.lit(1.0))))
-    placed = scratch.keep(placed, "placed")
-    reach = placed.groupBy("g", "band").agg(F.max("r").alias("r"))
-    p = pairs.join(far, ["a", "b"])
-    for side in "ab":
-        p = p.join(reach.select(F.col("g").alias(side), F.col("band").alias(f"{side}_band"), F.col("r").alias(f"{side}_r")), [side, f"{side}_band"])
-    within = lambda u, v: F.col("d") <= (1 - NUM / DEN) + F.col(u) + F.col(v) + 1e-9
-    p = scratch.keep(p.filter(within("a_r", "b_r")), "reachable")
-    parts = p.select(F.col("a").alias("g"), F.col("a_band").alias("band")).union(p.select("b", "b_band")).distinct()
-    some = scratch.keep(placed.join(parts, ["g", "band"], "left_semi").join(mine.select("node", "prefix").hint("merge"), "node"), "some")
-    sides = [some.select(F.col("g").alias(s), F.col("band").alias(f"{s}_band"), F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("r").alias(f"r{x}"), F.col("prefix").alias(f"p{x}")) for s, x in (("a", "x"), ("b", "y"))]
-    fit = within("rx", "ry") & _can_link("nx", "ny") & (F.size(F.array_intersect("px", "py")) >= _needed(F.least("nx", "ny"), F.greatest("nx", "ny")))
-    opened = p.join(sides[0], ["a", "a_band"]).filter(within("rx", "b_r")).join(sides[1], ["b", "b_band"]).filter(fit)
-    opened = scratch.keep(opened.select(F.col("x").alias("a"), F.col("y").alias("b")), "opened")
-    more = _links(measured(opened, docs, scratch, k))
-    labels = components(scratch.keep(links.select("a", "b").union(more), "links"), scratch)
-    of = scratch.keep(same.join(labels, "node", "left").select("k1", "k2", "n", F.coalesce("label", "node").alias("component_id")), "of")
-    out = rows.select("doc_id", F.col("n"), "k1", "k2").join(of, ["k1", "k2", "n"], "left")
+    own = scratch.keep(same.select("uid", "node").join(labels, "node", "left").select("uid", "node", F.coalesce("label", "node").alias("g")), "own")
+    grouped = scratch.keep(rows.select("uid", "n", "prefix", "sig").join(own, "uid"), "grouped")
+    scratch.drop(rows)
+    busy = grouped.select("g", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("held"))
+    busy = scratch.keep(busy.filter("low < high").select("token", "held"), "busy")
+    kept = scratch.keep(partnered(matrix(grouped, busy).join(busy, "token")), "partnered")
+    pairs = scratch.keep(qualifying(kept.join(grouped.select("uid", "node", "sig"), "uid")), "pairs")
+    more = measured(pairs, docs, scratch, k)
+    all_links = scratch.keep(links.select("a", "b").union(_links(more)), "links")
+    labels2 = components(all_links, scratch)
+    of = scratch.keep(same.join(labels2, "node", "left").select("k1", "k2", "n", F.coalesce("label", "node").alias("component_id")), "of")
+    out = light.select("doc_id", "n", "k1", "k2").join(of, ["k1", "k2", "n"], "left")
     one = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     out = scratch.keep(out.select("doc_id", F.col("n").alias("n_shingles"), one.cast("long").alias("component_id")), "result")
-    scratch.drop(rows, mine, near, pairs, opened)
+    scratch.drop(light, same, near, found, links, labels, own, grouped, busy, kept, pairs, more, all_links, labels2, of)
     return out
 
 
