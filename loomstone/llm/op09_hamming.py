@@ -2,24 +2,34 @@
 
 Vectors are scaled by the largest norm and given one more coordinate, so that the largest inner product is the least
 angle. A rotation learned on a bounded sample (principal axes, then iterative quantisation) makes BITS signs of each.
-A code is cut into four substrings of 16 bits, each with an index of its values. If two codes differ in at most r bits,
-one of the four substrings differs in at most r // 4; so the index entries near in one substring hold every code
-within r. Those codes are then taken to the exact distance r, and what is within is ranked by inner products of the
-original vectors in double precision. r is that of a QUANTILE of true neighbours, measured on the sample at the depth
-that TOP neighbours of all rows have there. Each vector is indexed, none is sampled away.
+A code is cut into four substrings of 16 bits, each with an index from its values to the rows that hold them. If two
+codes differ in at most r = 4 a + b bits, then one of the first b + 1 substrings differs in at most a, or one of the
+others in at most a - 1; so these buckets hold every code within r. They are looked up by flipping bits of the query's
+substring, or, if that makes more values than are there, by trying the values that are there. The codes found are taken
+to the exact distance r, and what is within is ranked by inner products of the original vectors in double precision. r
+is that of a QUANTILE of true neighbours, measured on the sample at the depth that TOP neighbours of all rows have
+there. Each vector is indexed, none is sampled away.
 
-A query for which fewer than TOP codes lie within r is asked again, and its r is widened in each shard by STEP bits
-until TOP of the shard's codes, or all of them, lie within; so each query gets TOP rows, or all its candidates.
+A query for which fewer than TOP codes lie within r is asked again with a radius of its own: the distance of its
+TOP-th nearest code among all rows. So each query gets TOP rows, or all its candidates, whatever the shards.
 
-Work units are (SHARD vectors, BLOCK queries): each holds a bounded part in memory and sends on TOP rows a query.
+Work units are (at most SHARD vectors, at most BLOCK queries): each holds a bounded part in memory and sends on TOP
+rows a query. A query meets every shard, since a row of any shard may be near.
+
+Scores are sums in one fixed order, so equal vectors have equal scores; a matrix product only tells which rows may be
+among the TOP.
 
 Defined cases: vectors null, empty, zero, of another length than most, or holding null or non-finite numbers take no
-part, nor do rows without vec_id; ties go to the smaller vec_id; a query's own vec_id is no candidate of it; repeated
-rows stay; fewer candidates than TOP give fewer rows; an empty table gives an empty result; other columns are ignored.
+part, nor do rows without vec_id; ties go to the smaller vec_id; rows with a query's own vec_id are no candidates of
+it; of several rows with a query's vec_id the least vector asks; repeated candidate rows stay; fewer candidates than
+TOP give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,8 +37,21 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, read_table
 
-TOP, BITS, PART, SHARD, BLOCK, SAMPLE, QUANTILE, STEP = 20, 64, 16, 16_384, 4096, 4000, 0.97, 4
+TOP, BITS, PART, SHARD, BLOCK, SAMPLE, QUANTILE = 20, 64, 16, 131_072, 32_768, 4000, 0.97
+PARTS = BITS // PART
 POPCOUNT = np.bitwise_count(np.arange(1 << PART, dtype=np.uint32)).astype(np.uint8)
+_flips: dict[int, np.ndarray] = {}
+
+
+def flips(most: int) -> np.ndarray:
+    """All substrings with at most `most` bits set."""
+    if most not in _flips:
+        _flips[most] = np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(PART), k)], np.uint32)
+    return _flips[most]
+
+
+def number_of_flips(most: int) -> int:
+    return int(np.count_nonzero(POPCOUNT <= most))
 
 
 class Codes:
@@ -74,32 +97,48 @@ class Codes:
 
 
 class MultiIndex:
-    """Of codes, for each substring its distinct values and which each code has."""
+    """Of codes, for each substring the rows by value."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.parts = [np.unique((codes >> np.uint64(PART * k)).astype(np.uint32) & 0xFFFF, return_inverse=True) for k in range(BITS // PART)]
-
-    def within(self, queries: np.ndarray, r: int) -> list[np.ndarray]:
-        """For each query the places of every code within r bits."""
-        hit = np.zeros((len(queries), len(self.codes)), bool)
-        for k, (values, which) in enumerate(self.parts):
-            q = (queries >> np.uint64(PART * k)).astype(np.uint32) & 0xFFFF
-            near = POPCOUNT[values[None, :] ^ q[:, None]] <= r // (BITS // PART)
-            hit |= near[:, which]
-        out = []
-        for q, row in zip(queries, hit):
-            at = np.flatnonzero(row)
-            out.append(at[np.bitwise_count(self.codes[at] ^ q) <= r])
-        return out
-
-    def widened(self, q: np.uint64, r: int, allowed: np.ndarray, least: int) -> np.ndarray:
-        """The places of allowed codes within the first of r, r + STEP, ... bits that holds `least` of them, or all."""
-        places = np.flatnonzero(allowed)
-        d = np.bitwise_count(self.codes[places] ^ q)
-        while r < BITS and np.count_nonzero(d <= r) < least:
-            r += STEP
-        return places[d <= r]
+        self.parts = []
+        for k in range(PARTS):
+            x = self.substring(codes, k)
+            rows = np.argsort(x, kind="stable")
+            values, start = np.unique(x[rows], return_index=True)
+            place = np.full(1 << PART, -1, np.int32)
+            place[values] = np.arange(len(values))
+            self.parts.append((values, np.append(start, len(x)), rows, place))
+
+    @staticmethod
+    def substring(codes, k: int):
+        return (codes >> np.uint64(PART * k)).astype(np.uint32) & np.uint32((1 << PART) - 1)
+
+    def within(self, q: np.uint64, r: int) -> np.ndarray:
+        """The places of every code within r bits of q, in ascending order."""
+        if r >= BITS:
+            return np.arange(len(self.codes))
+        a, b = divmod(r, PARTS)
+        spans, size = [], 0
+        for k, (values, start, rows, place) in enumerate(self.parts):
+            most, own = (a if k <= b else a - 1), self.substring(q, k)
+            if most < 0:
+                continue
+            if number_of_flips(most) < len(values):
+                at = place[own ^ flips(most)]
+                at = at[at >= 0]
+            else:
+                at = np.flatnonzero(POPCOUNT[values ^ own] <= most)
+            spans.append((rows, start[at], start[at + 1]))
+            size += int((start[at + 1] - start[at]).sum())
+        if size >= len(self.codes):  # the buckets hold as much as the shard, so its codes are read in order
+            return np.flatnonzero(np.bitwise_count(self.codes ^ q) <= r)
+        found = []
+        for rows, s, e in spans:
+            n = e - s
+            found.append(rows[np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return at[np.bitwise_count(self.codes[at] ^ q) <= r]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -115,66 +154,83 @@ def _array(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
+def best(v: np.ndarray, ids: np.ndarray, at: np.ndarray, q: np.ndarray, top: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows `at`, the places and scores of the top by score, then vec_id; reach: no product is larger."""
+    if len(at) > 4 * top:
+        rough = v[at] @ q
+        edge = np.partition(rough, len(rough) - top)[len(rough) - top]
+        # no order of summing moves a product by more than this; reach is at least |q| |v|
+        at = at[rough >= edge - 4 * len(q) * np.finfo(float).eps * reach]
+    score = (v[at] * q).sum(1)
+    order = np.lexsort((ids[at], -score))[:top]
+    return at[order], score[order]
+
+
+def search(vectors: DataFrame, is_query, top: int = TOP, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for vectors(vec_id, embedding); is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hamming")
     result = "query_id long, rank int, vec_id long, score double"
-    x = scratch.keep(usable(vectors), "vectors")
+    x = scratch.keep(usable(vectors).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     common = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], result)
     x = x.filter(F.size("v") == common["n"])
     square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
-    rows, largest, queries = x.agg(F.count(F.lit(1)), F.max(square), F.sum(is_query.cast("int"))).first()
-    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
+    rows, largest = x.agg(F.count(F.lit(1)), F.max(square)).first()
+    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id", "uid").limit(SAMPLE).select("v").toPandas()["v"]
     seen = np.stack(sample.to_numpy())
     codes = Codes(seen, float(largest) ** 0.5)
     r = codes.radius(seen, rows)
-    shards = -(-rows // SHARD)
+    # small tables are cut finer, so that every core has work; what is found does not depend on it
+    shards = max(-(-rows // shard), min(spark.sparkContext.defaultParallelism, -(-rows // 4096)))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    wanted = x.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("times"))
+    wanted = scratch.keep(wanted.withColumn("r", F.lit(r)), "queries")
 
-    def ranked(asked: DataFrame, count: int, widen: bool) -> DataFrame:
-        blocks = -(-(count or 1) // BLOCK)
-        base = x.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    def met(asked: DataFrame, work: Callable) -> DataFrame:
+        """work(vec_ids, vectors, index, own ids, queries, codes, radii) on each unit of shard and block."""
+        blocks = max(1, -(-asked.count() // block))
+        base = x.select("vec_id", "v", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        sent = asked.select("query_id", "v", "r", F.pmod(F.xxhash64("query_id", F.lit(9)), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            out: tuple[list, list, list] = ([], [], [])
+            found: list[tuple] = []
             if len(left) and len(right):
-                ids, v = np.asarray(left["vec_id"]), _array(left["v"])
-                own, q = np.asarray(right["vec_id"]), _array(right["v"])
-                index, qc = MultiIndex(codes.of(v)), codes.of(q, True)
-                for s in range(0, len(q), 128):
-                    for k, at in enumerate(index.within(qc[s : s + 128], r), s):
-                        at = at[ids[at] != own[k]]
-                        if widen and len(at) < top:
-                            at = index.widened(qc[k], r, ids != own[k], top)
-                        score = v[at] @ q[k]
-                        if len(at) > 4 * top:
-                            edge = np.partition(score, len(score) - top)[len(score) - top]
-                            at, score = at[score >= edge], score[score >= edge]
-                        best = np.lexsort((ids[at], -score))[:top]
-                        out[0].append(np.full(len(best), own[k]))
-                        out[1].append(ids[at[best]])
-                        out[2].append(score[best])
+                q = _array(right["v"])
+                found = list(work(np.asarray(left["vec_id"]), _array(left["v"]), np.asarray(right["query_id"]), q, codes.of(q, True), np.asarray(right["r"])))
             kinds = (np.int64, np.int64, np.float64)
-            return pa.table([pa.array(np.concatenate([np.zeros(0, t), *c])) for c, t in zip(out, kinds)], ["query_id", "vec_id", "score"])
-
-        found = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
-
-    first = scratch.keep(ranked(x.filter(is_query), queries or 0, False), "first")
-    wanted = x.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.count(F.lit(1)).alias("times"))
+            return pa.table([pa.array(np.concatenate([np.zeros(0, t), *[f[i] for f in found]])) for i, t in enumerate(kinds)], ["query_id", "vec_id", "score"])
+
+        return base.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+
+    def nearest(ids, v, own, q, qc, radius):
+        index = MultiIndex(codes.of(v))
+        for k in range(len(q)):
+            at = index.within(qc[k], int(radius[k]))
+            at, score = best(v, ids, at[ids[at] != own[k]], q[k], top, codes.top * float(np.linalg.norm(q[k])))
+            yield np.full(len(at), own[k]), ids[at], score
+
+    def distances(ids, v, own, q, qc, radius):
+        """The least distances of codes, as scores."""
+        c = codes.of(v)
+        for k in range(len(q)):
+            d = np.bitwise_count(c[ids != own[k]] ^ qc[k])
+            d = np.partition(d, top - 1)[:top] if len(d) > top else d
+            yield np.full(len(d), own[k]), np.zeros(len(d), np.int64), d.astype(float)
+
+    ranked = lambda f: f.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    first = scratch.keep(ranked(met(wanted, nearest)), "first")
     short = wanted.join(first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found")), "query_id", "left")
-    # A query that stands several times has each candidate as often, so its rows do not tell; it is asked again.
-    short = short.filter((F.coalesce("found", F.lit(0)) < F.least(F.lit(top), F.lit(rows) - F.col("times"))) | (F.col("times") > 1))
-    short = scratch.keep(short.select("query_id", "times"), "short")
-    count = short.agg(F.sum("times")).first()[0]
-    if not count:
+    short = scratch.keep(short.filter(F.coalesce("found", F.lit(0)) < F.least(F.lit(top), F.lit(rows) - F.col("times"))).select("query_id", "v"), "short")
+    if not short.limit(1).count():
         return first
-    asked = scratch.keep(x.join(short.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), "asked")
-    return first.join(short, "query_id", "left_anti").unionByName(ranked(asked, count, True))
+    closest = Window.partitionBy("query_id").orderBy("score")
+    radii = met(short.withColumn("r", F.lit(r)), distances).withColumn("nth", F.row_number().over(closest)).filter(F.col("nth") <= top)
+    radii = radii.groupBy("query_id").agg(F.max("score").cast("int").alias("r"))
+    again = scratch.keep(short.join(radii, "query_id"), "again")
+    second = scratch.keep(ranked(met(again, nearest)), "second")
+    return first.join(short.select("query_id"), "query_id", "left_anti").unionByName(second)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
