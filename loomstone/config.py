@@ -35,8 +35,15 @@ class Config:
 CONFIG = Config()
 
 # Element tags, noise and stop words that results depend on.
-NOISE_TAGS = ("script", "style", "noscript", "nav", "header", "footer")
+NOISE_SELECTORS = (
+    "nav", "footer", "header",
+    "#mw-navigation", "#mw-panel", ".vector-header", ".vector-menu",
+    ".navbox", ".mw-editsection", "#siteNotice", ".ambox", ".noprint",
+    "script", "style", "noscript",
+)
+NOISE_TAGS = tuple(s for s in NOISE_SELECTORS if s[0] not in "#.")
 HEADING_TAGS = ("h1", "h2", "h3", "h4")
 ELEMENT_TAGS = ("h1", "h2", "h3", "h4", "p", "table", "figure", "img", "ul", "ol", "blockquote", "pre")
 STOP_WORDS = tuple("a an the of to in and is are was were be been being for on with as by at from this that".split())
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 STATES = ("inactive", "active", "opened", "pruned")

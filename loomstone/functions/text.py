@@ -74,9 +74,9 @@ def contains_answer(answer: Column, text: Column, trim: bool = True) -> Column:
 
 
 def normalized_answer(text: Column) -> Column:
-    """Lower case, no ASCII punctuation, no articles, single spaces."""
+    """Lower case, no ASCII punctuation, no articles (words of any script are told apart), single spaces."""
     x = F.regexp_replace(F.lower(text), r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]""", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def exact_match(a: Column, b: Column) -> Column:

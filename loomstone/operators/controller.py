@@ -59,6 +59,12 @@ def controller_log(scores: DataFrame, near: DataFrame, config: Config = CONFIG)
     return scores.select("unit", "pos", "score").groupBy("unit").cogroup(near.groupBy("unit")).applyInPandas(run, LOG)
 
 
+def reading_neighbours(tiles: DataFrame) -> DataFrame:
+    """(unit, pos, other, rank) of tiles numbered in reading order: the one before, then the one after."""
+    around = F.array(F.struct((F.col("pos") - 1).alias("other"), F.lit(0).alias("rank")), F.struct((F.col("pos") + 1).alias("other"), F.lit(1).alias("rank")))
+    return tiles.select("unit", "pos", F.explode(around).alias("a")).select("unit", "pos", "a.other", "a.rank")
+
+
 def static_top_k(scores: DataFrame, k: int = CONFIG.budget) -> DataFrame:
     return scores.withColumn("n", F.row_number().over(Window.partitionBy("unit").orderBy(F.col("score").desc(), "pos"))).filter(F.col("n") <= k).select("unit", "pos", "score")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.config import CONFIG
-from loomstone.functions.text import slug_of_url
+from loomstone.config import CONFIG, Config
+from loomstone.functions.text import slug_of_url, wiki_slug
+from loomstone.operators import graph, tiling
+from loomstone.operators.sectioning import section_units
 
 
 def namespaced(df: DataFrame, *ids: str) -> DataFrame:
@@ -48,6 +50,55 @@ def frontier(edges: DataFrame, node_types: DataFrame) -> DataFrame:
     return linked.unionByName(onward).join(contains, "page").select("src", F.col("el").alias("dst")).distinct()
 
 
+def containing_page(edges: DataFrame) -> DataFrame:
+    """(unit, node, page): the page that contains an element."""
+    return edges.filter("relation = 'contains'").select("unit", F.col("dst").alias("node"), F.col("src").alias("page"))
+
+
+def rewired_wiki(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """links(..., href) with dst: the page node of entries(slug) named by the decoded address after /wiki/, else the placeholder."""
+    x = links.withColumn("slug", wiki_slug(F.col("href")))
+    known = entries.select("slug").distinct().withColumn("node", F.concat("slug", F.lit("::page")))
+    return x.join(known, "slug", "left").withColumn("dst", F.coalesce("node", F.concat(F.lit("ext::"), "href"))).drop("node", "slug")
+
+
+def chain_order(units: DataFrame, *keys: str) -> DataFrame:
+    """units(..., unit, section_unit, section) with place: pages in order of their name, each followed along its chain of sections."""
+    return units.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("unit", "section")) - 1)
+
+
+def page_graph(elements: DataFrame, config: Config = CONFIG, semantic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of pages from elements with boxes: tiles, their graph, and for pages that are too high a graph a section, chained by `continues`.
+
+    Node ids of sections are `page__secN::id`; the entry page of a unit is its first page node."""
+    t = tiling.build_section_tiles(elements, config).select("unit", F.col("tile_seq").alias("seq"), F.col("dom_tag").alias("tag"), "x", "y", F.col("width").alias("w"), F.col("height").alias("h"), F.col("text_preview").alias("text"), "links")
+    t = graph.reading_order(t, config.row_tolerance)
+    links = t.select("unit", "seq", F.posexplode("links").alias("nth", "l")).select("unit", "seq", "nth", "l.href", "l.anchor_text")
+    n, e = graph.nodes(t), graph.edges(t.drop("links"), links, semantic)
+    part = F.contains("unit", F.lit("__sec"))
+    own = lambda c: F.when(part & ~F.startswith(F.col(c), F.lit("ext::")), F.concat_ws("::", "unit", c)).otherwise(F.col(c))
+    page = F.substring_index("unit", "__sec", 1)
+    n = n.withColumn("node_id", own("node_id")).withColumn("section", F.when(part, F.substring_index("unit", "__sec", -1).cast("int")).otherwise(0)).withColumn("unit", page)
+    e = e.withColumn("src", own("src")).withColumn("dst", own("dst")).withColumn("unit", page)
+    chain = continues(section_units(elements, config.max_page_height)).select("unit", "src", "dst", F.lit("continues").alias("relation"))
+    return n, e.unionByName(chain, allowMissingColumns=True)
+
+
+def corpus_edges(edges: DataFrame, crawled: DataFrame, targets: DataFrame) -> DataFrame:
+    """(seed, src, dst, relation) of each seed page with the pages it was crawled to.
+
+    edges(unit, src, dst, relation) of single pages; crawled(unit, page): pages of a seed's corpus besides itself;
+    targets(href, page): which page an address is. The seed's links lead to the entry of a crawled page, else to the
+    placeholder; edges of crawled pages stay as they are."""
+    members = crawled.select(F.col("unit").alias("seed"), F.col("page").alias("unit")).unionByName(edges.select(F.col("unit").alias("seed"), "unit").distinct()).distinct()
+    x = edges.join(members, "unit")
+    inside = crawled.select(F.col("unit").alias("seed"), F.col("page").alias("target")).distinct().withColumn("known", F.lit(True))
+    x = x.join(targets.select(F.concat(F.lit("ext::"), "href").alias("dst"), F.col("page").alias("target")), "dst", "left").join(inside, ["seed", "target"], "left")
+    named = lambda c: F.when(F.startswith(F.col(c), F.lit("ext::")), F.col(c)).otherwise(F.concat_ws("::", "unit", c))
+    dst = F.when((F.col("unit") == F.col("seed")) & (F.col("relation") == "links_to") & F.coalesce("known", F.lit(False)), F.concat("target", F.lit("::page"))).otherwise(named("dst"))
+    return x.select("seed", named("src").alias("src"), dst.alias("dst"), "relation")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, near, back): reading-order neighbours, those before first."""
     r = edges.filter("relation = 'reading_order'")

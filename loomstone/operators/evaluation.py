@@ -28,10 +28,10 @@ def attachment(ranked: DataFrame, answers: DataFrame) -> DataFrame:
     return x.groupBy("condition", "question").agg(F.min(F.when(holds, F.col("rank") + 1)).alias("best"), F.count(F.lit(1)).alias("n"))
 
 
-def attachment_summary(found: DataFrame) -> DataFrame:
+def attachment_summary(found: DataFrame, *keys: str) -> DataFrame:
     rank = percentile_rank(F.col("best"), F.col("n"))
     share = lambda k: F.round(F.avg(F.when(F.col("best").isNotNull(), (F.col("best") <= k).cast("double"))), 4)
-    return found.groupBy("condition").agg(F.count(F.lit(1)).alias("questions"), F.count("best").alias("attributable"), F.round(F.count("best") / F.count(F.lit(1)), 4).alias("attachment_rate"), share(1).alias("recall_at_1"), share(5).alias("recall_at_5"), F.round(F.avg(F.when(F.col("best").isNotNull(), rank)), 4).alias("percentile_rank"))
+    return found.groupBy("condition", *keys).agg(F.count(F.lit(1)).alias("questions"), F.count("best").alias("attributable"), F.round(F.count("best") / F.count(F.lit(1)), 4).alias("attachment_rate"), share(1).alias("recall_at_1"), share(5).alias("recall_at_5"), F.round(F.avg(F.when(F.col("best").isNotNull(), rank)), 4).alias("percentile_rank"))
 
 
 def paired(found: DataFrame, conditions: int) -> DataFrame:
@@ -40,6 +40,16 @@ def paired(found: DataFrame, conditions: int) -> DataFrame:
     return found.join(both.select("question"), "question", "left_semi")
 
 
+def coverage_rates(covered: DataFrame) -> DataFrame:
+    """(method, questions, full_coverage, mean_opened) of covered(method, pages, covered, opened): how often all pages of a question are covered."""
+    return covered.groupBy("method").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg((F.col("covered") == F.col("pages")).cast("double")), 4).alias("full_coverage"), F.round(F.avg("opened"), 4).alias("mean_opened"))
+
+
+def answer_means(scored: DataFrame, *keys: str) -> DataFrame:
+    """Means of em, f1 and anls."""
+    return scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("em", "f1", "anls")])
+
+
 def answer_metrics(predictions: DataFrame) -> DataFrame:
     """predictions(predicted, gold) with em, f1 and anls."""
     p, g = F.coalesce("predicted", F.lit("")), F.coalesce("gold", F.lit(""))

@@ -14,18 +14,26 @@ EDGE = ("unit", "src", "dst", "relation", "direction", "similarity", "anchor_tex
 
 
 def reading_order(tiles: DataFrame, tolerance: float = CONFIG.row_tolerance) -> DataFrame:
-    """tiles with row_idx, col_idx and read_pos. A row is all that lies within the tolerance of its topmost tile; an ordered fold in the JVM."""
-    items = F.sort_array(F.collect_list(F.struct("y", "seq")))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("row"), F.expr("cast(array() as array<struct<seq:int,row:int>>)").alias("out"))
+    """tiles with row_idx, col_idx and read_pos. A row is all that lies within the tolerance of its topmost tile.
+
+    A gap above the tolerance starts a row in any case, so the ordered fold runs over the tiles between two gaps only."""
+    order = Window.partitionBy("unit").orderBy("y", "seq")
+    gap = F.coalesce(F.col("y") - F.lag("y").over(order) > tolerance, F.lit(True))
+    x = tiles.repartition("unit").withColumn("gap", gap).withColumn("part", F.sum(F.col("gap").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.expr("cast(array() as array<int>)").alias("starts"))
 
     def step(s, i):
         new = s["top"].isNull() | (i["y"] - s["top"] > tolerance)
-        row = s["row"] + new.cast("int")
-        return F.struct(F.when(new, i["y"].cast("double")).otherwise(s["top"]).alias("top"), row.alias("row"), F.concat(s["out"], F.array(F.struct(i["seq"].alias("seq"), row.alias("row")))).alias("out"))
-
-    rows = tiles.groupBy("unit").agg(items.alias("items")).select("unit", F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o"))
-    x = tiles.join(rows.select("unit", F.col("o.seq").alias("seq"), F.col("o.row").alias("row_idx")), ["unit", "seq"])
-    x = x.withColumn("col_idx", F.row_number().over(Window.partitionBy("unit", "row_idx").orderBy("x", "y", "seq")) - 1)
+        return F.struct(F.when(new, i["y"]).otherwise(s["top"]).alias("top"), F.when(new, F.array_append(s["starts"], i["seq"])).otherwise(s["starts"]).alias("starts"))
+
+    items = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("seq").cast("int").alias("seq"))))
+    # only parts of several tiles need the fold
+    several = x.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("unit", "part")))
+    folded = several.filter("of > 2").groupBy("unit", "part").agg(items.alias("items")).select("unit", "part", F.aggregate("items", start, step, lambda s: s["starts"]).alias("starts"))
+    x = several.join(folded, ["unit", "part"], "left")
+    starts = F.when(F.col("of") <= 2, F.col("gap")).otherwise(F.array_contains("starts", F.col("seq")))
+    x = x.withColumn("row_idx", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("gap", "part", "of", "starts")
+    x = x.withColumn("row_idx", F.col("row_idx").cast("int")).withColumn("col_idx", F.row_number().over(Window.partitionBy("unit", "row_idx").orderBy("x", "y", "seq")) - 1)
     return x.withColumn("read_pos", F.row_number().over(Window.partitionBy("unit").orderBy("row_idx", "col_idx")) - 1)
 
 
@@ -52,15 +60,20 @@ def below_edges(t: DataFrame) -> DataFrame:
     return down.union(down.select("unit", F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("above").alias("direction")))
 
 
-def section_edges(t: DataFrame) -> DataFrame:
-    """Parent: the nearest heading before of a smaller level; for content the nearest heading before."""
+def section_parent():
+    """seq of the heading above a tile, over tiles in reading order."""
     order = Window.partitionBy("unit").orderBy("read_pos").rowsBetween(Window.unboundedPreceding, -1)
-    x = t.withColumn("level", heading_level(F.col("tag")))
-    up = [F.last(F.when(F.col("level") <= k, F.col("seq")), ignorenulls=True).over(order) for k in range(1, 5)]
-    parent = F.when(F.col("level").isNull(), up[3])
+    level = heading_level(F.col("tag"))
+    up = [F.last(F.when(level <= k, F.col("seq")), ignorenulls=True).over(order) for k in range(1, 5)]
+    parent = F.when(level.isNull(), up[3])
     for k in range(2, 5):
-        parent = parent.when(F.col("level") == k, up[k - 2])
-    return x.select("unit", parent.alias("src"), F.col("seq").alias("dst")).filter("src IS NOT NULL")
+        parent = parent.when(level == k, up[k - 2])
+    return parent
+
+
+def section_edges(t: DataFrame) -> DataFrame:
+    """Parent: the nearest heading before of a smaller level; for content the nearest heading before."""
+    return t.select("unit", section_parent().alias("src"), F.col("seq").alias("dst")).filter("src IS NOT NULL")
 
 
 def link_edges(t: DataFrame, links: DataFrame, most: int = CONFIG.max_linked_tiles) -> DataFrame:
@@ -85,17 +98,30 @@ def capped_neighbours(pairs: DataFrame, most: int = CONFIG.max_semantic_neighbou
     return pairs.select("unit", "i", "j", "similarity").groupBy("unit").applyInPandas(run, "unit string, i int, j int, similarity double")
 
 
+def tile_id(seq):
+    """tile_ and at least four digits."""
+    s = seq.cast("string")
+    return F.concat(F.lit("tile_"), F.when(F.length(s) < 4, F.lpad(s, 4, "0")).otherwise(s))
+
+
 def _edge(df: DataFrame, relation: str, src=None, dst=None) -> DataFrame:
-    node = lambda c: F.concat(F.lit("tile_"), F.lpad(c.cast("string"), 4, "0"))
+    node = tile_id
     have = {c: F.col(c) if c in df.columns else F.lit(None).cast("double" if c == "similarity" else "string") for c in EDGE[4:]}
     return df.select("unit", (node(F.col("src")) if src is None else src).alias("src"), (node(F.col("dst")) if dst is None else dst).alias("dst"), F.lit(relation).alias("relation"), *[v.alias(k) for k, v in have.items()])
 
 
 def edges(t: DataFrame, links: DataFrame | None = None, semantic: bool = False) -> DataFrame:
     """All relations of tiles in reading order; equal edges are kept apart."""
-    out = _edge(t.select("unit", F.col("seq").alias("dst")), "contains", src=F.lit("page"))
-    for df, relation in ((reading_edges(t), "reading_order"), (side_edges(t), "layout_adjacency"), (below_edges(t), "layout_adjacency"), (section_edges(t), "section_hierarchy")):
-        out = out.unionByName(_edge(df, relation))
+    # what windows tell of a tile goes out in one pass; only the row below needs a join
+    nxt = F.lead("seq").over(Window.partitionBy("unit").orderBy("read_pos"))
+    right = F.lead("seq").over(Window.partitionBy("unit", "row_idx").orderBy("col_idx"))
+    x = t.withColumn("nxt", nxt).withColumn("right", right).withColumn("parent", section_parent())
+    edge = lambda src, dst, relation, direction: F.struct(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.lit(direction).cast("string").alias("direction"))
+    own, n, r = tile_id(F.col("seq")), tile_id(F.col("nxt")), tile_id(F.col("right"))
+    found = F.array(edge(F.lit("page"), own, "contains", None), edge(own, n, "reading_order", None), edge(own, r, "layout_adjacency", "right"), edge(r, own, "layout_adjacency", "left"), edge(tile_id(F.col("parent")), own, "section_hierarchy", None))
+    x = x.select("unit", F.explode(F.filter(found, lambda e: e["src"].isNotNull() & e["dst"].isNotNull())).alias("e"))
+    out = x.select("unit", "e.src", "e.dst", "e.relation", "e.direction", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("string").alias("anchor_text"))
+    out = out.unionByName(_edge(below_edges(t), "layout_adjacency"))
     if links is not None:
         e = link_edges(t, links)
         out = out.unionByName(_edge(e, "links_to", dst=F.concat(F.lit("ext::"), F.col("dst"))))
@@ -109,7 +135,7 @@ def edges(t: DataFrame, links: DataFrame | None = None, semantic: bool = False)
 
 def nodes(t: DataFrame) -> DataFrame:
     page = t.groupBy("unit").agg(F.min("seq").alias("k")).select("unit", F.lit("page").alias("node_id"), F.lit(-1).alias("pos"), F.lit("page").alias("type"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("text"), F.lit("active").alias("state"))
-    tile = t.select("unit", F.concat(F.lit("tile_"), F.lpad(F.col("seq").cast("string"), 4, "0")).alias("node_id"), F.col("read_pos").alias("pos"), F.lit("element").alias("type"), "tag", F.substring("text", 1, CONFIG.preview_chars).alias("text"), F.lit("inactive").alias("state"))
+    tile = t.select("unit", tile_id(F.col("seq")).alias("node_id"), F.col("read_pos").alias("pos"), F.lit("element").alias("type"), "tag", F.substring("text", 1, CONFIG.preview_chars).alias("text"), F.lit("inactive").alias("state"))
     return page.unionByName(tile)
 
 
@@ -132,6 +158,15 @@ def edge_ids(e: DataFrame) -> DataFrame:
     return e.withColumn("id", F.concat_ws("__", "src", "dst", key.cast("string")))
 
 
+def graph_json(n: DataFrame, e: DataFrame) -> DataFrame:
+    """(unit, json): nodes in page order and edges with their ids, as one object a page."""
+    node = F.struct("pos", F.to_json(F.struct(F.col("node_id").alias("id"), "type", "tag", "text", "state")).alias("j"))
+    edge = F.struct("id", F.to_json(F.struct("id", F.col("src").alias("source"), F.col("dst").alias("target"), "relation", "direction", "similarity", "anchor_text")).alias("j"))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda s: s["j"]), ","), F.lit("]"))
+    a, b = n.groupBy("unit").agg(listed(node).alias("nodes")), edge_ids(e).groupBy("unit").agg(listed(edge).alias("edges"))
+    return a.join(b, "unit", "left").select("unit", F.concat(F.lit('{"nodes":'), "nodes", F.lit(',"edges":'), F.coalesce("edges", F.lit("[]")), F.lit("}")).alias("json"))
+
+
 def relation_stats(e: DataFrame) -> DataFrame:
     """Edges of each relation, and their median over pages that have any."""
     per = e.groupBy("unit", "relation").agg(F.count(F.lit(1)).alias("k"))

@@ -1,4 +1,4 @@
-"""Lexical and dense relevance. Texts are rows (unit, pos, text); all scoring stays within a unit by equi-joins on (unit, term)."""
+"""Lexical and dense relevance. Texts are rows (unit, pos, text); all scoring stays within a unit."""
 
 from __future__ import annotations
 
@@ -9,58 +9,61 @@ from loomstone.config import CONFIG
 from loomstone.functions.text import content_tokens, tokens
 
 
-def term_counts(texts: DataFrame, *keys: str, stop: bool = True) -> DataFrame:
-    """(keys, term, tf)."""
-    t = content_tokens(F.col("text")) if stop else tokens(F.col("text"))
-    return texts.select(*keys, F.explode(t).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+def with_questions(asked: DataFrame) -> DataFrame:
+    """(unit, pos, text) of asked(unit, pos, text, question, positive), each question as the row of pos -1 of its unit; one pass, no join."""
+    own = F.struct("pos", "text")
+    question = F.struct(F.lit(-1).alias("pos"), F.col("question").alias("text"))
+    rows = F.when(F.col("pos") == F.col("positive"), F.array(own, question)).otherwise(F.array(own))
+    return asked.select("unit", F.explode(rows).alias("r")).select("unit", "r.pos", "r.text")
 
 
-def idf(terms: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(unit, term, idf) = ln((1 + n) / (1 + df)) + 1, n being the unit's texts with or without terms."""
-    df = terms.groupBy("unit", "term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(sizes, "unit").select("unit", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+def _against_question(texts: DataFrame, stop: bool, fit_question: bool, plain: bool) -> DataFrame:
+    """(unit, pos, score) of texts(unit, pos, text), of which pos -1 is the unit's question.
 
+    The rows are dealt by unit once; counts, document frequencies, norms and products are aggregates and windows within
+    a unit, so nothing is joined and no text is read twice."""
+    t = content_tokens(F.col("text")) if stop else tokens(F.col("text"))
+    unit, term = Window.partitionBy("unit"), Window.partitionBy("unit", "term")
+    tile = (F.col("pos") >= 0).cast("int")
+    x = texts.repartition("unit").withColumn("n", F.sum(tile).over(unit)).select("unit", "pos", "n", F.explode_outer(t).alias("term"))
+    x = x.groupBy("unit", "pos", "term").agg(F.first("n").alias("n"), F.count("term").alias("tf"))
+    x = x.withColumn("qf", F.max(F.when(F.col("pos") < 0, F.col("tf")).otherwise(0)).over(term))
+    if plain:
+        x = x.withColumn("idf", F.lit(1.0))
+    else:
+        n, df = (F.col("n") + 1, F.count(F.lit(1)).over(term)) if fit_question else (F.col("n"), F.sum(tile).over(term))
+        x = x.withColumn("df", df).withColumn("idf", F.when(F.col("df") > 0, F.log((1 + n) / (1 + F.col("df"))) + 1).otherwise(0.0))
+    w, q = F.col("tf") * F.col("idf"), F.col("qf") * F.col("idf")
+    x = x.groupBy("unit", "pos").agg(F.sum(w * w).alias("own"), F.sum(w * q).alias("dot"))
+    # the question's own product with itself is the square of its length
+    x = x.withColumn("asked", F.max(F.when(F.col("pos") < 0, F.col("dot"))).over(unit)).filter("pos >= 0 AND asked IS NOT NULL")
+    score = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("own") * F.sqrt("asked")), F.lit(0.0))
+    return x.select("unit", "pos", F.round(score, 6).alias("score"))
 
-def weighted(terms: DataFrame, idfs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, term, w) of unit length."""
-    x = terms.join(idfs, ["unit", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
-    return x.select(*keys, "term", (F.col("raw") / norm).alias("w"))
 
+def _both(tiles: DataFrame, questions: DataFrame) -> DataFrame:
+    return tiles.select("unit", "pos", "text").unionByName(questions.select("unit", F.lit(-1).alias("pos"), "text"))
 
-def question_scores(tiles: DataFrame, questions: DataFrame, fit_question: bool = False) -> DataFrame:
-    """(unit, pos, score) of tiles(unit, pos, text) for one question(unit, text) a unit; tiles without common terms score 0.
+
+def question_scores(tiles: DataFrame, questions: DataFrame | None = None, fit_question: bool = False) -> DataFrame:
+    """(unit, pos, score) of tiles(unit, pos, text) for one question(unit, text) a unit, or of texts with questions at pos -1; tiles without common terms score 0.
 
     fit_question: the question counts in n and df; else terms that no tile has are dropped."""
-    t = term_counts(tiles, "unit", "pos")
-    q = term_counts(questions.withColumn("pos", F.lit(-1)), "unit", "pos")
-    sizes = tiles.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    if fit_question:
-        sizes = sizes.withColumn("n", F.col("n") + 1)
-        weights = idf(t.unionByName(q), sizes)
-    else:
-        weights = idf(t, sizes)
-    a, b = weighted(t, weights, "unit", "pos"), weighted(q, weights, "unit", "pos").select("unit", "term", F.col("w").alias("v"))
-    dots = a.join(b, ["unit", "term"]).groupBy("unit", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-    base = tiles.join(questions.select("unit"), "unit", "left_semi").select("unit", "pos")
-    return base.join(dots, ["unit", "pos"], "left").select("unit", "pos", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    return _against_question(tiles if questions is None else _both(tiles, questions), True, fit_question, False)
 
 
-def count_cosine(tiles: DataFrame, questions: DataFrame) -> DataFrame:
+def count_cosine(tiles: DataFrame, questions: DataFrame | None = None) -> DataFrame:
     """As question_scores, on plain token counts without stop words or idf."""
-    t, q = term_counts(tiles, "unit", "pos", stop=False), term_counts(questions, "unit", stop=False).withColumnRenamed("tf", "qf")
-    tn = t.groupBy("unit", "pos").agg(F.sum(F.col("tf") * F.col("tf")).alias("tn"))
-    qn = q.groupBy("unit").agg(F.sum(F.col("qf") * F.col("qf")).alias("qn"))
-    dots = t.join(q, ["unit", "term"]).groupBy("unit", "pos").agg(F.sum(F.col("tf") * F.col("qf")).alias("dot"))
-    s = dots.join(tn, ["unit", "pos"]).join(qn, "unit").select("unit", "pos", (F.col("dot") / F.sqrt((F.col("tn") * F.col("qn")).cast("double"))).alias("s"))
-    return tiles.select("unit", "pos").join(questions.select("unit"), "unit", "left_semi").join(s, ["unit", "pos"], "left").select("unit", "pos", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    return _against_question(tiles if questions is None else _both(tiles, questions), False, True, True)
 
 
 def similar_pairs(texts: DataFrame, least: float = CONFIG.semantic_threshold) -> DataFrame:
-    """(unit, i, j, similarity) of texts of one unit, by an inverted index on (unit, term)."""
-    t = term_counts(texts, "unit", "pos")
-    sizes = texts.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    w = weighted(t, idf(t, sizes), "unit", "pos")
+    """(unit, i, j, similarity) of texts of one unit, by an inverted index on (unit, term). Terms of one text alone meet nothing and are left out."""
+    unit, term, own = Window.partitionBy("unit"), Window.partitionBy("unit", "term"), Window.partitionBy("unit", "pos")
+    x = texts.select("unit", "pos", "text").repartition("unit").withColumn("n", F.count(F.lit(1)).over(unit))
+    x = x.select("unit", "pos", "n", F.explode(content_tokens(F.col("text"))).alias("term")).groupBy("unit", "pos", "term").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("tf"))
+    x = x.withColumn("df", F.count(F.lit(1)).over(term)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    w = x.withColumn("w", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(own))).filter("df > 1")
     a, b = w.select("unit", "term", F.col("pos").alias("i"), F.col("w").alias("wi")), w.select("unit", "term", F.col("pos").alias("j"), F.col("w").alias("wj"))
     dots = a.join(b, ["unit", "term"]).filter("i < j").groupBy("unit", "i", "j").agg(F.round(F.sum(F.col("wi") * F.col("wj")), 6).alias("similarity"))
     return dots.filter(F.col("similarity") >= least)

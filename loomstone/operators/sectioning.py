@@ -22,16 +22,17 @@ def height_chunks(e: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Elements with chunk: a new chunk starts where an element ends more than `most` below the chunk's first one.
 
     An ordered fold over each group's elements, inside the JVM."""
-    items = F.sort_array(F.collect_list(F.struct("y", "seq", "h")))
-    start = F.struct(F.lit(None).cast("long").alias("top"), F.lit(-1).alias("chunk"), F.expr("cast(array() as array<struct<seq:int,chunk:int>>)").alias("out"))
+    items = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("seq").cast("int").alias("seq"), F.col("h").cast("double").alias("h"))))
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.expr("cast(array() as array<int>)").alias("starts"))
 
-    def step(s, i):
+    def step(s, i):  # only where a chunk starts is there something to keep
         new = s["top"].isNull() | (i["y"] + i["h"] - s["top"] > most)
-        chunk = s["chunk"] + new.cast("int")
-        return F.struct(F.when(new, i["y"]).otherwise(s["top"]).alias("top"), chunk.alias("chunk"), F.concat(s["out"], F.array(F.struct(i["seq"].alias("seq"), chunk.alias("chunk")))).alias("out"))
+        return F.struct(F.when(new, i["y"]).otherwise(s["top"]).alias("top"), F.when(new, F.array_append(s["starts"], i["seq"])).otherwise(s["starts"]).alias("starts"))
 
-    folded = e.groupBy(*keys).agg(items.alias("items")).select(*keys, F.explode(F.aggregate("items", start, step, lambda s: s["out"])).alias("o"))
-    return e.join(folded.select(*keys, F.col("o.seq").alias("seq"), F.col("o.chunk").alias("chunk")), [*keys, "seq"])
+    folded = e.groupBy(*keys).agg(items.alias("items")).select(*keys, F.aggregate("items", start, step, lambda s: s["starts"]).alias("starts"))
+    order = Window.partitionBy(*keys).orderBy("y", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = e.join(folded, keys).withColumn("chunk", (F.sum(F.array_contains("starts", F.col("seq")).cast("int")).over(order) - 1).cast("int"))
+    return x.drop("starts")
 
 
 def split_sections(e: DataFrame, most: int = CONFIG.max_page_height) -> DataFrame:

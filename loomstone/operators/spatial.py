@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.config import CONFIG
@@ -21,9 +21,11 @@ def _box(name: str) -> list[Column]:
 
 def unnested(e: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Elements not contained in an earlier one by (depth, seq): the anti-join form, exact for tolerance 0."""
-    a, b = _side(e, "a"), _side(e.select("unit", "seq", "depth", *BOX), "b")
+    band = CONFIG.band_height
+    reach = F.sequence(F.floor((F.col("y") - tolerance) / band), F.floor((F.col("y") + F.col("h") + tolerance) / band))
+    a, b = _side(e.withColumn("band", F.floor(F.col("y") / band)), "a"), _side(e.select("unit", "seq", "depth", *BOX, F.explode(reach).alias("band")), "b")
     before = (F.col("b_depth") < F.col("a_depth")) | ((F.col("b_depth") == F.col("a_depth")) & (F.col("b_seq") < F.col("a_seq")))
-    out = a.join(b, (a.unit == b.unit) & before & contained(*_box("a"), *_box("b"), tolerance), "left_anti")
+    out = a.join(b, (a.unit == b.unit) & (a.a_band == b.b_band) & before & contained(*_box("a"), *_box("b"), tolerance), "left_anti")
     return out.select("unit", *[F.col(f"a_{c}").alias(c) for c in e.columns if c != "unit"])
 
 
@@ -69,11 +71,35 @@ def text_chunks(e: DataFrame, cutoff: int | None = None, size: int = CONFIG.chun
 
 
 def patches(e: DataFrame, most: int = 300) -> DataFrame:
-    """Slices of at most `most` height of tall boxes; whole pixels, empty slices dropped."""
+    """Equal slices of at most `most` height of tall boxes, clipped to the page; top and height are cut to whole pixels each, empty slices dropped."""
     n = F.greatest(F.lit(1), F.ceil(F.col("h") / most)).cast("int")
-    x = e.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-    top, bottom = F.floor(F.col("y") + F.col("k") * F.col("h") / F.col("n")), F.floor(F.col("y") + (F.col("k") + 1) * F.col("h") / F.col("n"))
-    return x.select("unit", "seq", F.col("k").alias("patch"), "x", top.cast("long").alias("y"), "w", (bottom - top).cast("long").alias("h")).filter("h > 0 AND w > 0")
+    page = Window.partitionBy("unit")
+    x = e.withColumn("page_h", F.max(F.col("y") + F.col("h")).over(page)).withColumn("page_w", F.max(F.col("x") + F.col("w")).over(page))
+    x = x.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("slice", F.col("h") / F.col("n"))
+    x = x.withColumn("top", (F.col("y") + F.col("k") * F.col("slice")).cast("long"))
+    x = x.withColumn("high", F.least("slice", F.col("page_h") - F.col("top")).cast("long")).withColumn("left", F.greatest(F.lit(0), F.col("x").cast("long")))
+    right = F.least(F.col("page_w"), (F.col("x") + F.col("w")).cast("long")).cast("long")
+    return x.select("unit", "seq", F.col("k").alias("patch"), F.col("left").alias("x"), F.greatest(F.lit(0), F.col("top")).alias("y"), (right - F.col("left")).alias("w"), F.col("high").alias("h")).filter("h > 0 AND w > 0")
+
+
+def large_enough(e: DataFrame, least: float = 2.0) -> DataFrame:
+    """Elements wider and higher than `least` pixels."""
+    return e.filter((F.col("w") > least) & (F.col("h") > least))
+
+
+def contained_pairs(e: DataFrame, tolerance: float = CONFIG.containment_tolerance, band: int = CONFIG.band_height) -> DataFrame:
+    """(unit, i, j): element i lies in element j, up to the tolerance. An outer box reaches over the inner one's top edge, so the join is on the band of that edge beyond the unit."""
+    inner = _side(e.select("unit", "seq", *BOX), "a").withColumn("band", F.floor(F.col("a_y") / band))
+    reach = F.sequence(F.floor((F.col("y") - tolerance) / band), F.floor((F.col("y") + F.col("h") + tolerance) / band))
+    outer = _side(e.select("unit", "seq", *BOX, F.explode(reach).alias("band")), "b").withColumnRenamed("b_band", "band")
+    found = inner.join(outer, ["unit", "band"]).filter((F.col("a_seq") != F.col("b_seq")) & contained(*_box("a"), *_box("b"), tolerance))
+    return found.select("unit", F.col("a_seq").alias("i"), F.col("b_seq").alias("j"))
+
+
+def size_means(e: DataFrame) -> DataFrame:
+    """(kind, units_per_page, pixels_per_unit, pixels_per_page) by elements' kind: means over pages of each page's own count and means."""
+    page = e.groupBy("kind", "unit").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("w") * F.col("h")).alias("mean"), F.sum(F.col("w") * F.col("h")).alias("sum"))
+    return page.groupBy("kind").agg(F.round(F.avg("n"), 4).alias("units_per_page"), F.round(F.avg("mean"), 4).alias("pixels_per_unit"), F.round(F.avg("sum"), 4).alias("pixels_per_page"))
 
 
 def pixel_budget(e: DataFrame, cap: int = 1_000_000) -> DataFrame:

@@ -1,13 +1,24 @@
-"""The tile packer: sequential by nature, so a pure function of one page run by applyInPandas."""
+"""The tile packer: sequential by nature, so a pure function of one section of a page, run by applyInPandas.
+
+Roles come first: a heading takes the group after it along, elements that overlap are one tile, low ones in a row are
+gathered, all else stands alone. Only the gathering of low ones and the numbering of slices walk over the groups.
+"""
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomstone.config import CONFIG, HEADING_TAGS, Config
+from loomstone.operators.sectioning import split_sections
+
+NO_LINKS = "cast(array() as array<struct<href:string,anchor_text:string>>)"
 
 
 def _inside(a: dict, b: dict, t: float) -> bool:
@@ -15,12 +26,17 @@ def _inside(a: dict, b: dict, t: float) -> bool:
 
 
 def prune(items: list[dict], tolerance: float = 1.0) -> list[dict]:
-    """Drop what lies in something kept that is no deeper; page order stays."""
-    kept: list[dict] = []
+    """Drop what lies in something kept that is no deeper; page order stays. Kept boxes are held by their top, so that only those whose reach can cover an element are tried."""
+    kept: list[tuple[float, int, dict]] = []
+    tallest = 0.0
     for e in sorted(items, key=lambda e: (e["depth"], e["seq"])):
-        if not any(_inside(e, k, tolerance) for k in kept):
-            kept.append(e)
-    return sorted(kept, key=lambda e: e["seq"])
+        # an outer box starts at most `tallest` above what it holds
+        low = bisect.bisect_left(kept, (e["y"] + e["h"] - tallest - tolerance, -1))
+        high = bisect.bisect_right(kept, (e["y"] + tolerance, math.inf))
+        if not any(_inside(e, k, tolerance) for _, _, k in kept[low:high]):
+            bisect.insort(kept, (e["y"], e["seq"], e))
+            tallest = max(tallest, e["h"])
+    return sorted((k for _, _, k in kept), key=lambda e: e["seq"])
 
 
 def _ratio(a: dict, b: dict) -> float:
@@ -56,69 +72,98 @@ def overlap_groups(items: list[dict], least: float = 0.15) -> list[list[dict]]:
     return sorted(out, key=lambda g: by_place(g[0]))
 
 
-def pack_page(items: list[dict], config: Config = CONFIG) -> list[dict]:
-    """Tiles in emission order: a heading goes with the next group, overlapping elements make one tile, low ones are merged until they are high enough, tall ones are sliced."""
-    tiles: list[dict] = []
-    bottom = max((e["y"] + e["h"] for e in items), default=0)
-    buffer: list[dict] = []
-    pending: dict | None = None
-
-    def emit(members: list[dict], tag: str) -> None:
-        x, y = min(e["x"] for e in members), min(e["y"] for e in members)
-        w, h = max(e["x"] + e["w"] for e in members) - x, max(e["y"] + e["h"] for e in members) - y
-        n = max(1, math.ceil(h / config.max_tile_height))
-        for k in range(n):
-            top, end = int(y + k * h / n), int(min(y + (k + 1) * h / n, bottom))
-            if end > top and int(w) > 0:
-                tiles.append({"x": int(x), "y": top, "width": int(w), "height": end - top, "dom_tag": tag, "text_preview": " ".join(e["text"][: config.preview_chars] for e in members)[: config.preview_chars], "source_ids": [e["seq"] for e in members]})
-
-    def joined(members: list[dict]) -> str:
-        return "+".join(dict.fromkeys(e["tag"] for e in members))
-
-    def flush() -> None:
-        nonlocal buffer
-        if buffer:
-            emit(buffer, "merged" if len(buffer) > 1 else buffer[0]["tag"])
-        buffer = []
-
-    for group in overlap_groups(prune(items, config.containment_tolerance), config.min_overlap_ratio):
-        head = group[0]
-        if head["tag"] in HEADING_TAGS:
-            flush()
-            if pending is not None:
-                emit([pending], pending["tag"])
-            pending = head
-        elif pending is not None:
-            emit([pending, *group], joined([pending, *group]))
-            pending = None
-        elif len(group) > 1:
-            flush()
-            emit(group, joined(group))
-        elif head["h"] < config.min_tile_height:
-            buffer.append(head)
-            if max(e["y"] + e["h"] for e in buffer) - min(e["y"] for e in buffer) >= config.min_tile_height:
-                flush()
+def _tags(members: list[dict]) -> str:
+    return "+".join(dict.fromkeys(e["tag"] for e in members))
+
+
+def _gathered(low: list[dict], least: float) -> Iterator[list[dict]]:
+    """Low elements in a row, closed as soon as together they are high enough; a rest stays a tile of its own."""
+    part: list[dict] = []
+    top, bottom = math.inf, -math.inf
+    for e in low:
+        part.append(e)
+        top, bottom = min(top, e["y"]), max(bottom, e["y"] + e["h"])
+        if bottom - top >= least:
+            yield part
+            part, top, bottom = [], math.inf, -math.inf
+    if part:
+        yield part
+
+
+def assembled(groups: list[list[dict]], min_height: float) -> Iterator[tuple[str, list[dict]]]:
+    """(tag, members) of each tile, before it is sliced, in emission order."""
+    heading = [g[0]["tag"] in HEADING_TAGS for g in groups]
+    units: list[tuple[str, list[dict]]] = []
+    for i, g in enumerate(groups):
+        led = i > 0 and heading[i - 1]
+        if heading[i]:
+            if i + 1 == len(groups) or heading[i + 1]:
+                units.append(("alone", g))
+        elif led:
+            head = groups[i - 1][0]
+            units.append((f"{head['tag']}+{_tags(g)}", [head, *g]))
+        elif len(g) == 1 and g[0]["h"] < min_height:
+            units.append(("low", g))
+        else:
+            units.append(("alone", g))
+    for kind, run in groupby(units, key=lambda u: u[0] if u[0] == "low" else "other"):
+        if kind == "low":
+            for part in _gathered([g[0] for _, g in run], min_height):
+                yield "merged", part
         else:
-            flush()
-            emit(group, head["tag"])
-    flush()
-    if pending is not None:
-        emit([pending], pending["tag"])
-    return tiles
+            for tag, members in run:
+                yield _tags(members) if tag == "alone" else tag, members
+
+
+def slices(members: list[dict], max_height: int, page_width: float, page_height: float) -> Iterator[tuple[int, int, int, int]]:
+    """(x, y, width, height) in whole pixels of the box around the members, in equal slices of at most max_height, clipped to the page."""
+    x, y = min(e["x"] for e in members), min(e["y"] for e in members)
+    w, h = max(e["x"] + e["w"] for e in members) - x, max(e["y"] + e["h"] for e in members) - y
+    n = max(1, math.ceil(h / max_height))
+    left, right = max(0, int(x)), int(min(page_width, int(x + w)))
+    for k in range(n):
+        top = int(y + k * (h / n))
+        high = int(min(h / n, page_height - top))
+        end = min(int(page_height), top + high)
+        if high > 0 and right > left and end > max(0, top):
+            yield left, max(0, top), right - left, end - max(0, top)
 
 
-SCHEMA = "unit string, tile_seq int, tile_id string, x int, y int, width int, height int, dom_tag string, text_preview string, source_ids array<int>"
+def pack_page(items: list[dict], config: Config = CONFIG, size: tuple[float, float] | None = None) -> list[dict]:
+    """Tiles of one section; size: the page's width and height, by default what its elements reach."""
+    width, height = size or (max((e["x"] + e["w"] for e in items), default=0), max((e["y"] + e["h"] for e in items), default=0))
+    groups = overlap_groups(prune(items, config.containment_tolerance), config.min_overlap_ratio)
+    out = []
+    for tag, members in assembled(groups, config.min_tile_height):
+        text = " ".join(e["text"][: config.preview_chars] for e in members)[: config.preview_chars]
+        rest = {"dom_tag": tag, "text_preview": text, "source_ids": [e["seq"] for e in members], "links": [link for e in members for link in (e.get("links") if e.get("links") is not None else ())]}
+        out += [{"x": a, "y": b, "width": c, "height": d, **rest} for a, b, c, d in slices(members, config.max_tile_height, width, height)]
+    return out
+
+
+SCHEMA = "unit string, tile_seq int, tile_id string, x int, y int, width int, height int, dom_tag string, text_preview string, source_ids array<int>, links array<struct<href:string,anchor_text:string>>"
 
 
 def build_tiles(e: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """Tiles of each unit; a group is one page, which sectioning bounds."""
+    """Tiles of each unit of elements(unit, seq, tag, x, y, w, h, depth, text[, links]).
+
+    A Python group is one unit; texts are clipped to previews before they leave the JVM, so it holds boxes and previews only."""
+    links = F.col("links") if "links" in e.columns else F.expr(NO_LINKS).alias("links")
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         rows = pack_page(page.sort_values("seq").to_dict("records"), config)
-        out = pd.DataFrame(rows, columns=["x", "y", "width", "height", "dom_tag", "text_preview", "source_ids"])
+        out = pd.DataFrame(rows, columns=["x", "y", "width", "height", "dom_tag", "text_preview", "source_ids", "links"])
         out.insert(0, "tile_id", [f"tile_{i:04d}" for i in range(len(out))])
         out.insert(0, "tile_seq", range(len(out)))
         out.insert(0, "unit", page["unit"].iloc[0])
         return out
 
-    return e.select("unit", "seq", "tag", "x", "y", "w", "h", "depth", "text").groupBy("unit").applyInPandas(run, SCHEMA)
+    return e.select("unit", "seq", "tag", "x", "y", "w", "h", "depth", F.substring("text", 1, config.preview_chars).alias("text"), links).groupBy("unit").applyInPandas(run, SCHEMA)
+
+
+def build_section_tiles(e: DataFrame, config: Config = CONFIG) -> DataFrame:
+    """Tiles of pages of any height: pages higher than max_page_height are cut in sections first, and each section is a unit `page__secN` of its own."""
+    page = e.groupBy("unit").agg((F.max(F.col("y") + F.col("h")) - F.min("y")).alias("page_h"))
+    s = split_sections(e, config.max_page_height).join(page, "unit")
+    unit = F.when(F.col("page_h") > config.max_page_height, F.concat("unit", F.lit("__sec"), F.col("section").cast("string"))).otherwise(F.col("unit"))
+    return build_tiles(s.select(unit.alias("unit"), *[c for c in e.columns if c != "unit"]), config)

@@ -105,10 +105,8 @@ SQL = {
     "s1_flow_layout": _e() + "SELECT unit, seq, tag, x, y, w, h, depth, left(text, 200) AS text_preview FROM e",
     "s5_last_image_path": "SELECT role AS slug, 'tile_' || turn AS tile_id, 'p' || max(conv_id) AS image_path FROM conversations GROUP BY 1, 2",
     "s7_existing_keys": "SELECT DISTINCT user_id, event_type FROM events",
-    "s8_new_records": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "s9_attempted_ids": "SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1",
     "s12_candidate_urls": "SELECT url, min(page_id) AS first_seen FROM pages WHERE NOT contains(split_part(url, '/', -1), '__sec') GROUP BY url",
-    "s13_title_from_url": r"SELECT item_id, replace(regexp_replace(replace(left(text, 30), ' ', '_'), '[%#\n+]', '', 'g'), '_', ' ') AS title FROM benchmark",
     "k2_append_unseen": "SELECT DISTINCT user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_type = 'view')",
     "k6_upsert": "SELECT coalesce(n.doc_id, l.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'old' ELSE 'new' END AS origin, CASE WHEN n.doc_id IS NULL THEN quality ELSE v END::INT AS v FROM labels l FULL JOIN (SELECT doc_id, length(lang) AS v FROM documents WHERE lang = 'en') n ON l.doc_id = n.doc_id",
     "k7_pin_if_absent": "SELECT page_id, CASE WHEN contains(url, 'https') THEN url || '?oldid=1' ELSE url END AS read_url FROM pages",
@@ -133,10 +131,8 @@ SQL = {
     "w1_reading_order": _e(ROWS, recursive=True) + "SELECT * FROM (SELECT unit, seq AS src, lead(seq) OVER (PARTITION BY unit ORDER BY read_pos) AS dst FROM pl) WHERE dst IS NOT NULL",
     "w2_side_edges": _e(ROWS, "r AS (SELECT unit, seq AS src, lead(seq) OVER (PARTITION BY unit, row_idx ORDER BY col_idx) AS dst FROM pl)", recursive=True) + "SELECT unit, src, dst, 'right' AS direction FROM r WHERE dst IS NOT NULL UNION ALL SELECT unit, dst, src, 'left' FROM r WHERE dst IS NOT NULL",
     "w4_link_budget": f"WITH {_LINKS}, f AS (SELECT page_id, seq, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS n FROM (SELECT DISTINCT page_id, seq FROM links)) SELECT links.page_id AS unit, links.seq AS src, href AS dst, anchor_text FROM links JOIN f ON f.page_id = links.page_id AND f.seq = links.seq WHERE n <= 3",
-    "w5_sections": _e(HEADINGS) + "SELECT unit, seq, sec_idx, left(title, 80) AS title FROM sec",
     "w7_first_tiles": _e() + "SELECT unit, seq AS pos FROM e WHERE seq < 25",
     "w12_layout_positions": _e(ROWS, recursive=True) + "SELECT unit, seq, round(CASE WHEN hi > lo THEN 6.0::DOUBLE * (x - lo) / (hi - lo) ELSE 0 END, 6) AS px, -read_pos AS py FROM (SELECT *, min(x) OVER (PARTITION BY unit) AS lo, max(x) OVER (PARTITION BY unit) AS hi FROM pl)",
-    "g3_patches": _e("p AS (SELECT unit, seq, x, y, w, h, greatest(1, ceil(h / 300.0))::INT AS n FROM e)", "k AS (SELECT *, unnest(range(0, n))::INT AS patch FROM p)", "b AS (SELECT unit, seq, patch, x, floor(y + patch * h / n::DOUBLE)::BIGINT AS y, w, floor(y + (patch + 1) * h / n::DOUBLE)::BIGINT AS z FROM k)") + "SELECT unit, seq, patch, x, y, w, z - y AS h FROM b WHERE z > y AND w > 0",
     "g4_rows": _e(ROWS, recursive=True) + "SELECT unit, seq, row_idx, col_idx, read_pos FROM pl",
     "g11_crawl": f"WITH {_LINKS} SELECT page_id, n, href FROM (SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY min(seq)) - 1 AS n FROM links GROUP BY page_id, href) WHERE n < 3",
     "g12_unit_slugs": f"WITH {_SLUGS}, r AS (SELECT page_id, slug, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS n FROM sl) SELECT page_id, CASE WHEN n = 1 THEN slug ELSE slug || '_' || n END AS slug FROM r",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.config import CONFIG
 from loomstone.functions import text as T
-from loomstone.operators import controller, corpus, evaluation, graph, mining, scoring, sectioning, spatial, tiling
+from loomstone.operators import controller, corpus, evaluation, graph, mining, models, scoring, sectioning, spatial, tiling
 from loomstone.sources import elements as el
 from loomstone.sources import stores
 
@@ -31,16 +31,24 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return el.elements(spark, d).select("unit", F.col("seq").alias("pos"), "text")
 
 
-def questions(t: DataFrame) -> DataFrame:
-    """A question a page: the first words of its middle tile ask for that tile; the answer is the tile's last word."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("unit"))
-    mid = t.withColumn("n", n).filter(F.col("pos") == F.floor(F.col("n") / 2))
+def asked_tiles(t: DataFrame) -> DataFrame:
+    """tiles(unit, pos, text) with a question a page: the first words of its middle tile ask for that tile (positive); the answer is the tile's last word. One pass over the tiles."""
+    unit = Window.partitionBy("unit")
+    x = t.withColumn("positive", F.floor(F.count(F.lit(1)).over(unit) / 2).cast("int"))
+    mid = F.col("pos") == F.col("positive")
     words = F.filter(F.split("text", "[ \t]+"), lambda w: w != "")
-    return mid.select("unit", F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.coalesce(F.get(words, F.size(words) - 1), F.lit("")).alias("answer"), F.col("pos").alias("positive"))
+    x = x.withColumn("q", F.when(mid, F.struct(F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.coalesce(F.get(words, F.size(words) - 1), F.lit("")).alias("answer"))))
+    x = x.withColumn("q", F.max("q").over(unit))
+    return x.select("unit", "pos", "text", "positive", "q.question", "q.answer")
 
 
-def asked(q: DataFrame) -> DataFrame:
-    return q.select("unit", F.col("question").alias("text"))
+def questions(a: DataFrame) -> DataFrame:
+    """One row a page of asked tiles."""
+    return a.filter("pos = positive").select("unit", "question", "answer", "positive")
+
+
+def scores(a: DataFrame, fit: bool = False) -> DataFrame:
+    return scoring.question_scores(scoring.with_questions(a), fit_question=fit)
 
 
 def placed(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +87,6 @@ def _(spark, d):
     return table(spark, d, "events").select("user_id", "event_type").distinct()
 
 
-@query("s8_new_records")
-def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 @query("s9_attempted_ids")
 def _(spark, d):
     a = table(spark, d, "labels")
@@ -96,12 +99,6 @@ def _(spark, d):
     return p.groupBy("url").agg(F.min("page_id").alias("first_seen"))
 
 
-@query("s13_title_from_url")
-def _(spark, d):
-    u = F.concat(F.lit("https://en.wikipedia.org/wiki/"), T.title_slug(F.substring("text", 1, 30)))
-    return table(spark, d, "benchmark").select("item_id", F.replace(T.wiki_slug(F.regexp_replace(u, "[%#\n+]", "")), F.lit("_"), F.lit(" ")).alias("title"))
-
-
 # sinks, in batch form
 
 @query("k2_append_unseen")
@@ -135,30 +132,19 @@ def _(spark, d):
     return graph.edge_ids(graph.edges(placed(spark, d))).select("unit", "id", "relation")
 
 
-@query("k12_cache_misses")
+@query("k10_graph_json")
 def _(spark, d):
-    r = table(spark, d, "conversations").select(T.cache_key(F.col("role"), F.col("text")).alias("key"), "role")
-    c = r.filter("role = 'system'").select("key", F.lit("v").alias("value")).distinct()
-    hits, misses = stores.cached(r, c)
-    return hits.groupBy(F.lit("hit").alias("kind")).agg(F.count(F.lit(1)).alias("n")).union(misses.groupBy(F.lit("miss").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    t = placed(spark, d)
+    return graph.graph_json(graph.nodes(t), graph.edges(t)).select("unit", F.size(F.from_json(F.get_json_object("json", "$.nodes"), "array<string>")).cast("long").alias("n_nodes"), F.size(F.from_json(F.get_json_object("json", "$.edges"), "array<string>")).cast("long").alias("n_edges"))
 
 
 # predicates and functions
 
-@query("p3_contained_pairs")
-def _(spark, d):
-    from loomstone.functions.geometry import contained
-
-    e = el.elements(spark, d).select("unit", "seq", "x", "y", "w", "h")
-    a, b = e.toDF("unit", "i", "ax", "ay", "aw", "ah"), e.toDF("unit", "j", "bx", "by", "bw", "bh")
-    return a.join(b, "unit").filter((F.col("i") != F.col("j")) & contained(F.col("ax"), F.col("ay"), F.col("aw"), F.col("ah"), F.col("bx"), F.col("by"), F.col("bw"), F.col("bh"))).select("unit", "i", "j")
-
-
 @query("p5_tag_functions")
 def _(spark, d):
     tag = F.array_join(F.slice(F.split(F.lower("text"), "[^a-z0-9]+"), 1, 2), "+")
     x = table(spark, d, "benchmark").select("item_id", tag.alias("a")).withColumn("tag", F.explode(F.array(F.col("a"), F.lit("h2+p"), F.lit("h1"), F.lit("merged"), F.lit("h3+ul+table"), F.lit("figure"), F.lit("blockquote"))))
-    return x.select("item_id", "tag", T.heading_level(F.col("tag")).alias("level"), T.category_of_last(F.col("tag")).alias("by_last"), T.category_of_first(F.col("tag")).alias("by_first"))
+    return x.select("item_id", "tag", F.coalesce(T.heading_level(F.col("tag")), F.lit(0)).alias("level"), T.category_of_last(F.col("tag")).alias("by_last"), T.category_of_first(F.col("tag")).alias("by_first"))
 
 
 @query("p8_page_height")
@@ -166,19 +152,6 @@ def _(spark, d):
     return spatial.page_heights(el.elements(spark, d), 2000)
 
 
-@query("p10_sentence_overlap")
-def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    return t.join(q, "unit").filter(mining.sentence_overlaps(F.col("question"), F.col("text"))).select("unit", "pos")
-
-
-@query("p11_contains_answer")
-def _(spark, d):
-    t = tiles(spark, d)
-    return t.join(questions(t), "unit").filter(T.contains_answer(F.col("answer"), F.col("text"))).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("p16_preview")
 def _(spark, d):
     x = el.elements(spark, d).groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.substring("text", 1, 200).alias("t")))), lambda s: s["t"]).alias("ts"))
@@ -191,27 +164,11 @@ def _(spark, d):
     return t.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t8_answer_metrics")
-def _(spark, d):
-    b = table(spark, d, "benchmark")
-    x = b.select("item_id", F.substring("text", 1, 60).alias("gold"), F.substring("text", 8, 60).alias("predicted"))
-    return evaluation.answer_metrics(x).select("item_id", "em", "f1", "anls", T.normalized_answer(F.col("gold")).alias("normalized"))
-
-
 @query("t11_slugs")
 def _(spark, d):
     return table(spark, d, "pages").select("page_id", T.slug_of_url(F.col("url")).alias("slug"), T.raw_slug(F.col("url")).alias("raw_slug"), T.article_root(F.concat(T.raw_slug(F.col("url")), F.lit("__sec3"))).alias("root"))
 
 
-@query("t16_parse_qa")
-def _(spark, d):
-    q = F.regexp_replace(F.substring("text", 1, 40), r'["\\\n]', "")
-    body = F.concat(F.lit('{"question": "'), q, F.lit('", "answer": " x "}'))
-    kinds = F.array(body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.lit("SKIP it"), F.lit("not json"), F.concat(F.lit("Here: "), body, F.lit(" ok")), F.lit('{"question": " ", "answer": "y"}'))
-    x = table(spark, d, "benchmark").select("item_id", F.posexplode(kinds).alias("kind", "raw")).withColumn("p", T.parsed_qa(F.col("raw")))
-    return x.select("item_id", "kind", F.col("p.question").alias("question"), F.col("p.answer").alias("answer"))
-
-
 @query("t17_cache_key")
 def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.cache_key(F.col("role"), F.col("text")).alias("key"))
@@ -249,12 +206,6 @@ def _(spark, d):
     return scoring.similar_pairs(tiles(spark, d))
 
 
-@query("j6_question_scores")
-def _(spark, d):
-    t = tiles(spark, d)
-    return scoring.question_scores(t, asked(questions(t)))
-
-
 @query("j11_rewired_links")
 def _(spark, d):
     links = page_links(spark, d)
@@ -298,14 +249,6 @@ def _(spark, d):
     return graph.relation_stats(graph.edges(placed(spark, d)))
 
 
-@query("a13_dataset_volumes")
-def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    n = mining.hard_negatives(scoring.question_scores(t, asked(q)), t, q)
-    return mining.contrastive(n, q).groupBy(F.size("negatives").alias("n_negatives")).agg(F.count(F.lit(1)).alias("examples"))
-
-
 @query("a15_pixel_budget")
 def _(spark, d):
     return spatial.pixel_budget(el.elements(spark, d), 50_000)
@@ -334,25 +277,12 @@ def _(spark, d):
     return graph.link_edges(p.select("unit", "seq").distinct().withColumn("read_pos", F.col("seq")), p)
 
 
-@query("w5_sections")
-def _(spark, d):
-    return sectioning.heading_sections(el.elements(spark, d)).select("unit", "seq", "sec_idx", F.substring("title", 1, 80).alias("title"))
-
-
 @query("w7_first_tiles")
 def _(spark, d):
     x = tiles(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("unit").orderBy("pos")))
     return x.filter(F.col("n") <= CONFIG.max_tiles_per_unit).select("unit", "pos")
 
 
-@query("w8_rank_metrics")
-def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    r = scoring.ranked(scoring.question_scores(t, asked(q), fit_question=True)).join(q.select("unit", F.col("positive").alias("pos")), ["unit", "pos"])
-    return evaluation.recall_and_mrr(r, F.substring("unit", 1, 1).alias("kind"))
-
-
 @query("w10_continues")
 def _(spark, d):
     return corpus.continues(sectioning.section_units(el.elements(spark, d), 2000))
@@ -366,14 +296,6 @@ def _(spark, d):
     return p.select("unit", "seq", F.round(F.when(hi > lo, 6.0 * (F.col("x") - lo) / F.nullif(hi - lo, F.lit(0))).otherwise(0.0), 6).alias("px"), (-F.col("read_pos")).cast("long").alias("py"))
 
 
-@query("w13_positive_indices")
-def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(t, asked(q)), t, q), q)
-    return mining.batch_offsets(mining.uniform_negatives(x, 2), 4)
-
-
 # greedy and graph operators
 
 @query("g1_tiles")
@@ -396,151 +318,418 @@ def _(spark, d):
     return graph.capped_neighbours(scoring.similar_pairs(tiles(spark, d)))
 
 
-@query("g6_split_sections")
+@query("g8_edges")
 def _(spark, d):
-    return sectioning.split_sections(el.elements(spark, d), 2000).select("unit", "seq", "section", F.substring("section_title", 1, 80).alias("section_title"))
+    return graph.edges(placed(spark, d)).select("unit", "src", "dst", "relation", "direction")
 
 
-@query("g8_edges")
+@query("g11_crawl")
 def _(spark, d):
-    return graph.edges(placed(spark, d)).select("unit", "src", "dst", "relation", "direction")
+    return corpus.crawl(page_links(spark, d))
 
 
-@query("g9_section_units")
+@query("g16_text_chunks")
+def _(spark, d):
+    return spatial.text_chunks(el.elements(spark, d), 5000)
+
+
+def _hotpot(spark, d) -> DataFrame:
+    """Two-page questions: a document and the next one, each with one supporting line."""
+    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("s"))
+    b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("s").alias("t"))
+    name = lambda c: F.concat(F.lit("Doc "), F.col(c).cast("string"))
+    return docs.join(b, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.get("s", F.lit(0)).alias("question"), F.lit("x").alias("answer"), F.lit("bridge").alias("type"), F.struct(F.array(name("doc_id"), name("other")).alias("title"), F.array(F.lit(0), F.lit(1)).alias("sent_id")).alias("supporting_facts"), F.struct(F.array(name("doc_id"), name("other")).alias("title"), F.array("s", "t").alias("sentences")).alias("context"))
+
+
+@query("j16_supporting_sentences")
 def _(spark, d):
-    return sectioning.section_units(el.elements(spark, d), 2000).withColumn("section_title", F.substring("section_title", 1, 80))
+    return mining.supporting_sentences(_hotpot(spark, d))
 
 
-@query("g11_crawl")
+@query("g23_external_links")
 def _(spark, d):
-    return corpus.crawl(page_links(spark, d))
+    p = page_links(spark, d).select(F.col("page_id").alias("unit"), F.floor(F.col("seq") / 2).cast("int").alias("seq"), F.col("seq").alias("nth"), "href", "anchor_text")
+    return controller.external_links(p, p.filter("seq = 1").select("unit", F.col("seq").alias("pos")).distinct())
 
 
-@query("g12_unit_slugs")
+@query("t6_dense_scores")
 def _(spark, d):
-    return corpus.unit_slugs(table(spark, d, "pages").select("page_id", "url")).select("page_id", "slug")
+    e = table(spark, d, "embeddings")
+    a = e.select("vec_id", "embedding", (F.col("vec_id") + 1).alias("other"))
+    return scoring.dense_cosine(a.join(e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e2")), "other"), "embedding", "e2").select("vec_id", "other", F.round("score", 6).alias("score"))
 
 
-@query("g13_controller")
+@query("t7_info_nce")
 def _(spark, d):
-    t = placed(spark, d).select("unit", F.col("read_pos").alias("pos"), "seq", "text")
-    q = questions(t.select("unit", "pos", "text"))
-    s = scoring.question_scores(t, asked(q), fit_question=True)
-    a = t.select("unit", "pos", (F.col("pos") + 1).alias("nxt"))
-    near = a.select("unit", F.col("nxt").alias("pos"), F.col("pos").alias("other"), F.lit(0).alias("rank")).union(a.select("unit", "pos", F.col("nxt").alias("other"), F.lit(1).alias("rank")))
-    return controller.controller_log(s, near)
+    e = table(spark, d, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 8))
+    a, b = e.select("batch", F.col("vec_id").alias("q"), "embedding"), e.select("batch", F.col("vec_id").alias("t"), F.col("embedding").alias("e2"))
+    s = scoring.dense_cosine(a.join(b, "batch"), "embedding", "e2").withColumn("positive", F.col("t") == F.col("q"))
+    return scoring.info_nce(s.select("batch", "q", "score", "positive"))
 
 
-@query("g14_static_top_k")
+# sources and stores, whole texts
+
+@query("s1_parsed_elements")
 def _(spark, d):
-    t = tiles(spark, d)
-    return controller.static_top_k(scoring.question_scores(t, asked(questions(t))))
+    return el.parsed_elements(table(spark, d, "pages")).filter(F.col("tag").isin("h1", "p")).select("page_id", "tag", F.col("text").alias("text_preview"))
 
 
-@query("g16_text_chunks")
+@query("s6_last_text")
 def _(spark, d):
-    return spatial.text_chunks(el.elements(spark, d), 5000)
+    m = table(spark, d, "conversations").select(F.col("role").alias("slug"), F.concat(F.lit("tile_"), F.col("turn").cast("string")).alias("tile_id"), "text", "conv_id")
+    return stores.last_of_key(m, ["slug", "tile_id"], "text", "conv_id")
 
 
-@query("g17_hard_negatives")
+@query("s8_new_records")
 def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    judged = t.join(table(spark, d, "labels").select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit"), (F.col("quality") == 1).alias("good")), "unit").select("unit", "pos", (F.col("good") & (F.col("pos") % 2 == 1)).alias("relevant"))
-    return mining.hard_negatives(scoring.question_scores(t, asked(q)), t, q, judged=judged)
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("split"))
+    return mining.new_records(x, table(spark, d, "labels").select(F.col("doc_id").alias("id")), "en").select("id", "split")
 
 
-@query("g18_negatives_unfiltered")
+@query("s8_first_records")
 def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    return mining.hard_negatives(scoring.question_scores(t, asked(q), fit_question=True), t, q, leak_filter=False)
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("lang").alias("split"))
+    return mining.new_records(x, table(spark, d, "labels").select(F.col("doc_id").alias("id")), "en", 50).select("id", "split")
 
 
-def _hotpot(spark, d) -> DataFrame:
-    """Two-page questions: a document and the next one, each with one supporting line."""
-    docs = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("s"))
-    b = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("s").alias("t"))
-    name = lambda c: F.concat(F.lit("Doc "), F.col(c).cast("string"))
-    return docs.join(b, "doc_id").select(F.col("doc_id").cast("string").alias("id"), F.substring(F.get("s", F.lit(0)), 1, 50).alias("question"), F.lit("x").alias("answer"), F.lit("bridge").alias("type"), F.struct(F.array(name("doc_id"), name("other")).alias("title"), F.array(F.lit(0), F.lit(1)).alias("sent_id")).alias("supporting_facts"), F.struct(F.array(name("doc_id"), name("other")).alias("title"), F.array("s", "t").alias("sentences")).alias("context"))
+@query("s13_title_from_url")
+def _(spark, d):
+    u = F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.replace(F.url_encode(T.title_slug(F.col("text"))), F.lit("+"), F.lit("%20")), F.lit("#Top"))
+    return table(spark, d, "benchmark").select("item_id", F.replace(T.wiki_slug(u), F.lit("_"), F.lit(" ")).alias("title"))
 
 
-@query("j16_supporting_sentences")
+@query("k1_image_paths")
 def _(spark, d):
-    return mining.supporting_sentences(_hotpot(spark, d))
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", stores.tile_image_path(F.col("role"), F.concat(F.lit("tile_"), F.col("turn").cast("string"))).alias("image_path"))
 
 
-@query("g19_multihop")
+@query("k3_generated_qa")
 def _(spark, d):
-    t = tiles(spark, d).filter(F.col("unit").startswith("d")).select(F.regexp_replace("unit", "^d", "Doc_").alias("page_slug"), F.concat(F.lit("tile_"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("tile_id"), "text")
-    x = mining.multihop(_hotpot(spark, d), t)
-    return x.select("id", "status", F.array_join(F.transform("positive_tiles", lambda p: F.concat(p["page_slug"], F.lit("/"), p["tile_id"])), ",").alias("positives"))
+    """Existing pairs stay, the others are asked for; replies are in a table, keyed by prompt."""
+    t = table(spark, d, "conversations").filter("role = 'assistant'").select(F.lit("u").alias("page_url"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("page_slug"), F.concat(F.lit("tile_"), F.col("turn").cast("string")).alias("tile_id"), F.col("turn").alias("tile_seq"), F.col("text").alias("text_preview"), F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("image_path"))
+    old = t.filter("tile_seq = 2").select(F.concat("page_slug", F.lit("__"), "tile_id", F.lit("__qa")).alias("id"), "page_url", "page_slug", "tile_id", F.lit("old?").alias("question"), F.lit("old").alias("answer"), "image_path")
+    words = F.size(F.filter(F.split(F.col("prompt"), "[ \n]+"), lambda w: w != ""))
+    reply = F.when(F.length("prompt") % 3 == 0, F.lit("SKIP")).otherwise(F.concat(F.lit('{"question": "how many?", "answer": "'), words.cast("string"), F.lit('"}')))
+    every, _ = models.generated_qa(t, lambda requests: requests.select("key", reply.alias("reply")), old)
+    return every.select("id", "question", "answer")
 
 
-@query("g20_split")
+@query("k5_attempts")
 def _(spark, d):
-    return mining.split_articles_hashed(sectioning.section_units(el.elements(spark, d), 2000).select(F.col("section_unit").alias("unit")))
+    lab = table(spark, d, "labels")
+    return lab.filter("quality = 1").select(F.col("doc_id").alias("id")).union(lab.filter("toxic = 1").select("doc_id")).distinct()
 
 
-@query("g21_ablation")
+@query("k12_cache_misses")
 def _(spark, d):
-    e = el.elements(spark, d)
-    q = questions(e.select("unit", F.col("seq").alias("pos"), "text"))
-    parts = {"dom": e.select("unit", F.col("seq").alias("pos"), "text"), "grid": spatial.grid_bands(e).select("unit", F.col("band").alias("pos"), F.col("text_preview").alias("text")), "text": spatial.text_chunks(e).select("unit", F.col("chunk").alias("pos"), F.col("chunk_text").alias("text"))}
-    found = None
-    for name, t in parts.items():
-        r = scoring.ranked(scoring.question_scores(t, asked(q), fit_question=True)).join(t, ["unit", "pos"]).select(F.lit(name).alias("condition"), "unit", "rank", "text")
-        one = evaluation.attachment(r, q.select("unit", F.col("unit").alias("question"), "answer"))
-        found = one if found is None else found.union(one)
-    found = found.persist()
-    a = evaluation.attachment_summary(found).withColumn("questions_of", F.lit("all"))
-    return a.union(evaluation.attachment_summary(evaluation.paired(found, 3)).withColumn("questions_of", F.lit("paired")))
+    r = table(spark, d, "conversations").select(T.cache_key(F.col("role"), F.col("text")).alias("key"), "role")
+    c = r.filter("role = 'system'").select("key", F.lit("v").alias("value")).distinct()
+    hits, misses = stores.cached(r, c)
+    return hits.groupBy("key").agg(F.lit("hit").alias("kind"), F.count(F.lit(1)).alias("n")).union(misses.select("key", F.lit("miss"), F.lit(1).cast("long")))
 
 
-@query("g23_external_links")
+@query("p2_size_filter")
 def _(spark, d):
-    p = page_links(spark, d).select(F.col("page_id").alias("unit"), F.floor(F.col("seq") / 2).cast("int").alias("seq"), F.col("seq").alias("nth"), "href", "anchor_text")
-    return controller.external_links(p, p.filter("seq = 1").select("unit", F.col("seq").alias("pos")).distinct())
+    e = el.elements(spark, d).select("unit", "seq", (F.col("w") % 7).alias("w"), (F.col("seq") % 5).alias("h"))
+    return spatial.large_enough(e)
+
+
+@query("p3_contained_pairs")
+def _(spark, d):
+    return spatial.contained_pairs(el.elements(spark, d))
+
+
+@query("p10_sentence_overlap")
+def _(spark, d):
+    return asked_tiles(tiles(spark, d)).filter(mining.sentence_overlaps(F.col("question"), F.col("text"))).select("unit", "pos")
+
+
+@query("p11_contains_answer")
+def _(spark, d):
+    return asked_tiles(tiles(spark, d)).filter(T.contains_answer(F.col("answer"), F.col("text"))).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p14_resolvable")
+def _(spark, d):
+    a = asked_tiles(tiles(spark, d))
+    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(scoring.with_questions(a)), a, questions(a)), questions(a))
+    return mining.resolvable(x, tiles(spark, d).filter("pos % 7 != 3")).select("unit", F.size("negatives").alias("n"))
+
+
+@query("p18_tables_of_manifest")
+def _(spark, d):
+    m = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "h2+table").when(F.col("turn") % 3 == 1, "table+p").otherwise("table").alias("dom_tag"))
+    return mining.of_category(m, "table")
+
+
+@query("t8_answer_metrics")
+def _(spark, d):
+    x = table(spark, d, "benchmark").select("item_id", F.col("text").alias("gold"), F.regexp_replace(F.regexp_replace("text", "^[^ ]+ ", ""), "a", "A").alias("predicted"))
+    x = x.union(table(spark, d, "benchmark").select(F.col("item_id") + 100000, F.col("text"), F.concat(F.col("text"), F.lit(" the end of it "), F.col("text"))))
+    return evaluation.answer_metrics(x).select("item_id", "em", "f1", "anls", T.normalized_answer(F.col("gold")).alias("normalized"))
+
+
+@query("a11_answer_means")
+def _(spark, d):
+    x = table(spark, d, "benchmark").select(F.lit("cut").alias("run"), F.col("text").alias("gold"), F.regexp_replace("text", "^[^ ]+ ", "").alias("predicted"))
+    x = x.union(table(spark, d, "benchmark").select(F.lit("same"), F.col("text"), F.concat(F.lit("  The "), F.col("text"))))
+    return evaluation.answer_means(evaluation.answer_metrics(x), "run")
+
+
+@query("t16_parse_qa")
+def _(spark, d):
+    q = F.regexp_replace("text", r'["\\\n\r\t{}]', "")
+    body = F.concat(F.lit('{"question": "'), q, F.lit('", "answer": " x "}'))
+    kinds = F.array(body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.lit("SKIP it"), F.lit("not json"), F.concat(F.lit("Here: "), body, F.lit(" ok")), F.lit('{"question": " ", "answer": "y"}'))
+    x = table(spark, d, "benchmark").select("item_id", F.posexplode(kinds).alias("kind", "raw")).withColumn("p", T.parsed_qa(F.col("raw")))
+    return x.select("item_id", "kind", F.col("p.question").alias("question"), F.col("p.answer").alias("answer"))
+
+
+@query("t19_prompts")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", models.formatted(models.JUDGE, question=F.col("text"), answer=F.lit("{question}")).alias("prompt"))
+
+
+@query("t20_labels")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", T.short_label(F.col("url"), 16).alias("label"))
+
+
+# scores and what follows from them
+
+@query("j6_question_scores")
+def _(spark, d):
+    return scores(asked_tiles(tiles(spark, d)))
+
+
+@query("t3_count_cosine")
+def _(spark, d):
+    return scoring.count_cosine(scoring.with_questions(asked_tiles(tiles(spark, d))))
+
+
+@query("w8_rank_metrics")
+def _(spark, d):
+    a = asked_tiles(tiles(spark, d))
+    r = scoring.ranked(scores(a, True)).join(questions(a).select("unit", F.col("positive").alias("pos")), ["unit", "pos"])
+    return evaluation.recall_and_mrr(r, F.substring("unit", 1, 1).alias("kind"))
+
+
+@query("w13_positive_indices")
+def _(spark, d):
+    a = asked_tiles(tiles(spark, d))
+    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(scoring.with_questions(a)), a, questions(a)), questions(a))
+    return mining.batch_offsets(mining.uniform_negatives(x, 2), 4)
+
+
+@query("a13_dataset_volumes")
+def _(spark, d):
+    a = asked_tiles(tiles(spark, d))
+    n = mining.hard_negatives(scores(a), a, questions(a))
+    return mining.contrastive(n, questions(a)).groupBy(F.size("negatives").alias("n_negatives")).agg(F.count(F.lit(1)).alias("examples"))
+
+
+@query("g14_static_top_k")
+def _(spark, d):
+    return controller.static_top_k(scores(asked_tiles(tiles(spark, d))))
+
+
+@query("g17_hard_negatives")
+def _(spark, d):
+    a = asked_tiles(tiles(spark, d))
+    judged = a.join(table(spark, d, "labels").select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit"), (F.col("quality") == 1).alias("good")), "unit").select("unit", "pos", (F.col("good") & (F.col("pos") % 2 == 1)).alias("relevant"))
+    return mining.hard_negatives(scores(a), a, questions(a), judged=judged)
+
+
+@query("g18_negatives_unfiltered")
+def _(spark, d):
+    a = asked_tiles(tiles(spark, d))
+    return mining.hard_negatives(scores(a, True), a, questions(a), leak_filter=False)
 
 
 @query("g24_evidence")
 def _(spark, d):
-    t = tiles(spark, d)
-    return controller.evidence(controller.static_top_k(scoring.question_scores(t, asked(questions(t)))), t)
+    a = asked_tiles(tiles(spark, d))
+    return controller.evidence(controller.static_top_k(scores(a)), a)
+
+
+@query("u3_model_evidence")
+def _(spark, d):
+    """The longest opened tiles have a model's reading, the others keep their text."""
+    a = asked_tiles(tiles(spark, d))
+    read = lambda requests: requests.filter(F.length("prompt") > 100).select("key", F.concat(F.lit("read "), F.length("prompt").cast("string")).alias("reply"))
+    return models.read_evidence(controller.static_top_k(scores(a)), a, read)
 
 
 @query("p17_state_counts")
 def _(spark, d):
-    t = tiles(spark, d)
-    top = controller.static_top_k(scoring.question_scores(t, asked(questions(t)))).select("unit", "pos", F.lit("opened").alias("s"))
-    return controller.state_counts(t.join(top, ["unit", "pos"], "left").select("unit", F.coalesce("s", F.lit("inactive")).alias("state")))
+    a = asked_tiles(tiles(spark, d))
+    top = controller.static_top_k(scores(a)).select("unit", "pos", F.lit("opened").alias("s"))
+    return controller.state_counts(a.join(top, ["unit", "pos"], "left").select("unit", F.coalesce("s", F.lit("inactive")).alias("state")))
 
 
 @query("j21_coverage")
 def _(spark, d):
-    t = tiles(spark, d)
-    q = questions(t)
-    top = controller.static_top_k(scoring.question_scores(t, asked(q)), 1)
+    a = asked_tiles(tiles(spark, d))
+    top = controller.static_top_k(scores(a), 1)
     key = F.substring("unit", 1, 2)
-    return controller.coverage(q.select(key.alias("question"), "unit", F.col("positive").alias("pos")), top.select(key.alias("question"), "unit", "pos"))
+    return controller.coverage(questions(a).select(key.alias("question"), "unit", F.col("positive").alias("pos")), top.select(key.alias("question"), "unit", "pos"))
 
 
-@query("t3_count_cosine")
+def _controlled(spark, d) -> tuple[DataFrame, DataFrame]:
+    a = asked_tiles(placed(spark, d).select("unit", F.col("read_pos").alias("pos"), "text"))
+    return controller.controller_log(scores(a, True), controller.reading_neighbours(a)), a
+
+
+@query("g13_controller")
 def _(spark, d):
-    t = tiles(spark, d)
-    return scoring.count_cosine(t, asked(questions(t)))
+    return _controlled(spark, d)[0]
 
 
-@query("t6_dense_scores")
+@query("a10_coverage_rates")
+def _(spark, d):
+    """Controller against static top-k of the same budget: how often the tile asked for is opened, and how many are."""
+    log, a = _controlled(spark, d)
+    opened = log.filter("action = 'open'").select(F.lit("controller").alias("method"), "unit", "pos").union(controller.static_top_k(scores(a, True)).select(F.lit("static").alias("method"), "unit", "pos"))
+    found = opened.join(questions(a).select("unit", "positive"), "unit").groupBy("method", "unit").agg(F.lit(1).alias("pages"), F.max((F.col("pos") == F.col("positive")).cast("int")).alias("covered"), F.count(F.lit(1)).alias("opened"))
+    return evaluation.coverage_rates(found)
+
+
+@query("g21_ablation")
+def _(spark, d):
+    """Elements, grid bands and text windows as one table of conditions, scored together."""
+    e = el.elements(spark, d)
+    parts = e.select(F.lit("dom").alias("condition"), "unit", F.col("seq").alias("pos"), "text").unionByName(spatial.grid_bands(e).select(F.lit("grid").alias("condition"), "unit", F.col("band").alias("pos"), F.col("text_preview").alias("text"))).unionByName(spatial.text_chunks(e).select(F.lit("text").alias("condition"), "unit", F.col("chunk").alias("pos"), F.col("chunk_text").alias("text")))
+    q = questions(asked_tiles(e.select("unit", F.col("seq").alias("pos"), "text"))).select("unit", "question", "answer")
+    key = lambda c, u: F.concat_ws("|", c, u)
+    items = parts.select(key("condition", "unit").alias("unit"), "pos", "text")
+    every = q.withColumn("condition", F.explode(F.array(F.lit("dom"), F.lit("grid"), F.lit("text"))))
+    r = scoring.ranked(scoring.question_scores(items, every.select(key("condition", "unit").alias("unit"), F.col("question").alias("text")), fit_question=True)).join(items, ["unit", "pos"])
+    r = r.select(F.substring_index("unit", "|", 1).alias("condition"), F.substring_index("unit", "|", -1).alias("unit"), "rank", "text")
+    found = evaluation.attachment(r, q.select("unit", F.col("unit").alias("question"), "answer"))
+    # attributable in all conditions, told by a window rather than by reading all again
+    found = found.withColumn("in_all", F.count("best").over(Window.partitionBy("question")) == 3)
+    each = found.withColumn("questions_of", F.explode(F.when(F.col("in_all"), F.array(F.lit("all"), F.lit("paired"))).otherwise(F.array(F.lit("all")))))
+    return evaluation.attachment_summary(each, "questions_of")
+
+
+@query("a9_size_means")
+def _(spark, d):
+    return spatial.size_means(el.elements(spark, d).select(F.substring("unit", 1, 1).alias("kind"), "unit", "w", "h"))
+
+
+@query("g22_sample")
+def _(spark, d):
+    return mining.sampled(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+# sections, whole titles
+
+@query("w5_sections")
+def _(spark, d):
+    return sectioning.heading_sections(el.elements(spark, d)).select("unit", "seq", "sec_idx", "title")
+
+
+@query("g6_split_sections")
+def _(spark, d):
+    return sectioning.split_sections(el.elements(spark, d), 2000).select("unit", "seq", "section", "section_title")
+
+
+@query("g9_section_units")
+def _(spark, d):
+    return sectioning.section_units(el.elements(spark, d), 2000)
+
+
+@query("w11_chain_order")
+def _(spark, d):
+    u = sectioning.section_units(el.elements(spark, d), 2000).withColumn("kind", F.substring("unit", 1, 3))
+    return corpus.chain_order(u, "kind").select("kind", "section_unit", "place")
+
+
+@query("g20_split")
+def _(spark, d):
+    return mining.split_articles_hashed(sectioning.section_units(el.elements(spark, d), 2000).select(F.col("section_unit").alias("unit")))
+
+
+# graphs of several pages
+
+@query("g10_page_graph")
+def _(spark, d):
+    """Edges of whole page graphs from html: elements, flow layout, tiles, relations."""
+    return corpus.page_graph(el.html_page_elements(table(spark, d, "pages")))[1].select("unit", "src", "dst", "relation", "direction")
+
+
+@query("g12_unit_slugs")
+def _(spark, d):
+    return corpus.unit_slugs(table(spark, d, "pages").select("page_id", "url")).select("page_id", "slug")
+
+
+@query("g12_namespaced")
+def _(spark, d):
+    return corpus.namespaced(graph.reading_edges(placed(spark, d)).select("unit", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "src", "dst")
+
+
+@query("g11_corpus_edges")
+def _(spark, d):
+    """Each page as a seed with the pages that its first links name by host; elements, links, entry nodes."""
+    pages = table(spark, d, "pages")
+    host = lambda c: F.regexp_extract(c, r"^([a-z]+://[^/]+)", 1)
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    entry = pages.groupBy(host("url").alias("key")).agg(F.min("page_id").alias("page"))
+    links = page_links(spark, d).select("page_id", "seq", host("href").alias("key"))
+    known = links.join(entry, "key").filter(F.col("page") != F.col("page_id"))
+    crawled = corpus.crawl(known.select("page_id", "seq", F.col("page").alias("href"))).select(name("page_id").alias("unit"), name("href").alias("page"))
+    contains = el.html_elements(pages).select(name("page_id").alias("unit"), F.lit("page").alias("src"), F.concat(F.lit("el_"), F.col("seq").cast("string")).alias("dst"), F.lit("contains").alias("relation"))
+    out = links.select(name("page_id").alias("unit"), F.concat(F.lit("a_"), F.col("seq").cast("string")).alias("src"), F.concat(F.lit("ext::"), "key").alias("dst"), F.lit("links_to").alias("relation"))
+    return corpus.corpus_edges(contains.unionByName(out), crawled, entry.select(F.col("key").alias("href"), name("page").alias("page")))
+
+
+@query("j12_rewired_wiki")
+def _(spark, d):
+    c = table(spark, d, "conversations").filter("turn <= 1").select("conv_id", "turn", F.concat(F.lit("https://en.wikipedia.org/wiki/conv%5F"), F.col("conv_id").cast("string"), F.lit("#a")).alias("href"))
+    entries = table(spark, d, "conversations").filter("conv_id % 2 = 0").select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("slug"))
+    return corpus.rewired_wiki(c, entries).select("conv_id", "turn", "dst")
+
+
+@query("j15_containing_page")
+def _(spark, d):
+    return corpus.containing_page(graph.edges(placed(spark, d)))
+
+
+@query("j7_cross_page_negatives")
+def _(spark, d):
+    """The question of each document over its own tiles and those of the next document."""
+    t = tiles(spark, d).filter(F.startswith("unit", F.lit("d")))
+    a = questions(asked_tiles(t)).withColumn("n", F.substring("unit", 2, 20).cast("long"))
+    q = a.select(F.col("unit").alias("id"), "question")
+    pages = a.select(F.col("unit").alias("id"), F.explode(F.array(F.struct(F.col("unit").alias("page_slug"), F.lit(0).alias("page_pos")), F.struct(F.concat(F.lit("d"), (F.col("n") + 1).cast("string")).alias("page_slug"), F.lit(1).alias("page_pos")))).alias("p")).select("id", "p.*")
+    rows = t.select(F.col("unit").alias("page_slug"), F.col("pos").alias("tile_id"), "text")
+    return mining.cross_page_negatives(q, pages, rows, a.select(F.col("unit").alias("id"), F.col("unit").alias("page_slug"), F.col("positive").alias("tile_id")))
+
+
+@query("j9_orphans_dropped")
+def _(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("page_slug"), F.col("turn").alias("tile_id"), "role")
+    return mining.with_tile(c, c.filter("role != 'user'").select("page_slug", (F.col("tile_id") + 1).alias("tile_id")))
+
+
+@query("g19_multihop")
+def _(spark, d):
+    t = tiles(spark, d).filter(F.col("unit").startswith("d")).select(F.regexp_replace("unit", "^d", "Doc_").alias("page_slug"), graph.tile_id(F.col("pos")).alias("tile_id"), "text")
+    x = mining.multihop(_hotpot(spark, d), t)
+    flat = lambda c: F.array_join(F.transform(c, lambda p: F.concat(p["page_slug"], F.lit("/"), p["tile_id"])), ",")
+    return x.select("id", "status", flat("positive_tiles").alias("positives"), F.coalesce(F.size("hard_negative_tiles"), F.lit(-1)).alias("n_negatives"))
+
+
+@query("u9_batches_agree")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    a = e.select("vec_id", "embedding", (F.col("vec_id") + 1).alias("other"))
-    return scoring.dense_cosine(a.join(e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e2")), "other"), "embedding", "e2").select("vec_id", "other", F.round("score", 6).alias("score"))
+    again = F.transform("embedding", lambda v: v * F.lit(1.001).cast("float") + F.when(F.col("label") == 3, 0.05).otherwise(0.0).cast("float"))
+    return models.alike(e.withColumn("again", again), "embedding", "again").select("vec_id", "agrees")
 
 
-@query("t7_info_nce")
+@query("u4_embedded")
 def _(spark, d):
-    e = table(spark, d, "embeddings").withColumn("batch", F.floor(F.col("vec_id") / 8))
-    a, b = e.select("batch", F.col("vec_id").alias("q"), "embedding"), e.select("batch", F.col("vec_id").alias("t"), F.col("embedding").alias("e2"))
-    s = scoring.dense_cosine(a.join(b, "batch"), "embedding", "e2").withColumn("positive", F.col("t") == F.col("q"))
-    return scoring.info_nce(s.select("batch", "q", "score", "positive"))
+    e = table(spark, d, "embeddings")
+    x = models.embedded(table(spark, d, "documents").select(F.col("doc_id").alias("key")), e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")))
+    return x.select("key", F.round(F.get("vector", F.lit(0)), 5).alias("first"))

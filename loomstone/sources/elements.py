@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstone.config import CONFIG, NOISE_TAGS
+from loomstone.config import CONFIG, ELEMENT_TAGS, NOISE_SELECTORS, NOISE_TAGS, VOID_TAGS
 
 
 class LayoutProvider(Protocol):
@@ -33,6 +33,112 @@ def html_elements(pages: DataFrame, preview: int = CONFIG.preview_chars) -> Data
     return rows.select("page_id", "seq", F.lower(F.substring_index("raw", "\x02", 1)).alias("tag"), F.substring(text, 1, preview).alias("text_preview"))
 
 
+_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section table ul".split())
+
+
+class _Elements(HTMLParser):
+    """Collects [tag, depth, texts, links] of element tags outside noise, in document order. Text counts for every element that holds it."""
+
+    def __init__(self, url: str, tags: tuple[str, ...], noise: tuple[str, ...]):
+        super().__init__(convert_charrefs=True)
+        self.base, self.based, self.tags = url, False, frozenset(tags)
+        self.noise_tags = frozenset(s for s in noise if s[0] not in "#.")
+        self.noise_ids, self.noise_classes = frozenset(s[1:] for s in noise if s[0] == "#"), frozenset(s[1:] for s in noise if s[0] == ".")
+        self.found: list[list] = []
+        self.stack: list[tuple[str, list | None, bool]] = []  # tag, element, noise
+        self.quiet = 0
+        self.anchor: list | None = None
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(reversed(attrs))
+        if tag == "base" and not self.based and attrs.get("href"):
+            self.base, self.based = urljoin(self.base, attrs["href"].strip()), True
+        if tag in _CLOSES_P and any(t == "p" for t, _, _ in self.stack):
+            self.handle_endtag("p")
+        elif tag in ("li", "dt", "dd", "tr", "td", "th") and self.stack and self.stack[-1][0] == tag:
+            self.handle_endtag(tag)
+        noise = tag in self.noise_tags or attrs.get("id") in self.noise_ids or bool(self.noise_classes & set((attrs.get("class") or "").split()))
+        element = None
+        if tag in self.tags and not noise and not self.quiet:
+            element = [tag, len(self.stack), [], []]
+            self.found.append(element)
+        if tag == "a" and not self.quiet and not noise:
+            holder = next((e for t, e, _ in reversed(self.stack) if e is not None and t == "p"), None)
+            href = (attrs.get("href") or "").strip()
+            if holder is not None and href and not href.startswith("#"):
+                self.anchor = [href, []]
+                holder[3].append(self.anchor)
+        if tag not in VOID_TAGS:
+            self.stack.append((tag, element, noise))
+            self.quiet += noise
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.anchor = None
+        if any(t == tag for t, _, _ in self.stack):
+            while True:
+                t, _, noise = self.stack.pop()
+                self.quiet -= noise
+                if t == tag:
+                    break
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
+            self.handle_endtag(tag)
+
+    def handle_data(self, data):
+        if self.quiet or any(t in ("title", "head", "template") for t, _, _ in self.stack):
+            return
+        for _, e, _ in self.stack:
+            if e is not None:
+                e[2].append(data)
+        if self.anchor is not None:
+            self.anchor[1].append(data)
+
+
+def page_elements(html: str, url: str, preview: int = CONFIG.preview_chars, tags: tuple[str, ...] = ELEMENT_TAGS, noise: tuple[str, ...] = NOISE_SELECTORS) -> list[tuple[str, int, str, list[dict]]]:
+    """(tag, depth, text, links) of a page's elements; links, from paragraphs only, are absolute http(s) addresses with the anchor's text."""
+    page = _Elements(url, tags, noise)
+    page.feed(html)
+    page.close()
+    out = []
+    for tag, depth, texts, found in page.found:
+        links = []
+        for href, text in found:
+            try:
+                full = urljoin(page.base, href)
+            except ValueError:
+                continue  # no URL
+            if full.lower().startswith(("http://", "https://")):
+                links.append({"href": full, "anchor_text": " ".join("".join(text).split())[:100]})
+        out.append((tag, depth, " ".join("".join(texts).split())[:preview], links))
+    return out
+
+
+def parsed_elements(pages: DataFrame, preview: int = CONFIG.preview_chars) -> DataFrame:
+    """(page_id, seq, tag, depth, text, links) by a parser: nested and unclosed tags, references, all noise selectors, links of paragraphs."""
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, seq int, tag string, depth int, text string, links array<struct<href:string,anchor_text:string>>"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(i, k, *x) for i, h, u in zip(part["page_id"], part["html"], part["url"]) if h for k, x in enumerate(page_elements(h, u or "", preview))]
+            yield pd.DataFrame(rows, columns=["page_id", "seq", "tag", "depth", "text", "links"])
+
+    return pages.select("page_id", "html", "url").mapInPandas(run, schema)
+
+
+def html_page_elements(pages: DataFrame, layout: LayoutProvider | None = None) -> DataFrame:
+    """Elements with boxes of html pages: (unit, seq, tag, x, y, w, h, depth, text, links). layout: by default the flow layout, over whole texts."""
+    x = parsed_elements(pages, 1 << 30).filter("text != ''").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("unit"), F.lit(0).cast("long").alias("part"), F.col("seq").alias("i"), "text", "tag", "links")
+    boxes = (layout or flow_layout)(x)
+    order = Window.partitionBy("unit").orderBy("i")
+    links = x.withColumn("seq", (F.row_number().over(order) - 1).cast("int")).select("unit", "seq", "links")
+    return boxes.join(links, ["unit", "seq"])
+
+
 class _Anchors(HTMLParser):
     """Collects [href, text] of a[href] in document order, and the page's first base target."""
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomstone.config import CONFIG
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -27,6 +32,93 @@ def read_url_list(spark: SparkSession, path: str, limit: int | None = None) -> D
     return df if limit is None else df.limit(limit)
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """(url, revid, pinned_url, pinned_at) of a JSON object from address to pinned revision; a missing file has none."""
+    pin = "struct<revid:bigint,pinned_url:string,pinned_at:string>"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "url string, revid long, pinned_url string, pinned_at string")
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{pin}>", {"mode": "FAILFAST"}).alias("m"))
+    return text.select(F.explode("m").alias("url", "p")).select("url", "p.revid", "p.pinned_url", "p.pinned_at")
+
+
+def tile_image_path(slug, tile_id, folder: str = "images"):
+    """Where a tile's image is kept."""
+    return F.concat(F.lit(f"{folder}/"), slug, F.lit("__"), tile_id, F.lit(".png"))
+
+
+def save_tile_images(tiles: DataFrame, folder: str) -> DataFrame:
+    """(id, image_path) of tiles(page_slug, tile_id, image); an image that is there already is not written again. Files are written whole under a temporary name, then renamed."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for name, image in zip(b["id"], b["image"]):
+                path = f"{base}/{name}.png"
+                if image is not None and store.get_file_info(path).type == fs.FileType.NotFound:
+                    temporary = f"{path}.{uuid.uuid4().hex}"
+                    with store.open_output_stream(temporary, compression=None) as out:
+                        out.write(bytes(image))
+                    store.move(temporary, path)
+            yield b.assign(image_path=[f"{folder}/{n}.png" for n in b["id"]])[["id", "image_path"]]
+
+    return tiles.select(F.concat("page_slug", F.lit("__"), "tile_id").alias("id"), "image").mapInPandas(run, "id string, image_path string")
+
+
+def compress_images(spark: SparkSession, source: str, target: str, scale: float = CONFIG.image_scale) -> int:
+    """Write each PNG of a folder smaller, under its own name; how many. Needs an imaging library on the executors."""
+    if not 0 < scale < 1:
+        raise ValueError("scale must lie between 0 and 1")
+
+    def run(batches):
+        from PIL import Image  # not part of the engine
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(target)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                image = Image.open(io.BytesIO(content))
+                out = io.BytesIO()
+                image.resize(tuple(max(1, round(s * scale)) for s in image.size), Image.LANCZOS).save(out, "PNG")
+                with store.open_output_stream(f"{base}/{path.rsplit('/', 1)[-1]}", compression=None) as f:
+                    f.write(out.getvalue())
+            yield b[["path"]]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(source)
+    return files.select("path", "content").mapInPandas(run, "path string").count()
+
+
+def save_jsonl(rows: DataFrame, path: str) -> None:
+    """Overwrite a JSON-lines store."""
+    rows.write.mode("overwrite").json(path)
+
+
+def append_attempt(attempted: DataFrame, examples: DataFrame, root: str) -> None:
+    """Log ids as attempted, then append the examples that came of them: what fails between is tried no second time."""
+    attempted.select("id").write.mode("append").json(f"{root}/attempted")
+    examples.write.mode("append").json(f"{root}/examples")
+
+
+def attempted_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of examples and of attempts."""
+    parts = [spark.read.schema("id string").json(f"{root}/{p}") for p in ("examples", "attempted") if _exists(spark, f"{root}/{p}")]
+    return parts[0].union(parts[1]).distinct() if len(parts) == 2 else parts[0].distinct() if parts else spark.createDataFrame([], "id string")
+
+
+def with_existing(new: DataFrame, existing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of new with the columns of those that exist under their key, rows still to be made)."""
+    return new.select(key).join(existing, key), new.join(existing.select(key), key, "left_anti")
+
+
+def save_results(rows: DataFrame, path: str, *by: str) -> None:
+    """Evaluation results as JSON, a folder for each value of `by`."""
+    w = rows.write.mode("overwrite")
+    (w.partitionBy(*by) if by else w).json(path)
+
+
 def last_of_key(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """For equal keys, the value of the last row."""
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from util import rows
 
 from loomstone.functions import text as T
-from loomstone.operators import controller, graph, mining, scoring, sectioning, tiling
-from loomstone.plans import oracles, queries
+from loomstone.operators import controller, corpus, graph, mining, models, scoring, sectioning, tiling
+from loomstone.plans import oracles, oracles_more, queries
 from loomstone.sources import elements
 
 D = "/root/testdata/sf0.001"
@@ -94,12 +94,24 @@ def test_mining_leak_and_judge(spark):
     assert [r.pos for r in mining.hard_negatives(s, tiles, qa, judged=judged).collect()] == [2]
 
 
-@pytest.mark.parametrize("name", ["s1_html_elements", "s1_flow_layout", "g4_rows", "g17_hard_negatives", "w5_sections", "j2_overlap_pairs", "g3_patches", "t17_cache_key", "k6_upsert", "g12_unit_slugs"])
-def test_same_as_sql(spark, name):
+SQL = oracles.SQL | oracles_more.MORE
+
+
+@pytest.fixture(scope="module")
+def duck():
     c = duckdb.connect()
     for t in "documents embeddings pages benchmark labels conversations events".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
-    assert rows(queries.QUERIES[name](spark, D).toPandas()) == rows(c.execute(oracles.SQL[name]).fetchdf())
+    return c
+
+
+def test_each_query_has_sql():
+    assert set(SQL) == set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, duck, name):
+    assert rows(queries.QUERIES[name](spark, D).toPandas()) == rows(duck.execute(SQL[name]).fetchdf())
 
 
 def test_graph_invariants(spark):
@@ -110,11 +122,119 @@ def test_graph_invariants(spark):
 
 
 def test_idempotent_ingest(spark, tmp_path):
-    from loomstone.sources.stores import append_unseen, read_jsonl
+    from loomstone.sources.stores import append_attempt, append_unseen, attempted_ids, read_jsonl, read_snapshot, save_jsonl
 
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, v int")
     assert append_unseen(df, str(tmp_path / "s"), ["k"]) == 2 and append_unseen(df, str(tmp_path / "s"), ["k"]) == 0
     assert read_jsonl(spark, str(tmp_path / "none"), "k string").count() == 0
+    save_jsonl(df, str(tmp_path / "j"))
+    save_jsonl(df.limit(1), str(tmp_path / "j"))
+    assert read_jsonl(spark, str(tmp_path / "j"), "k string, v int", ("k",)).count() == 1
+    ids = spark.createDataFrame([("x",), ("y",)], "id string")
+    assert attempted_ids(spark, str(tmp_path / "m")).count() == 0
+    append_attempt(ids, ids.limit(1), str(tmp_path / "m"))
+    assert {r.id for r in attempted_ids(spark, str(tmp_path / "m")).collect()} == {"x", "y"}
+    (tmp_path / "snap.json").write_text('{"u": {"revid": 3, "pinned_url": "u?oldid=3", "pinned_at": "2020-01-01T00:00:00Z"}}')
+    assert [tuple(r) for r in read_snapshot(spark, str(tmp_path / "snap.json")).collect()] == [("u", 3, "u?oldid=3", "2020-01-01T00:00:00Z")]
+    assert read_snapshot(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_streamed_ingest(spark, tmp_path):
+    from loomstone.streaming.ingest import ingest
+
+    rows_ = lambda n: spark.createDataFrame([(f"k{i % 5}", i) for i in range(n)], "k string, v int")
+    for n in (7, 9):  # the second run brings the same keys again, and no new one
+        rows_(n).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema("k string, v int").json(str(tmp_path / "in"))
+        ingest(stream, str(tmp_path / "out"), ["k"], str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(r.k for r in spark.read.json(str(tmp_path / "out")).collect()) == [f"k{i}" for i in range(5)]
+
+
+def test_images_are_written_once(spark, tmp_path):
+    from loomstone.sources.stores import save_tile_images
+
+    df = spark.createDataFrame([("s", "tile_0000", b"one"), ("s", "tile_0001", None)], "page_slug string, tile_id string, image binary")
+    folder = f"file://{tmp_path}/images"
+    assert {r.id: r.image_path for r in save_tile_images(df, folder).collect()} == {"s__tile_0000": f"{folder}/s__tile_0000.png", "s__tile_0001": f"{folder}/s__tile_0001.png"}
+    save_tile_images(df.withColumn("image", F.lit(b"two")), folder).collect()
+    assert [(f.name, f.read_bytes()) for f in sorted((tmp_path / "images").iterdir())] == [("s__tile_0000.png", b"one"), ("s__tile_0001.png", b"two")]
+
+
+def test_slices_and_merged_tiles():
+    t = tiling.pack_page([box(0, "p", 10, 5, 100, 25)])
+    assert [(x["dom_tag"], x["x"], x["y"], x["width"], x["height"]) for x in t] == [("merged", 10, 5, 100, 25)]
+    t = tiling.pack_page([box(0, "pre", -5, 0, 100, 1000)], tiling.Config(max_tile_height=300))
+    assert [(x["x"], x["y"], x["width"], x["height"]) for x in t] == [(0, 0, 95, 250), (0, 250, 95, 250), (0, 500, 95, 250), (0, 750, 95, 250)]
+    t = tiling.pack_page([box(0, "table", 0.5, 0.6, 90.9, 1000.7)], tiling.Config(max_tile_height=300), (80, 900))
+    assert [(x["y"], x["height"], x["width"]) for x in t] == [(0, 250, 80), (250, 250, 80), (500, 250, 80), (751, 149, 80)]
+    links = [{"href": "h", "anchor_text": "a"}]
+    t = tiling.pack_page([box(0, "h2", 0, 0, 9, 20) | {"links": []}, box(1, "p", 0, 30, 9, 20) | {"links": links}])
+    assert t[0]["links"] == links and t[0]["source_ids"] == [0, 1]
+
+
+def test_prune_is_as_a_plain_scan():
+    import random
+
+    r = random.Random(4)
+    for _ in range(200):
+        items = [box(i, "p", r.randint(0, 30), r.randint(0, 30), r.randint(1, 20), r.randint(1, 20), r.randint(1, 4)) for i in range(r.randint(1, 25))]
+        kept = []
+        for e in sorted(items, key=lambda e: (e["depth"], e["seq"])):
+            if not any(e["x"] >= k["x"] - 1 and e["y"] >= k["y"] - 1 and e["x"] + e["w"] <= k["x"] + k["w"] + 1 and e["y"] + e["h"] <= k["y"] + k["h"] + 1 for k in kept):
+                kept.append(e)
+        assert tiling.prune(items) == sorted(kept, key=lambda e: e["seq"])
+
+
+def test_parsed_elements():
+    html = """<html><head><title>no</title></head><body><nav><p>no</p></nav><div id="siteNotice"><p>no</p></div><h1>T &amp; u</h1><p>One <a href="/x#y">link</a> <a href="#z">z</a>
+    <p>Two<div class="a navbox b"><ul><li>no</li></ul></div><table><tr><td>A<td>B<p>in</p></table><figure><img src=i></figure><ul><li><a href="/no">L</a><li>M</ul>"""
+    got = elements.page_elements(html, "https://s.org/d/p")
+    assert [(t, x) for t, _, x, _ in got] == [("h1", "T & u"), ("p", "One link z"), ("p", "Two"), ("table", "ABin"), ("p", "in"), ("figure", ""), ("img", ""), ("ul", "LM")]
+    assert got[1][3] == [{"href": "https://s.org/x#y", "anchor_text": "link"}] and all(not x[3] for x in got if x[0] != "p")
+    depth = {t: d for t, d, _, _ in got}
+    assert depth["img"] == depth["figure"] + 1
+
+
+def test_page_graph_with_sections(spark):
+    e = spark.createDataFrame([("u", 0, "h1", 0, 0, 900, 50, 3, "Top"), ("u", 1, "p", 0, 60, 900, 40, 3, "intro"), ("u", 2, "h2", 0, 5000, 900, 50, 3, "History"), ("u", 3, "p", 0, 5100, 900, 19850, 3, "long")], E)
+    n, edges = corpus.page_graph(e)
+    pages = {r.node_id for r in n.filter("type = 'page'").collect()}
+    assert pages == {"u__sec0::page", "u__sec1::page"}
+    assert [(r.src, r.dst) for r in edges.filter("relation = 'continues'").collect()] == [("u__sec0::page", "u__sec1::page")]
+    assert all(r.src.split("::")[0] == r.dst.split("::")[0] for r in edges.filter("relation != 'continues'").collect())
+    n, _ = corpus.page_graph(e.filter("seq < 2"))
+    assert {r.node_id for r in n.collect()} == {"page", "tile_0000"}
+
+
+def test_answer(spark):
+    pages = spark.createDataFrame([(1, "https://s.org/a", "<h1>Animals</h1><p>Elephants weigh 6000 kilograms and are heavy. <a href='/e'>more</a></p><p>Tomatoes are red plants that people eat.</p>"), (2, "https://s.org/b", None)], "page_id long, url string, html string")
+    said = []
+    ask = lambda r: said.append(1) or r.select("key", F.when(F.contains("prompt", F.lit("Question:")), F.when(F.contains("prompt", F.lit("6000")), "6000 kg").otherwise("?")).alias("reply")).filter("reply IS NOT NULL")
+    a = models.answer(spark, pages, "How much do elephants weigh?", ask)
+    assert {r.unit: r.answer for r in a.answer.collect()} == {"p1": "6000 kg", "p2": models.NOTHING_FOUND}
+    assert [r.used_as_evidence for r in a.links.collect()] == [True] and a.log.filter("action = 'open'").count() >= 1
+    with pytest.raises(ValueError):
+        models.answer(spark, pages, "  ", ask)
+    with pytest.raises(ValueError):
+        models.provider("other", table=ask)
+
+
+def test_cached_questions_are_asked_once(spark):
+    r = spark.createDataFrame([("a",), ("a",), ("b",)], "prompt string")
+    calls = []
+    ask = lambda x: calls.append(x.count()) or x.select("key", F.upper("prompt").alias("reply"))
+    out, new = models.asked(r, ask)
+    assert sorted(x.reply for x in out.collect()) == ["A", "A", "B"] and calls == [2]
+    models.asked(r.union(spark.createDataFrame([("c",)], "prompt string")), ask, new)
+    assert calls == [2, 1]
+
+
+def test_lazy_names():
+    import loomstone
+
+    assert loomstone.pack_page is tiling.pack_page and all(getattr(loomstone, n) is not None for n in loomstone.__all__)
+    with pytest.raises(AttributeError):
+        loomstone.nothing_of_the_kind
 
 
 def test_links_in_any_form(spark):
