@@ -141,6 +141,17 @@ def pack_page(items: list[dict], config: Config = CONFIG, size: tuple[float, flo
     return out
 
 
+def pruned(e: DataFrame, tolerance: float = CONFIG.containment_tolerance) -> DataFrame:
+    """Elements of each unit without those nested in something kept: exact for any tolerance, since containment with one is not transitive. Only boxes go to Python."""
+
+    def run(page: pd.DataFrame) -> pd.DataFrame:
+        kept = prune(page.to_dict("records"), tolerance)
+        return pd.DataFrame({"unit": page["unit"].iloc[0], "seq": [k["seq"] for k in kept]})
+
+    kept = e.select("unit", "seq", "x", "y", "w", "h", "depth").groupBy("unit").applyInPandas(run, "unit string, seq int")
+    return e.join(kept, ["unit", "seq"], "left_semi")
+
+
 SCHEMA = "unit string, tile_seq int, tile_id string, x int, y int, width int, height int, dom_tag string, text_preview string, source_ids array<int>, links array<struct<href:string,anchor_text:string>>"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from loomstone.config import CONFIG, STOP_WORDS
 from loomstone.operators.models import ASK_QUESTION, JUDGE
-from loomstone.plans.oracles import _LINKS, _NEG, _SLUGS, _TOKEN, _TOP, ELEMENTS, HEADINGS, QUESTIONS, ROWS, _e, _html, _scores, _terms
+from loomstone.plans.oracles import SQL, _LINKS, _NEG, _SLUGS, _TOKEN, _TOP, ELEMENTS, HEADINGS, QUESTIONS, ROWS, _e, _html, _scores, _terms
 
 _STOP_LIST = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _HIGH = 2000
@@ -106,19 +106,23 @@ _A, _O, _SEED = CONFIG.activate_threshold, CONFIG.open_threshold, CONFIG.seed_to
 _PLACED_AS_E = "e0 AS (SELECT * FROM pl)"
 
 
-def _controller() -> str:
+#: Neighbours of a tile in page order, those tried first in front: (unit, pos, list of places from 1).
+_BEFORE_AND_AFTER = "nb AS (SELECT unit, pos, list_filter([pos, pos + 2], lambda p: p BETWEEN 1 AND n) AS near FROM (SELECT unit, pos, count(*) OVER (PARTITION BY unit) AS n FROM sc))"
+
+
+def _controller(near: str = _BEFORE_AND_AFTER) -> str:
     """The state machine, a step of its main loop an iteration; states 0 inactive, 1 active, 2 opened, 3 pruned."""
     names = "['inactive', 'active', 'opened', 'pruned']"
-    act = lambda i: f"CASE WHEN {i} BETWEEN 1 AND len(s) AND st[{i}] = 0 AND s[{i}] >= {_A} THEN [{{'p': {i}::INT, 'a': 'activate', 'f': 0, 't': 1}}] ELSE [] END"
     return f"""
-sl AS (SELECT unit, list(score ORDER BY pos) AS s FROM sc GROUP BY unit),
+{near},
+sl AS (SELECT sc.unit, list(score ORDER BY sc.pos) AS s, list(coalesce(near, []) ORDER BY sc.pos) AS nb FROM sc LEFT JOIN nb ON nb.unit = sc.unit AND nb.pos = sc.pos GROUP BY sc.unit),
 sr AS (SELECT unit, pos, row_number() OVER (PARTITION BY unit ORDER BY score DESC, pos) AS k FROM sc),
 sd AS (SELECT unit, list({{'p': (pos + 1)::INT, 'a': 'seed', 'f': 0, 't': 1}} ORDER BY k) FILTER (WHERE k <= {_SEED}) AS log, list((k <= {_SEED})::INT ORDER BY pos) AS st FROM sr GROUP BY unit),
-run AS (SELECT sl.unit, s, st, 0 AS opened, log FROM sl JOIN sd ON sd.unit = sl.unit
+run AS (SELECT sl.unit, s, nb, st, 0 AS opened, log FROM sl JOIN sd ON sd.unit = sl.unit
   UNION ALL
-  SELECT unit, s,
+  SELECT unit, s, nb,
     list_transform(st, lambda v, i: coalesce(list_extract(list_transform(list_filter(new, lambda n: n.p = i), lambda n: n.t), -1), v)), opened + (new[1].a = 'open')::INT, list_concat(log, new)
-  FROM (SELECT unit, s, st, opened, log, CASE WHEN s[b] < {_O} THEN [{{'p': b::INT, 'a': 'prune', 'f': 1, 't': 3}}] ELSE list_concat([{{'p': b::INT, 'a': 'open', 'f': 1, 't': 2}}], {act('(b - 1)')}, {act('(b + 1)')}) END AS new
+  FROM (SELECT unit, s, nb, st, opened, log, CASE WHEN s[b] < {_O} THEN [{{'p': b::INT, 'a': 'prune', 'f': 1, 't': 3}}] ELSE list_concat([{{'p': b::INT, 'a': 'open', 'f': 1, 't': 2}}], list_transform(list_filter(nb[b], lambda i: st[i] = 0 AND s[i] >= {_A}), lambda i: {{'p': i::INT, 'a': 'activate', 'f': 0, 't': 1}})) END AS new
     FROM (SELECT *, list_position(m, list_max(m)) AS b FROM (SELECT *, list_transform(s, lambda v, i: CASE WHEN st[i] = 1 THEN v ELSE -1 END) AS m FROM run WHERE opened < {CONFIG.budget} AND list_contains(st, 1))))),
 fin AS (SELECT unit, s, list_concat(log, list_transform(list_filter(range(1, len(s) + 1), lambda i: st[i] = 1), lambda i: {{'p': i::INT, 'a': 'prune', 'f': 1, 't': 3}})) AS log FROM run WHERE opened = {CONFIG.budget} OR NOT list_contains(st, 1)),
 lg AS (SELECT unit, s, unnest(log) AS l, unnest(range(0, len(log)))::INT AS step FROM fin),
@@ -230,7 +234,25 @@ xs AS (SELECT p.id, page, tile, row_number() OVER (PARTITION BY p.id ORDER BY ro
 """) + "SELECT id, nth, page AS page_slug, tile AS tile_id FROM xs WHERE nth < 2"
 
 
+#: Around a tile its neighbours of the section, then the tiles of the next section.
+_ACROSS = """
+nr AS (SELECT unit, seq AS pos, lag(seq) OVER (PARTITION BY unit, section ORDER BY seq) AS b, lead(seq) OVER (PARTITION BY unit, section ORDER BY seq) AS a, section FROM sp),
+nx AS (SELECT unit, section, list(seq + 1 ORDER BY seq) AS every FROM sp GROUP BY unit, section),
+nb AS (SELECT nr.unit, nr.pos, list_concat(list_filter([b + 1, a + 1], lambda p: p IS NOT NULL), coalesce(every, [])) AS near FROM nr LEFT JOIN nx ON nx.unit = nr.unit AND nx.section = nr.section + 1)"""
+
 MORE = {
+    "s3_qa_pairs": "SELECT conv_id || '_' || turn AS id, text AS question, upper(role) AS answer FROM conversations",
+    "s4_contrastive_examples": _CONTRAST.rstrip() + f" SELECT q.unit AS qa_id, answer, {_tile('q.positive')} AS positive_tile_id, coalesce(string_agg({_tile('neg.pos')}, ',' ORDER BY nth), '') AS negatives FROM q LEFT JOIN neg ON neg.unit = q.unit GROUP BY q.unit, answer, q.positive",
+    "s10_url_list": "SELECT url FROM pages WHERE page_id % 5 <> 0",
+    "s11_snapshot": "SELECT url, page_id * 10 AS revid, url || '?oldid=1' AS pinned_url FROM pages",
+    "k1_saved_images": "SELECT role || '__' || conv_id || '_' || turn AS id, md5(text) AS digest FROM conversations",
+    "k2_idempotent_append": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",
+    "k5_attempt_log": "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "k8_results": SQL["w8_rank_metrics"],
+    "j1_pruned": "WITH RECURSIVE " + _e(_tiles(), recursive=True).removeprefix("WITH RECURSIVE ") + "SELECT unit, seq FROM k",
+    "a3_tile_sources": _e(_tiles(), recursive=True) + ", sc0 AS (SELECT unit, t, string_agg(seq::VARCHAR, ',' ORDER BY o, gi) AS sources FROM tm GROUP BY unit, t) SELECT tl1.unit, (row_number() OVER (PARTITION BY tl1.unit ORDER BY tl1.t, s) - 1)::INT AS tile_seq, sources FROM tl1 JOIN sc0 ON sc0.unit = tl1.unit AND sc0.t = tl1.t WHERE high > 0 AND width > 0",
+    "g8_semantic_edges": f"{_READ}, {_READ_E}, {_on_read(_PAIRS)}, {_GREEDY}, at0 AS (SELECT unit, read_pos, seq FROM pl0) SELECT gk.unit, {_tile('a.seq')} AS src, {_tile('b.seq')} AS dst, similarity FROM gk JOIN sm ON sm.unit = gk.unit AND sm.i = k.i AND sm.j = k.j JOIN at0 a ON a.unit = gk.unit AND a.read_pos = k.i JOIN at0 b ON b.unit = gk.unit AND b.read_pos = k.j",
+    "g13_across_sections": _e(QUESTIONS, HEADINGS, _SPLIT, _scores(True), _controller(_ACROSS), recursive=True) + "SELECT unit, step, pos, action, score, state_before, state_after FROM cl",
     "g1_tiles": _e(_tiles(), recursive=True) + f"SELECT unit, tile_seq, {_tile('tile_seq')} AS tile_id, x, y, width, height, dom_tag, text_preview FROM tiles",
     "g10_page_graph": _html_page() + ", " + _tiles() + ", " + ROWS.replace("FROM e)", "FROM te)").replace("e.*", "e.*").replace("FROM e JOIN", "FROM te e JOIN").replace("\nord AS", "\nte AS (SELECT unit, tile_seq AS seq, dom_tag AS tag, x, y, width AS w, height AS h FROM tiles),\nord AS") + ", " + _EDGES + "SELECT unit, src, dst, relation, direction FROM ed",
     "j7_cross_page_negatives": _cross_page(),

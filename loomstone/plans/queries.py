@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomstone import schema
 from loomstone.config import CONFIG
 from loomstone.functions import text as T
 from loomstone.operators import controller, corpus, evaluation, graph, mining, models, scoring, sectioning, spatial, tiling
@@ -733,3 +734,110 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     x = models.embedded(table(spark, d, "documents").select(F.col("doc_id").alias("key")), e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")))
     return x.select("key", F.round(F.get("vector", F.lit(0)), 5).alias("first"))
+
+
+# stores, written and read back
+
+@query("s3_qa_pairs")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    c = table(spark, d, "conversations")
+    qa = c.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.lit("u").alias("page_url"), F.col("role").alias("page_slug"), F.col("turn").cast("string").alias("tile_id"), F.col("text").alias("question"), F.upper("role").alias("answer"), F.lit("").alias("image_path"))
+    stores.save_jsonl(qa, path)
+    return stores.read_jsonl(spark, path, schema.QA_PAIRS, ("id", "question", "answer")).select("id", "question", "answer")
+
+
+@query("s4_contrastive_examples")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    a = asked_tiles(tiles(spark, d))
+    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(scoring.with_questions(a)), a, questions(a)), questions(a))
+    tile = graph.tile_id
+    rows = x.select(F.col("unit").alias("qa_id"), F.lit("u").alias("page_url"), F.col("unit").alias("page_slug"), "question", "answer", tile(F.col("positive")).alias("positive_tile_id"), F.transform("negatives", tile).alias("hard_negative_tile_ids"))
+    stores.save_jsonl(rows, path)
+    return stores.read_jsonl(spark, path, schema.CONTRASTIVE, ("qa_id", "positive_tile_id")).select("qa_id", "answer", "positive_tile_id", F.array_join("hard_negative_tile_ids", ",").alias("negatives"))
+
+
+@query("s10_url_list")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    p = table(spark, d, "pages")
+    lines = p.select(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("# "), "url")).when(F.col("page_id") % 5 == 1, F.concat(F.lit("  "), "url", F.lit(" "))).otherwise(F.col("url"))).union(p.limit(1).select(F.lit("  ")))
+    lines.toDF("value").write.text(path)
+    return stores.read_url_list(spark, path)
+
+
+@query("s11_snapshot")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    pin = F.struct((F.col("page_id") * 10).alias("revid"), F.concat("url", F.lit("?oldid=1")).alias("pinned_url"), F.lit("2024-01-01T00:00:00Z").alias("pinned_at"))
+    pins = table(spark, d, "pages").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("url", pin))).alias("m"))
+    pins.select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    return stores.read_snapshot(spark, path).select("url", "revid", "pinned_url")
+
+
+@query("k2_idempotent_append")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    e = table(spark, d, "events").select("user_id", "event_type")
+    stores.append_unseen(e.filter("event_type = 'view'"), path, ["user_id", "event_type"])
+    stores.append_unseen(e, path, ["user_id", "event_type"])
+    stores.append_unseen(e, path, ["user_id", "event_type"])
+    return stores.read_jsonl(spark, path, "user_id long, event_type string").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k5_attempt_log")
+def _(spark, d):
+    root = stores.shared_folder(spark)
+    ids = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    stores.append_attempt(ids, ids.filter("quality = 1"), root)
+    new = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"))
+    return mining.new_records(new, stores.attempted_ids(spark, root)).select("id")
+
+
+@query("k8_results")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    a = asked_tiles(tiles(spark, d))
+    r = scoring.ranked(scores(a, True)).join(questions(a).select("unit", F.col("positive").alias("pos")), ["unit", "pos"])
+    stores.save_results(evaluation.recall_and_mrr(r, F.substring("unit", 1, 1).alias("kind")), path, "kind")
+    return spark.read.schema("n long, recall_at_1 double, recall_at_3 double, recall_at_5 double, mrr double, kind string").json(path)
+
+
+@query("k1_saved_images")
+def _(spark, d):
+    path = stores.shared_folder(spark)
+    c = table(spark, d, "conversations").select(F.col("role").alias("page_slug"), F.concat_ws("_", "conv_id", "turn").alias("tile_id"), F.col("text").cast("binary").alias("image"))
+    stores.save_tile_images(c, path).count()
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.regexp_extract("path", "([^/]*)\\.png$", 1).alias("id"), F.md5("content").alias("digest"))
+
+
+# exact forms of nesting, sources of tiles, semantic edges, and a controller across sections
+
+@query("j1_pruned")
+def _(spark, d):
+    return tiling.pruned(el.elements(spark, d)).select("unit", "seq")
+
+
+@query("a3_tile_sources")
+def _(spark, d):
+    return tiling.build_tiles(el.elements(spark, d)).select("unit", "tile_seq", F.array_join(F.transform("source_ids", lambda i: i.cast("string")), ",").alias("sources"))
+
+
+@query("g8_semantic_edges")
+def _(spark, d):
+    e = graph.edges(placed(spark, d), semantic=True)
+    return e.filter("relation = 'semantic_neighbor'").select("unit", "src", "dst", "similarity")
+
+
+@query("g13_across_sections")
+def _(spark, d):
+    """The controller over pages in sections: around a tile come its neighbours of the section, then all tiles of the next section."""
+    s = sectioning.split_sections(el.elements(spark, d), 2000).select("unit", F.col("seq").alias("pos"), "text", "section")
+    a = asked_tiles(s.select("unit", "pos", "text"))
+    order = Window.partitionBy("unit", "section").orderBy("pos")
+    beside = s.withColumn("b", F.lag("pos").over(order)).withColumn("n", F.lead("pos").over(order))
+    around = beside.select("unit", "pos", F.explode(F.array(F.struct(F.col("b").alias("other"), F.lit(0).alias("rank")), F.struct(F.col("n").alias("other"), F.lit(1).alias("rank")))).alias("a")).select("unit", "pos", "a.other", "a.rank").filter("other IS NOT NULL")
+    onward = s.select("unit", "pos", (F.col("section") + 1).alias("section")).join(s.select("unit", "section", F.col("pos").alias("other")), ["unit", "section"]).select("unit", "pos", "other", F.lit(2).alias("rank"))
+    return controller.controller_log(scores(a, True), around.unionByName(onward))

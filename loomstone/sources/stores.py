@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the cluster's spark.checkpoint.dir; a temporary one only where that is unset and the driver is the only machine."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomstone-")
+    return f"{found.rstrip('/')}/loomstone-stores-{uuid.uuid4().hex}"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a JSON-lines file; a missing file has none, a malformed line or a missing required key raises."""
     if not _exists(spark, path):
