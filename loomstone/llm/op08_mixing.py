@@ -8,12 +8,15 @@ long as the documents fit; one later document, that whose size is nearest to wha
 the sum comes nearer with it.
 
 No window holds a source: the order is cut in BUCKETS of the key, words are summed by (source, bucket) with partial
-sums, and only the bucket in which the target is reached, about 1/BUCKETS of the source, is ordered document by
-document. What comes out is one cut (bucket, key, doc_id) a source.
+sums, and only the bucket in which the target is reached, about 1/BUCKETS of the source, is ordered, rows of equal
+(key, doc_id, size) being counted as one step. What comes out is, a source, the step at the cut with the number of its
+rows that fit, and the step that closes the gap with one row. Only if such a step has more rows than it may take are
+its rows written and numbered, task by task, so that a doc_id of very many rows needs no window of its own.
 
 Defined cases: null text has size 0 and is taken 0 times a size of 0; a null source is a source of its own, last in
-order; a null doc_id hashes as '' and sorts as -1; repeated rows share their key, so the cut keeps or leaves them
-together; an empty table gives an empty result; other columns are passed on by `mixed_rows`.
+order; a null doc_id hashes as '' and sorts as -1; rows that share a doc_id share their place in the order, and of
+those of equal size as many are taken as fit; an empty table gives an empty result; other columns, whatever their
+names, are passed on by `mixed_rows`, whose four columns m_... replace columns of these names.
 """
 
 from __future__ import annotations
@@ -52,11 +55,12 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: i
 
 def _keyed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows(m_source, m_id, m_size, m_u, m_w, ...) with copies, key and bucket; plan has one row a source."""
-    m = F.when(F.col("spread") > 0, F.col("target") * F.col("m_w") / F.col("spread")).otherwise(0.0)
-    x = rows.join(plan, rows.m_source.eqNullSafe(plan.source)).drop("source").withColumn("m_m", F.least(m, F.lit(float(CAP))))
+    plan = plan.select(F.col("source").alias("p_source"), F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), F.col("spread").alias("m_spread"))
+    m = F.when(F.col("m_spread") > 0, F.col("m_target") * F.col("m_w") / F.col("m_spread")).otherwise(0.0)
+    x = rows.join(_few(plan), F.col("m_source").eqNullSafe(F.col("p_source"))).drop("p_source").withColumn("m_m", F.least(m, F.lit(float(CAP))))
     x = x.withColumn("m_copies", F.floor("m_m")).withColumn("m_p", F.col("m_m") - F.col("m_copies"))
     q = F.col("m_u") * (1 - F.col("m_p")) / ((1 - F.col("m_u")) * F.col("m_p"))
-    return x.withColumn("m_key", F.when(F.col("m_p") > 0, q / (1 + q))).withColumn("m_bucket", F.floor(F.col("m_key") * BUCKETS).cast("int"))
+    return x.withColumn("m_key", F.when(F.col("m_p") > 0, q / (1 + q))).withColumn("m_bucket", F.least(F.floor(F.col("m_key") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
 
 
 def _few(plan: DataFrame) -> DataFrame:
@@ -64,41 +68,82 @@ def _few(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, weight: Column | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs' columns with m_size, m_source_size, m_target and m_taken_copies. weight: relative inclusion within a source."""
+def _step(*names: str):
+    """Where a row stands in the order; equal for the rows of one step."""
+    return F.struct(*[F.col(n).alias(k) for n, k in zip(names or ("m_key", "m_id", "m_size"), "kis")])
+
+
+def _numbered(tied: DataFrame, scratch: Scratch) -> DataFrame:
+    """tied rows(t_step, ...) with t_nth from 1 within (m_source, t_step), task by task."""
+    held = scratch.keep(tied.withColumn("t_task", F.spark_partition_id()).withColumn("t_row", F.monotonically_increasing_id()), "tied")
+    own = [F.col("m_source"), F.col("t_step")]
+    counts = held.groupBy(*own, "t_task").agg(F.count(F.lit(1)).alias("t_n"))
+    before = F.coalesce(F.sum("t_n").over(Window.partitionBy(*own).orderBy("t_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("m_source").alias("o_source"), F.col("t_step").alias("o_step"), F.col("t_task").alias("o_task"), before.alias("t_before"))
+    x = held.withColumn("t_nth", F.row_number().over(Window.partitionBy(*own, "t_task").orderBy("t_row")))
+    x = x.join(counts, F.col("m_source").eqNullSafe(F.col("o_source")) & (F.col("t_step") == F.col("o_step")) & (F.col("t_task") == F.col("o_task")))
+    return x.withColumn("t_nth", F.col("t_before") + F.col("t_nth"))
+
+
+def drawn(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED, weight: Column | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """docs' columns as c0, c1, ... with m_size, m_source_size, m_target and m_taken_copies. weight: relative inclusion within a source."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     mine = [F.col(source).alias("m_source"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("m_id"), word_count(F.col(text)).alias("m_size"), uniform(F.col(doc_id), seed).alias("m_u"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("m_w")]
+    safe = [f"c{i}" for i in range(len(docs.columns))]
     light = scratch.keep(docs.select(*mine), "sizes")
     totals = light.groupBy(F.col("m_source").alias("source")).agg(F.sum("m_size").alias("source_size"), F.sum(F.col("m_size") * F.col("m_w")).alias("spread"))
     totals = scratch.keep(totals, "totals")
     plan = scratch.keep(source_targets(totals.select("source", "source_size"), weights, cap).join(totals.select(F.col("source").alias("s"), "spread"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-    keyed = _keyed(light, _few(plan))
-    sums = keyed.groupBy("m_source", "m_bucket").agg(F.sum(F.when(F.col("m_key").isNotNull(), F.col("m_size"))).alias("words"), F.sum(F.col("m_copies") * F.col("m_size")).alias("whole"))
+    keyed = _keyed(light, plan)
+    sums = keyed.groupBy("m_source", "m_bucket").agg(F.first("m_target").alias("target"), F.sum(F.when(F.col("m_key").isNotNull(), F.col("m_size"))).alias("words"), F.sum(F.col("m_copies") * F.col("m_size")).alias("whole"))
     sums = scratch.keep(sums, "sums")
     up = Window.partitionBy("m_source").orderBy("m_bucket")
-    left = (F.first("target").over(up) - F.sum("whole").over(Window.partitionBy("m_source"))).alias("left")
-    steps = sums.join(_few(plan), sums.m_source.eqNullSafe(plan.source)).select("m_source", "m_bucket", "words", left, F.sum("words").over(up).alias("upto"))
-    cross = steps.filter(F.col("m_bucket").isNotNull()).groupBy("m_source").agg(F.min(F.when(F.col("upto") >= F.col("left"), F.struct("m_bucket", (F.col("upto") - F.col("words")).alias("had")))).alias("at"), F.first("left").alias("left"))
-    cross = scratch.keep(cross.select(F.col("m_source").alias("c_source"), F.coalesce("at.m_bucket", F.lit(BUCKETS)).alias("c_bucket"), F.col("at.had").alias("c_had"), F.col("left").alias("c_left")), "cross")
-    few = _few(cross)
-    edge = keyed.join(few, keyed.m_source.eqNullSafe(cross.c_source) & (keyed.m_bucket == cross.c_bucket))
-    run = Window.partitionBy("c_source").orderBy("m_key", "m_id", "m_size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("with", F.col("c_had") + F.sum("m_size").over(run)).filter(F.col("with") <= F.col("c_left"))
-    cut = edge.groupBy(F.col("c_source").alias("e_source")).agg(F.max(F.struct(F.col("m_key").alias("k"), F.col("m_id").alias("i"))).alias("c_cut"), F.max("with").alias("c_with"))
-    cuts = scratch.keep(cross.join(cut, F.col("c_source").eqNullSafe(F.col("e_source")), "left").drop("e_source").withColumn("c_short", F.col("c_left") - F.coalesce("c_with", "c_had")), "cuts")
-    order = F.struct(F.col("m_key").alias("k"), F.col("m_id").alias("i"))
-    within = (F.col("m_bucket") < F.col("c_bucket")) | ((F.col("m_bucket") == F.col("c_bucket")) & F.coalesce(order <= F.col("c_cut"), F.lit(False)))
-    beyond = keyed.join(_few(cuts), keyed.m_source.eqNullSafe(cuts.c_source)).filter(F.col("m_key").isNotNull() & ~within & (F.col("m_size") > 0) & (F.col("m_size") < 2 * F.col("c_short")))
-    last = beyond.groupBy(F.col("c_source").alias("e_source")).agg(F.min(F.struct(F.abs(F.col("c_short") - F.col("m_size")).alias("d"), F.col("m_key").alias("k"), F.col("m_id").alias("i"))).alias("x"))
-    last = last.select("e_source", F.struct("x.k", "x.i").alias("c_last"))
-    final = scratch.keep(cuts.join(last, F.col("c_source").eqNullSafe(F.col("e_source")), "left").drop("e_source"), "last")
-    rows = _keyed(docs.select(*[F.col(c) for c in docs.columns], *mine).withColumnRenamed(source, "m_kept_source"), _few(plan))
-    rows = rows.join(_few(final), rows.m_source.eqNullSafe(final.c_source), "left")
-    extra = F.when(F.col("m_key").isNull(), 0).when(within | F.coalesce(order == F.col("c_last"), F.lit(False)), 1).otherwise(0)
-    out = rows.select(*[F.col("m_kept_source").alias(c) if c == source else F.col(c) for c in docs.columns], "m_size", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), (F.col("m_copies") + extra).cast("long").alias("m_taken_copies"))
+    left = (F.col("target") - F.sum("whole").over(Window.partitionBy("m_source"))).alias("left")
+    steps = sums.select("m_source", "m_bucket", "words", left, F.sum("words").over(up).alias("upto"))
+    cross = steps.filter(F.col("m_bucket").isNotNull()).groupBy("m_source").agg(F.min(F.when(F.col("upto") >= F.col("left"), F.struct("m_bucket", (F.col("upto") - F.col("words")).alias("had")))).alias("at"), F.sum("words").alias("all"), F.first("left").alias("left"))
+    cross = scratch.keep(cross.select(F.col("m_source").alias("c_source"), F.coalesce("at.m_bucket", F.lit(BUCKETS)).alias("c_bucket"), F.coalesce("at.had", "all").alias("c_had"), F.col("left").alias("c_left")), "cross")
+    # the steps of the bucket at the cut; of the first that does not fit whole, so many rows as fit
+    edge = keyed.join(_few(cross), F.col("m_source").eqNullSafe(F.col("c_source")) & (F.col("m_bucket") == F.col("c_bucket")))
+    edge = edge.groupBy("c_source", "c_had", "c_left", "m_key", "m_id", "m_size").agg(F.count(F.lit(1)).alias("n"))
+    run = Window.partitionBy("c_source").orderBy("m_key", "m_id", "m_size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("before", F.col("c_had") + F.coalesce(F.sum(F.col("m_size") * F.col("n")).over(run), F.lit(0)))
+    fits = F.when(F.col("m_size") == 0, F.col("n")).otherwise(F.least("n", F.floor((F.col("c_left") - F.col("before")) / F.col("m_size"))))
+    edge = edge.filter(F.col("before") <= F.col("c_left")).withColumn("fits", fits)
+    last = F.struct(_step().alias("step"), F.col("fits"), F.col("n"), (F.col("before") + F.col("m_size") * F.col("fits")).alias("with"))
+    cut = edge.groupBy(F.col("c_source").alias("e_source")).agg(F.max(last).alias("c_at"))
+    cuts = cross.join(cut, F.col("c_source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    cuts = scratch.keep(cuts.withColumn("c_short", F.col("c_left") - F.coalesce("c_at.with", "c_had")), "cuts")
+    within = (F.col("m_bucket") < F.col("c_bucket")) | ((F.col("m_bucket") == F.col("c_bucket")) & F.coalesce(_step() < F.col("c_at.step"), F.lit(False)))
+    at_cut = F.coalesce(_step() == F.col("c_at.step"), F.lit(False))
+    open_ = F.col("m_key").isNotNull() & ~within & ~(at_cut & F.coalesce(F.col("c_at.fits") >= F.col("c_at.n"), F.lit(False)))
+    beyond = keyed.join(_few(cuts), F.col("m_source").eqNullSafe(F.col("c_source"))).filter(open_ & (F.col("m_size") > 0) & (F.col("m_size") < 2 * F.col("c_short")))
+    near = beyond.groupBy(F.col("c_source").alias("e_source"), "m_key", "m_id", "m_size").agg(F.count(F.lit(1)).alias("n"), F.first(F.abs(F.col("c_short") - F.col("m_size"))).alias("gap"))
+    near = near.groupBy("e_source").agg(F.min(F.struct("gap", _step().alias("step"), "n")).alias("c_last"))
+    final = scratch.keep(cuts.join(near, F.col("c_source").eqNullSafe(F.col("e_source")), "left").drop("e_source"), "last")
+    rows = _keyed(docs.select(*mine, *[F.col(c).alias(k) for c, k in zip(docs.columns, safe)]), plan)
+    rows = rows.join(_few(final), F.col("m_source").eqNullSafe(F.col("c_source")), "left")
+    closes = F.coalesce(_step() == F.col("c_last.step"), F.lit(False))
+    may = F.when(at_cut, F.col("c_at.fits")).otherwise(0) + closes.cast("long")
+    there = F.when(at_cut, F.col("c_at.n")).otherwise(F.col("c_last.n"))
+    taken = F.when(F.col("m_key").isNull(), 0).when(within, 1).when(at_cut | closes, (may > 0).cast("int")).otherwise(0)
+    partly = F.coalesce(F.col("m_key").isNotNull() & (at_cut | closes) & (may > 0) & (may < there), F.lit(False))
+    some = F.col("c_at.fits") + F.when(F.col("c_at.step") == F.col("c_last.step"), 1).otherwise(0)
+    split = final.filter(((F.coalesce(some, F.lit(0)) > 0) & (some < F.col("c_at.n"))) | (F.col("c_last.n") > 1)).limit(1).count()
+    out = lambda x, extra: x.select(*safe, "m_size", "m_source_size", "m_target", (F.col("m_copies") + extra).cast("long").alias("m_taken_copies"))
+    if not split:
+        result = out(rows, taken)
+    else:
+        tied = _numbered(rows.filter(partly).withColumn("t_step", _step()).withColumn("t_may", may), scratch)
+        result = out(rows.filter(~partly), taken).unionByName(out(tied, (F.col("t_nth") <= F.col("t_may")).cast("int")))
     scratch.drop(light, totals, sums, cross, cuts)
-    return out
+    return result
+
+
+def mixed_rows(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """docs' columns with m_size, m_source_size, m_target and m_taken_copies; arguments as of `drawn`."""
+    new = ("m_size", "m_source_size", "m_target", "m_taken_copies")
+    return drawn(docs, *args, **kwargs).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in new], *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
