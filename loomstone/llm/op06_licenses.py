@@ -18,6 +18,7 @@ are read whole; repeated rows give equal rows; an empty table gives an empty res
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -89,6 +90,21 @@ def _runs(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U64(k))
 
 
+def apart(places: list[tuple]) -> list[tuple]:
+    """Of places (..., first, last), in turn, those that overlap none before."""
+    starts: list[int] = []
+    ends: list[int] = []
+    out = []
+    for x in places:
+        first, last = x[-2:]
+        k = bisect_left(starts, first)
+        if (k == 0 or ends[k - 1] < first) and (k == len(starts) or starts[k] > last):
+            starts.insert(k, first)
+            ends.insert(k, last)
+            out.append(x)
+    return out
+
+
 class Templates:
     """Hashed templates and their inverted index."""
 
@@ -191,16 +207,8 @@ class Templates:
                 x = self.align(doc, t, d)
                 if x and x[0] >= least * len(self.words[t]) and self.told(doc[x[1] : x[2] + 1], t):
                     places.append(x)
-            taken: list = []
-            for c, s, e in sorted(places, key=lambda x: (-x[0], x[1], x[2])):
-                if all(e < s2 or s > e2 for _, s2, e2 in taken):
-                    taken.append((c, s, e))
-            found += [(t, *x) for x in taken]
-        out: list = []
-        for t, c, s, e in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
-            if all(e < s2 or s > e2 for _, _, s2, e2 in out):
-                out.append((t, c, s, e))
-        return sorted(out, key=lambda x: (x[2], x[0]))
+            found += [(t, *x) for x in apart(sorted(places, key=lambda x: (-x[0], x[1], x[2])))]
+        return sorted(apart(sorted(found, key=lambda x: (-x[1], x[2], x[0]))), key=lambda x: (x[2], x[0]))
 
 
 OUT = "doc_id long, license string, coverage double, matched long, start long, end long"
