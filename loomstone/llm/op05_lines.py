@@ -10,7 +10,8 @@ joins at every size, since what they join grows with the input.
 
 Defined cases: null text stays null; texts of fewer than three lines have no window and stay; a null doc_id sorts
 last; rows with equal doc_id and text are one place, so what one keeps all keep; a text that loses every line becomes
-empty; an empty table gives an empty result; other columns are passed on by `deduplicated`.
+empty; an empty table gives an empty result; other columns, whatever their names, are passed on by `deduplicated`, whose
+n_lines and n_removed replace columns of these names.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ def windows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return rows.select("w_id", "w_text", "w_pos", F.xxhash64(*at).alias("w_h1"), F.xxhash64(F.lit(977), *at[::-1]).alias("w_h2"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the text's repeated windows removed, and with n_lines and n_removed."""
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs' columns as c0, c1, ... with the text's repeated windows removed, and w_lines and w_removed, the numbers of its lines and of those removed."""
     scratch = Scratch(docs.sparkSession, "lines")
     held = scratch.keep(windows(docs, text, doc_id), "windows")
     again = held.groupBy("w_h1", "w_h2").agg(F.min(F.struct("w_id", "w_text", "w_pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -42,14 +43,21 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     covered = later.groupBy("w_id", "w_text").agg(F.collect_set("w_pos").alias("w_at"))
     covered = covered.select("w_id", "w_text", F.array_distinct(F.flatten(F.transform("w_at", lambda p: F.sequence(p, p + SPAN - 1)))).alias("w_gone"))
     covered = scratch.keep(covered, "covered")
-    x = docs.withColumn("w_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))).withColumn("w_own", F.xxhash64(F.col(text)))
-    x = x.join(covered.hint("merge"), (x.w_key == covered.w_id) & (x.w_own == covered.w_text), "left").withColumn("w_lines", F.split(F.col(text), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("w_lines") - 1), "w_gone")
-    new = F.when(F.col("w_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.col("w_lines")[i]), "\n"))
-    count = F.when(F.col(text).isNull(), 0).otherwise(F.size("w_lines")).cast("long")
-    out = x.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], count.alias("n_lines"), F.coalesce(F.size("w_gone"), F.lit(0)).cast("long").alias("n_removed"))
     scratch.drop(held)
-    return out
+    names = docs.columns
+    x = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("w_key"), F.xxhash64(F.col(text)).alias("w_own"))
+    own = F.col(f"c{names.index(text)}")
+    x = x.join(covered.hint("merge"), (F.col("w_key") == F.col("w_id")) & (F.col("w_own") == F.col("w_text")), "left").withColumn("w_split", F.split(own, "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("w_split") - 1), "w_gone")
+    new = F.when(F.col("w_gone").isNull(), own).otherwise(F.array_join(F.transform(kept, lambda i: F.col("w_split")[i]), "\n"))
+    count = F.when(own.isNull(), 0).otherwise(F.size("w_split")).cast("long")
+    return x.select(*[new.alias(f"c{i}") if c == text else F.col(f"c{i}") for i, c in enumerate(names)], count.alias("w_lines"), F.coalesce(F.size("w_gone"), F.lit(0)).cast("long").alias("w_removed"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with the text's repeated windows removed, and with n_lines and n_removed."""
+    x = without_repeats(docs, text, doc_id)
+    return x.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")], F.col("w_lines").alias("n_lines"), F.col("w_removed").alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
