@@ -173,7 +173,7 @@ mt AS (SELECT *, (g = p)::INT::DOUBLE AS em, round(CASE WHEN len(ps) = 0 OR len(
 _HOST = "regexp_extract({0}, '^([a-z]+://[^/]+)', 1)"
 _CONTRAST = _e(QUESTIONS, "qq AS (SELECT unit, question AS text FROM q)", _terms("tt", "e", "unit, seq", False), _terms("qt", "qq", "unit", False), "tn AS (SELECT unit, seq, sum(tf * tf) AS v FROM tt GROUP BY unit, seq)", "qn AS (SELECT unit, sum(tf * tf) AS v FROM qt GROUP BY unit)", "d AS (SELECT tt.unit, seq, sum(tt.tf * qt.tf) AS dot FROM tt JOIN qt ON tt.unit = qt.unit AND tt.term = qt.term GROUP BY tt.unit, seq)", "sc AS (SELECT e.unit, e.seq AS pos, round(coalesce(dot / sqrt((tn.v * qn.v)::DOUBLE), 0), 6) AS score FROM e JOIN q ON q.unit = e.unit LEFT JOIN d ON d.unit = e.unit AND d.seq = e.seq LEFT JOIN tn ON tn.unit = e.unit AND tn.seq = e.seq LEFT JOIN qn ON qn.unit = e.unit)", _NEG.format(judge="", leak="AND NOT (lower(answer) <> '' AND contains(lower(text), lower(answer)))"))
 
-_DECODED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_DECODED = "regexp_replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g')"
 
 
 def _tiles(least: int = CONFIG.min_tile_height, most: int = CONFIG.max_tile_height) -> str:

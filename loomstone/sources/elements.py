@@ -22,10 +22,8 @@ class LayoutProvider(Protocol):
 
 def html_elements(pages: DataFrame, preview: int = CONFIG.preview_chars) -> DataFrame:
     """(page_id, seq, tag, text_preview) of block elements in document order, noise removed first; JVM expressions only."""
-    h = F.regexp_replace(F.col("html"), r"(?s)<!--.*?-->", "")
-    for tag in NOISE_TAGS:
-        h = F.regexp_replace(h, rf"(?si)<{tag}[ >].*?</{tag}>", "")
-    h = F.regexp_replace(h, r"(?si)<head[ >].*?</head>", "")
+    gone = "|".join((*NOISE_TAGS, "head"))
+    h = F.regexp_replace(F.col("html"), rf"(?si)<!--.*?-->|<({gone})[ >].*?</\1>", "")
     h = F.regexp_replace(h, r"(?i)<(h1|h2|h3|h4|p|table|figure|ul|ol|blockquote|pre)( [^>]*)?>", "\x01$1\x02")
     part = F.split(h, "\x01")
     rows = pages.select("page_id", F.posexplode(F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0)))).alias("seq", "raw"))
