@@ -145,11 +145,15 @@ def _xml(c):
     return c
 
 
-def to_xml(n: DataFrame) -> DataFrame:
-    """One document a page: a page element with its tiles in reading order."""
+def to_xml(n: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One document a page: a page element with its tiles in reading order. pages(unit, url, title): what the page element says; by default no address, and the unit as title."""
     line = F.concat(F.lit('  <element id="'), "node_id", F.lit('" tag="'), "tag", F.lit('" state="'), "state", F.lit('">'), _xml(F.col("text")), F.lit("</element>"))
     body = n.filter("type = 'element'").groupBy("unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("body"))
-    return body.select("unit", F.concat(F.lit('<?xml version="1.0" ?>\n<page url="" title="'), "unit", F.lit('">\n'), "body", F.lit("\n</page>\n")).alias("xml"))
+    if pages is None:
+        body = body.withColumn("url", F.lit("")).withColumn("title", F.col("unit"))
+    else:
+        body = body.join(pages.select("unit", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title")), "unit")
+    return body.select("unit", F.concat(F.lit('<?xml version="1.0" ?>\n<page url="'), _xml(F.col("url")), F.lit('" title="'), _xml(F.col("title")), F.lit('">\n'), "body", F.lit("\n</page>\n")).alias("xml"))
 
 
 def edge_ids(e: DataFrame) -> DataFrame:

@@ -246,6 +246,7 @@ MORE = {
     "s10_url_list": "SELECT url FROM pages WHERE page_id % 5 <> 0",
     "s11_snapshot": "SELECT url, page_id * 10 AS revid, url || '?oldid=1' AS pinned_url FROM pages",
     "k1_saved_images": "SELECT role || '__' || conv_id || '_' || turn AS id, md5(text) AS digest FROM conversations",
+    "k9_page_xml": _e(ROWS, recursive=True) + """SELECT pl.unit, '<?xml version="1.0" ?>' || chr(10) || '<page url="https://x.org/?a=1&amp;b=' || substr(pl.unit, 2) || '" title="&lt;' || any_value(k) || ' turns&gt;">' || chr(10) || string_agg('  <element id="' || """ + _tile("seq") + """ || '" tag="' || tag || '" state="inactive">' || replace(replace(replace(replace(left(text, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</element>', chr(10) ORDER BY read_pos) || chr(10) || '</page>' || chr(10) AS xml FROM pl JOIN (SELECT 'c' || conv_id AS unit, count(*) AS k FROM conversations GROUP BY conv_id) c ON c.unit = pl.unit GROUP BY pl.unit""",
     "k2_idempotent_append": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",
     "k5_attempt_log": "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "k8_results": SQL["w8_rank_metrics"],

@@ -841,3 +841,11 @@ def _(spark, d):
     around = beside.select("unit", "pos", F.explode(F.array(F.struct(F.col("b").alias("other"), F.lit(0).alias("rank")), F.struct(F.col("n").alias("other"), F.lit(1).alias("rank")))).alias("a")).select("unit", "pos", "a.other", "a.rank").filter("other IS NOT NULL")
     onward = s.select("unit", "pos", (F.col("section") + 1).alias("section")).join(s.select("unit", "section", F.col("pos").alias("other")), ["unit", "section"]).select("unit", "pos", "other", F.lit(2).alias("rank"))
     return controller.controller_log(scores(a, True), around.unionByName(onward))
+
+
+@query("k9_page_xml")
+def _(spark, d):
+    """Conversations as pages with an address and a title, each turn's lines as elements."""
+    t = placed(spark, d).filter(F.startswith("unit", F.lit("c")))
+    pages = table(spark, d, "conversations").groupBy(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("unit")).agg(F.concat(F.lit("https://x.org/?a=1&b="), F.first("conv_id").cast("string")).alias("url"), F.concat(F.lit("<"), F.count(F.lit(1)).cast("string"), F.lit(" turns>")).alias("title"))
+    return graph.to_xml(graph.nodes(t), pages)

@@ -153,9 +153,10 @@ def append_unseen(rows: DataFrame, path: str, keys: list[str]) -> int:
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old and new rows by key, new ones winning."""
+    """Old and new rows by key, new ones winning; of several rows of a key in one of them, the one whose JSON sorts last."""
     both = old.withColumn("run", F.lit(0)).unionByName(new.withColumn("run", F.lit(1)))
-    return both.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("run").desc()))).filter("k = 1").drop("k", "run")
+    order = Window.partitionBy(*keys).orderBy(F.col("run").desc(), F.to_json(F.struct(*old.columns)).desc())
+    return both.withColumn("k", F.row_number().over(order)).filter("k = 1").drop("k", "run")
 
 
 def pinned(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
