@@ -1,14 +1,15 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letter bytes (a-z with A-Z folded, and all bytes of 0x80 and above), forwards and
-backwards, and gives every byte position a distribution over the languages; a document's distribution is the mean
-over all its positions. The state starts anew at each run, so a run's sums depend on its bytes alone: each distinct
-run of a batch passes the network once, and a whole batch costs little more than its distinct runs. Runs longer than
-RUN bytes are read in pieces of RUN.
+The network reads a text's bytes (A-Z folded) forwards and backwards, white space, digits and signs among them, and
+gives every byte position a distribution over the languages; a document's distribution is the mean over all its
+positions. Texts are read in windows of WINDOW bytes, and a window is entered CONTEXT bytes before its first position
+and after its last, so each position has seen that much of the text on either side, or all there is; what lies further
+off does not reach it.
 
 Training is plain numpy, backpropagation through time and Adam, on the driver, on a bounded sample: for each language
-the SAMPLE rows of least hash, SEGMENT characters of each from a hashed place. Rows of which crc32(doc_id as text)
-mod 3 is HELD_OUT are never learned from; lang, source and doc_id are never inputs.
+the SAMPLE rows of least hash, SEGMENT characters of each from a hashed place, of which each batch takes TRAINED bytes
+from random places. Rows of which crc32(doc_id as text) mod 3 is HELD_OUT are never learned from; lang, source and
+doc_id are never inputs.
 
 Defined cases: null text and text without a letter get `und` and score 0; without labelled rows all documents get
 `und`; long texts are read whole; repeated rows get equal results; an empty table gives an empty result; columns named
@@ -27,13 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import read_table
-from .textnum import buffers, chunks, words
+from .textnum import buffers, chunks
 
-HELD_OUT, SAMPLE, SEGMENT, RUN, HIDDEN = 1, 300, 600, 24, 12
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[128:] = True
-_FOLD = np.arange(256)
+HELD_OUT, SAMPLE, SEGMENT, TRAINED, WINDOW, CONTEXT, ROWS, HIDDEN = 1, 300, 600, 64, 448, 32, 1024, 12
+_FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
@@ -41,12 +39,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == HELD_OUT, F.lit(False))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _turned(size: np.ndarray, steps: int) -> np.ndarray:
+    """(steps, rows): where step t of a row of `size` positions stands when it is read backwards; the rest stays."""
+    t = np.arange(steps)[:, None]
+    return np.where(t < size, size - 1 - t, t)
 
 
 class ByteGRU:
-    """Weights by direction: E (256, 3H) the bytes' part of update, reset and candidate with biases, U (H, 2H), C (H, H); then V (2H, L), c (L)."""
+    """Weights by direction: E (256, 3H) the bytes' part of update, reset and candidate with biases, U (H, 2H), C (H, H); then V (2H, L), c (L). Rows of a batch are columns here."""
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -59,77 +59,84 @@ class ByteGRU:
         self.w["V"], self.w["c"] = rng.normal(0, 0.3, (2 * hidden, n)), np.zeros(n)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _states(self, x: np.ndarray, d: str, mask: np.ndarray | None = None, tape: list | None = None) -> np.ndarray:
-        """x: bytes (steps, rows). States (steps, rows, H) in reading order; mask 0 keeps the state."""
-        e, u, c, n = self.w["E" + d], self.w["U" + d], self.w["C" + d], self.h
-        h, out = np.zeros((x.shape[1], n), np.float32), np.empty((*x.shape, n), np.float32)
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            a = e[x[t]]
-            gates = _sigmoid(a[:, : 2 * n] + h @ u)
-            z, r = gates[:, :n], gates[:, n:]
-            k = np.tanh(a[:, 2 * n :] + (r * h) @ c)
-            new = h + z * (k - h)
-            if mask is not None:
-                new = np.where(mask[t][:, None], new, h)
+    def _states(self, x: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
+        """x: bytes (steps, rows) -> states (steps, H, rows)."""
+        e, u, c, n = self.w["E" + d], self.w["U" + d].T, self.w["C" + d].T, self.h
+        h = np.zeros((n, x.shape[1]), e.dtype)
+        out = np.empty((len(x), n, x.shape[1]), e.dtype)
+        for t in range(len(x)):
+            a = e[x[t]].T
+            g = u @ h
+            g += a[: 2 * n]
+            g *= 0.5  # a sigmoid is half a hyperbolic tangent, and a half
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            k = c @ (g[n:] * h)
+            k += a[2 * n :]
+            np.tanh(k, out=k)
             if tape is not None:
-                tape.append((t, h, z, r, k))
-            out[t] = h = new
+                tape.append((h, g[:n], g[n:], k))
+            out[t] = h = h + g[:n] * (k - h)
         return out
 
-    def _back(self, x: np.ndarray, d: str, mask: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> None:
+    def _back(self, x: np.ndarray, d: str, tape: list, dout: np.ndarray, grad: dict) -> None:
         u, c, n = self.w["U" + d], self.w["C" + d], self.h
-        ge, gu, gc = np.zeros_like(self.w["E" + d]), np.zeros_like(u), np.zeros_like(c)
-        dh = np.zeros((x.shape[1], n), np.float32)
-        for t, h, z, r, k in reversed(tape):
+        gu, gc, da = np.zeros_like(u), np.zeros_like(c), np.empty((len(x), 3 * n, x.shape[1]), u.dtype)
+        dh = np.zeros((n, x.shape[1]), u.dtype)
+        for t in range(len(x) - 1, -1, -1):
+            h, z, r, k = tape[t]
             dh = dh + dout[t]
-            m = mask[t][:, None]
-            dn = dh * m
-            dk = dn * z * (1 - k * k)
-            drh = dk @ c.T
-            da = np.concatenate((dn * (k - h) * z * (1 - z), drh * h * r * (1 - r), dk), 1)
-            gu += h.T @ da[:, : 2 * n]
-            gc += (r * h).T @ dk
-            np.add.at(ge, x[t], da)
-            dh = dh * ~m + dn * (1 - z) + drh * r + da[:, : 2 * n] @ u.T
+            dk = dh * z * (1 - k * k)
+            drh = c @ dk
+            da[t, :n], da[t, n : 2 * n], da[t, 2 * n :] = dh * (k - h) * z * (1 - z), drh * h * r * (1 - r), dk
+            gu += h @ da[t, : 2 * n].T
+            gc += (r * h) @ dk.T
+            dh = dh * (1 - z) + drh * r + u @ da[t, : 2 * n]
+        ge = np.zeros_like(self.w["E" + d])
+        np.add.at(ge, x.ravel(), da.transpose(0, 2, 1).reshape(-1, 3 * n))
         grad["E" + d], grad["U" + d], grad["C" + d] = ge, gu, gc
 
-    def position_probabilities(self, x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-        s = np.concatenate((self._states(x, "f", mask), self._states(x, "b", mask)), 2) @ self.w["V"] + self.w["c"]
-        s = np.exp(s - s.max(2, keepdims=True))
-        return s / s.sum(2, keepdims=True)
-
-    def step(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    def position_probabilities(self, x: np.ndarray, size: np.ndarray, tapes: dict[str, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(steps, L, rows) for bytes x (steps, rows), of which the first `size` of a row count; with the states of both directions, those backwards in their own order."""
+        turn = _turned(size, len(x))
+        f = self._states(x, "f", tapes and tapes["f"])
+        b = self._states(np.take_along_axis(x, turn, 0), "b", tapes and tapes["b"])
+        v = self.w["V"]
+        s = v[: self.h].T @ f + self.w["c"][:, None] + np.take_along_axis(v[self.h :].T @ b, turn[:, None, :], 0)
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(1, keepdims=True)
+        return s, f, b
+
+    def step(self, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss over positions, and gradients."""
         tapes: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._states(x, d, mask, tapes[d]) for d in "fb"], 2)
-        s = both @ self.w["V"] + self.w["c"]
-        s -= s.max(2, keepdims=True)
-        p = np.exp(s)
-        p /= p.sum(2, keepdims=True)
-        rows = np.arange(len(y))
-        loss = -(np.log(p[:, rows, y] + 1e-9) * mask).sum() / mask.sum()
-        p[:, rows, y] -= 1
-        p *= (mask / mask.sum())[:, :, None].astype(np.float32)
-        flat, n = both.reshape(-1, 2 * self.h), self.h
-        grad = {"V": flat.T @ p.reshape(-1, p.shape[2]), "c": p.sum((0, 1))}
-        dboth = p @ self.w["V"].T
-        for d, part in (("f", dboth[:, :, :n]), ("b", dboth[:, :, n:])):
-            self._back(x, d, mask, tapes[d], part, grad)
+        p, f, b = self.position_probabilities(x, size, tapes)
+        rows, count = np.arange(len(y)), size.sum()
+        mask = np.arange(len(x))[:, None] < size
+        loss = -(np.log(p[:, y, rows] + 1e-9) * mask).sum() / count
+        p[:, y, rows] -= 1
+        p *= (mask / count)[:, None, :].astype(p.dtype)
+        q = np.take_along_axis(p, _turned(size, len(x))[:, None, :], 0)
+        grad = {"V": np.concatenate([np.einsum("thr,tlr->hl", s, g) for s, g in ((f, p), (b, q))]), "c": p.sum((0, 2))}
+        v = self.w["V"]
+        self._back(x, "f", tapes["f"], v[: self.h] @ p, grad)
+        self._back(np.take_along_axis(x, _turned(size, len(x)), 0), "b", tapes["b"], v[self.h :] @ q, grad)
         return float(loss), grad
 
-    def train(self, runs: list[bytes], y: np.ndarray, steps: int = 500, rows: int = 384, rate: float = 0.02, seed: int = 7) -> float:
-        """Adam over random batches, languages drawn alike often."""
+    def train(self, texts: list[bytes], y: np.ndarray, steps: int = 400, rows: int = 256, length: int = TRAINED, rate: float = 0.02, seed: int = 7) -> float:
+        """Adam over random pieces of random texts, languages drawn alike often."""
         rng, loss = np.random.default_rng(seed), 0.0
         of = [np.flatnonzero(y == k) for k in range(len(self.labels))]
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(v) for k, v in self.w.items()}
         for i in range(1, steps + 1):
             pick = np.concatenate([rng.choice(a, max(1, rows // len(of))) for a in of if len(a)])
-            batch = [runs[j] for j in pick]
-            n = max(map(len, batch))
-            flat = np.frombuffer(b"".join(b.ljust(n, b"\0") for b in batch), np.uint8).reshape(len(batch), n).T
-            mask = flat > 0
-            got, grad = self.step(_FOLD[flat], mask, y[pick])
+            at = [int(rng.integers(0, max(1, len(texts[j]) - length + 1))) for j in pick]
+            batch = [texts[j][s : s + length] for j, s in zip(pick, at)]
+            x = np.frombuffer(b"".join(b.ljust(length, b"\0") for b in batch), np.uint8).reshape(len(batch), length).T
+            got, grad = self.step(_FOLD[x], np.fromiter(map(len, batch), np.int64, len(batch)), y[pick])
             loss = got if i == 1 else 0.95 * loss + 0.05 * got
             scale = rate * min(1, 2 * (1 - i / (steps + 1)))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
@@ -140,45 +147,28 @@ class ByteGRU:
                 self.w[k] -= (scale * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.999**i)) + 1e-8)).astype(np.float32)
         return loss
 
-    def run_sums(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """For each run, the sum over its positions of their distributions."""
-        out = np.zeros((len(start), len(self.labels)), np.float32)
-        for n in range(1, RUN + 1):
-            at = np.flatnonzero(size == n)
-            for some in np.array_split(at, len(at) // 8192 + 1):
-                if len(some):
-                    x = _FOLD[data[start[some] + np.arange(n)[:, None]]]
-                    out[some] = self.position_probabilities(x).sum(0)
-        return out
-
     def documents(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
-        """Mean distribution of each text; zeros where it has no run."""
+        """Mean distribution of each text over all its positions; zeros where there are none."""
         data, offsets = buffers(texts)
         out = np.zeros((len(offsets) - 1, len(self.labels)))
         for i, j in chunks(offsets):
-            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            h, start, end, by = words(part, at, inner=_LETTER)
-            if not len(h):
-                continue
-            rest = end - start
-            pieces = -(-rest // RUN)
-            if (pieces > 1).any():  # long runs, in pieces of RUN: their sums are added up run by run
-                own = np.repeat(np.arange(len(h)), pieces)
-                nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                s = start[own] + RUN * nth
-                sums = np.zeros((len(h), len(self.labels)))
-                small = pieces[own] > 1
-                np.add.at(sums, own[small], self.run_sums(part, s[small], np.minimum(RUN, end[own] - s)[small]))
-            else:
-                sums = np.zeros((len(h), len(self.labels)))
-            short = np.flatnonzero(pieces == 1)
-            _, place, which = np.unique(h[short], return_index=True, return_inverse=True)
-            if len(short):
-                sums[short] = self.run_sums(part, start[short[place]], rest[short[place]])[which]
-            total = np.concatenate((np.zeros((1, len(self.labels))), np.cumsum(sums, 0)))
-            bytes_to = np.concatenate(([0], np.cumsum(rest)))
-            seen = bytes_to[by[1:]] - bytes_to[by[:-1]]
-            out[i:j] = (total[by[1:]] - total[by[:-1]]) / np.maximum(seen, 1)[:, None]
+            part, at = _FOLD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+            size = np.diff(at)
+            count = -(-size // WINDOW)
+            own = np.repeat(np.arange(len(size)), count)
+            first = at[own] + WINDOW * (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count))
+            last = np.minimum(first + WINDOW, at[own + 1])
+            low, high = np.maximum(first - CONTEXT, at[own]), np.minimum(last + CONTEXT, at[own + 1])
+            order = np.argsort(low - high, kind="stable")  # windows of like length share a batch
+            for s in range(0, len(order), ROWS):
+                k = order[s : s + ROWS]
+                length = high[k] - low[k]
+                t = np.arange(length[0])[:, None]
+                x = part[np.minimum(low[k] + t, high[k] - 1)]
+                p, _, _ = self.position_probabilities(x, length)
+                p *= ((t >= first[k] - low[k]) & (t < last[k] - low[k]))[:, None, :]
+                np.add.at(out, i + own[k], p.sum(0, dtype=np.float64).T)
+            out[i:j] /= np.maximum(size, 1)[:, None]
         return out
 
     def label(self, texts: pa.Array | pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
@@ -196,19 +186,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, segment: int = SEGMENT) -> ByteGR
     """Train on docs(doc_id, text, lang) outside the held-out third."""
     h = F.xxhash64(F.col("doc_id").cast("string"))
     near = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    near = near.select("lang", h.alias("h"), F.substring(F.col("text"), (1 + F.pmod(h, F.greatest(F.length("text") - segment, F.lit(1)))).cast("int"), F.lit(segment)).alias("seg"))
-    top = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "seg"))).filter(F.col("nth") <= sample)
+    near = near.select("lang", h.alias("h"), "text")
+    # of a language's rows only the share with the least hashes that is sure to hold the sample goes on to be sorted
+    share = near.groupBy("lang").agg(((2 * sample + 100) / F.count(F.lit(1))).alias("share"))
+    some = near.join(share, "lang").filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
+    place = (1 + F.pmod("h", F.greatest(F.length("text") - segment, F.lit(1)))).cast("int")
+    some = some.select("lang", "h", F.substring(F.col("text"), place, F.lit(segment)).alias("seg")).groupBy("lang", "h").agg(F.min("seg").alias("seg"))
+    top = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "seg"))).filter(F.col("nth") <= sample)
     rows = sorted((r["lang"], r["h"], r["seg"]) for r in top.collect())  # sample rows of segment characters a language
     labels = sorted({r[0] for r in rows})
     net = ByteGRU(labels)
-    if labels:
-        texts = pa.array([r[2] for r in rows])
-        data, offsets = buffers(texts)
-        _, start, end, at = words(data, offsets, inner=_LETTER)
-        raw, y = data.tobytes(), np.repeat([labels.index(r[0]) for r in rows], np.diff(at))
-        runs = [raw[s : min(e, s + RUN)] for s, e in zip(start.tolist(), end.tolist())]
-        if runs:
-            net.train(runs, y)
+    texts = [(r[2].encode(), labels.index(r[0])) for r in rows if r[2]]
+    if texts:
+        net.train([t for t, _ in texts], np.array([y for _, y in texts]))
     return net
 
 
