@@ -16,7 +16,8 @@ kept term, both are compared over all their terms, so that the two sides have on
 Successors in doc_id order are found without a window over all rows: rows go to ranges of doc_id, each range also gets
 the first document of the next range, and each sorted range is read once.
 
-Defined cases: null text is empty; a null doc_id sorts last; rows that share a doc_id are ordered by text; the only
+Defined cases: null text is empty; a null doc_id sorts last; rows that share a doc_id are ordered by a hash of their
+texts, so that one doc_id of very many rows makes several ranges; the only
 document is its own next; equal texts have equal fingerprints whatever their length; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -148,23 +149,30 @@ def query_rows(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 100 * n)).first()[0] or []
-    bounds = sorted(set(bounds))
     key = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    rows = docs.withColumn("order", key).withColumn("h", F.xxhash64("text"))
+    bounds = sorted(rows.agg(F.percentile_approx("order", [i / (4 * n) for i in range(1, 4 * n)], 100 * n)).first()[0] or [])
+    # a doc_id that fills several ranges is cut by the hash of its texts
+    different = list(dict.fromkeys(bounds))
+    heavy = {b: bounds.count(b) for b in different if bounds.count(b) > 1}
     bucket = F.lit(0)
-    if bounds:
-        array = F.array(*[F.lit(b) for b in bounds])
-        bucket = F.aggregate(array, F.lit(0), lambda n, b: n + (b <= key).cast("int"))
-    rows = docs.withColumn("bucket", bucket).withColumn("order", key)
-    firsts = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.min("order")).collect())  # a row a range
-    before = {firsts[k][1]: firsts[k - 1][0] if k else firsts[-1][0] for k in range(len(firsts))}
-    if not before:
+    if different:
+        bucket = F.aggregate(F.array(*[F.lit(b).cast("long") for b in different]), F.lit(0), lambda n, b: n + (b <= key).cast("int") + (b < key).cast("int"))  # a bound is a range of its own
+    if heavy:
+        parts = F.create_map(*[x for b, c in heavy.items() for x in (F.lit(b).cast("long"), F.lit(c))])[key]
+        share = F.floor((F.col("h") / float(1 << 64) + 0.5) * parts)
+        bucket = bucket * (4 * n) + F.coalesce(F.least(share, parts - 1), F.lit(0)).cast("int")
+    rows = rows.withColumn("bucket", bucket)
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct("order", "h")).alias("at"))  # a row a range, 4 n at most
+    there = sorted(r[0] for r in firsts.select("bucket").collect())
+    if not there:
         return spark.createDataFrame([], OUT)
-    heads = rows.filter(F.col("order").isin(list(before))).groupBy("order").agg(F.min("text").alias("text"))
-    to = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", to[F.col("order")].alias("bucket"), "order", F.lit(True).alias("guest"))
+    to = F.create_map(*[F.lit(x) for k, b in enumerate(there) for x in (b, there[k - 1])])
+    firsts = F.broadcast(firsts.select(F.col("bucket").alias("b"), F.col("at.order").alias("o"), F.col("at.h").alias("f")))
+    heads = rows.join(firsts, (F.col("bucket") == F.col("b")) & (F.col("order") == F.col("o")) & (F.col("h") == F.col("f"))).groupBy("bucket", "order", "h").agg(F.min("text").alias("text"))
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", to[F.col("bucket")].alias("bucket"), "order", "h", F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(heads)
-    both = both.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "order", "text").select("bucket", "guest", "doc_id", "text")
+    both = both.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "order", "h", "text").select("bucket", "guest", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(lexicon)
