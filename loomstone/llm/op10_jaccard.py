@@ -423,3 +423,14 @@ def linked(docs: DataFrame, k: int = WORDS, scratch: Scratch | None = None) -> D
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(read_table(spark, sf_dir, "documents"))
+
+
+SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= {WORDS} THEN list_distinct(list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {DEN} * count(*) >= {NUM} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.doc_id)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, (SELECT min(root) FROM c WHERE c.doc_id = s.doc_id) AS component_id FROM s
+"""

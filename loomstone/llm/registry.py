@@ -17,4 +17,4 @@ QUERIES = {
     "op10_jaccard": op10_jaccard.query,
 }
 
-SQL = {"op5_line_dedup": op05_lines.SQL, "op8_mixing": op08_mixing.SQL}
+SQL = {"op3_warc": op03_warc.SQL, "op5_line_dedup": op05_lines.SQL, "op8_mixing": op08_mixing.SQL, "op10_jaccard": op10_jaccard.SQL}
