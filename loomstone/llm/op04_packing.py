@@ -7,8 +7,8 @@
 3. On that multiset, on the driver, each window starts with the longest piece left; a bitset subset-sum over the
    other lengths finds the filling nearest to the capacity, backtracked to counts. A pattern of counts repeats as
    often as the counts allow, so each pattern uses a length up and there are at most `window` patterns.
-4. Pieces are numbered within their length, in salted parts with summed offsets, so that no length, however
-   common, is ordered in one task; a range join with the patterns' slots gives sequence and offset.
+4. Pieces are numbered within their length, in parts of about PART_ROWS with summed offsets, so that no length,
+   however common, is ordered in one task; a range join with the patterns' slots gives sequence and offset.
 
 A sequence is padded to the window unless its length is a power of two.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, read_table
 from .textnum import buffers, chunks, words
 
-WINDOW, END_ID, SALTS, WORDS_KEPT = 4096, 2, 16, 3_000_000
+WINDOW, END_ID, PART_ROWS, WORDS_KEPT = 4096, 2, 1_000_000, 3_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -231,26 +231,31 @@ def slots(found: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int
     return out
 
 
-def pack(parts: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
-    """parts with sequence_id and offset; parts is a written table with a column length of 1 to window."""
+def pack(parts: DataFrame, scratch: Scratch, window: int = WINDOW, part_rows: int = PART_ROWS) -> DataFrame:
+    """parts with sequence_id and offset; parts is a written table with a column length of 1 to window, and p_uid, a number of each row, which goes."""
     spark = parts.sparkSession
-    parts = parts.withColumn("p_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    by = scratch.keep(parts.groupBy("length", "p_salt").count(), "lengths")
-    counts = {r["length"]: r["n"] for r in by.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `window` rows
+    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # at most `window` rows
+    many = [(length, -(-n // part_rows)) for length, n in sorted(counts.items()) if n > part_rows]
+    salts = F.lit(1)
+    if many:
+        salts = F.coalesce(F.create_map(*[F.lit(x) for m in many for x in m])[F.col("length").cast("int")], F.lit(1))
+    parts = parts.withColumn("p_salt", F.pmod(F.xxhash64("p_uid"), salts).cast("int"))
+    by = parts.groupBy("length", "p_salt").count()
     found = slots(patterns(counts, window))
     before = Window.partitionBy("length").orderBy("p_salt").rowsBetween(Window.unboundedPreceding, -1)
+    by = scratch.keep(by, "lengths")
     base = by.select("length", "p_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("p_base"))
-    within = Window.partitionBy("length", "p_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    within = Window.partitionBy("length", "p_salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "p_uid")
     ranked = parts.withColumn("p_nth", F.row_number().over(within) - 1)
-    ranked = ranked.join(F.broadcast(base), ["length", "p_salt"]).withColumn("p_rank", F.col("p_base") + F.col("p_nth"))  # window * SALTS rows at most
+    ranked = ranked.join(F.broadcast(base), ["length", "p_salt"]).withColumn("p_rank", F.col("p_base") + F.col("p_nth"))  # window + pieces / PART_ROWS rows at most
     if found:
         where = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*found)], ["length", "p_from", "p_to", "p_each", "p_seq", "p_off"]))
     else:
         where = spark.createDataFrame([], "length long, p_from long, p_to long, p_each long, p_seq long, p_off long")
-    spread = where.withColumnRenamed("length", "s_length")  # a pattern has at most window / 2 lengths, and each pattern uses a length up
+    spread = where.withColumnRenamed("length", "s_length")  # different lengths of a pattern add up to window at most, so 90 of them at 4096; each pattern uses a length up
     out = ranked.join(F.broadcast(spread), (F.col("length") == F.col("s_length")) & (F.col("p_rank") >= F.col("p_from")) & (F.col("p_rank") < F.col("p_to")))
     nth = F.col("p_rank") - F.col("p_from")
-    return out.withColumn("sequence_id", F.col("p_seq") + F.floor(nth / F.col("p_each"))).withColumn("offset", F.col("p_off") + F.col("length") * F.pmod(nth, F.col("p_each"))).drop("p_salt", "p_nth", "p_base", "p_rank", "s_length", "p_from", "p_to", "p_each", "p_seq", "p_off")
+    return out.withColumn("sequence_id", F.col("p_seq") + F.floor(nth / F.col("p_each"))).withColumn("offset", F.col("p_off") + F.col("length") * F.pmod(nth, F.col("p_each"))).drop("p_uid", "p_salt", "p_nth", "p_base", "p_rank", "s_length", "p_from", "p_to", "p_each", "p_seq", "p_off")
 
 
 def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -259,7 +264,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_i
 
         path = public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(docs.sparkSession, "pack")
-    parts = scratch.keep(pieces(docs, path, window, end_id), "pieces")
+    parts = scratch.keep(pieces(docs, path, window, end_id).withColumn("p_uid", F.monotonically_increasing_id()), "pieces")
     return pack(parts, scratch, window)
 
 
