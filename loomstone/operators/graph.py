@@ -26,13 +26,12 @@ def reading_order(tiles: DataFrame, tolerance: float = CONFIG.row_tolerance) ->
         new = s["top"].isNull() | (i["y"] - s["top"] > tolerance)
         return F.struct(F.when(new, i["y"]).otherwise(s["top"]).alias("top"), F.when(new, F.array_append(s["starts"], i["seq"])).otherwise(s["starts"]).alias("starts"))
 
-    items = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("seq").cast("int").alias("seq"))))
-    # only parts of several tiles need the fold
-    several = x.withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("unit", "part")))
-    folded = several.filter("of > 2").groupBy("unit", "part").agg(items.alias("items")).select("unit", "part", F.aggregate("items", start, step, lambda s: s["starts"]).alias("starts"))
-    x = several.join(folded, ["unit", "part"], "left")
-    starts = F.when(F.col("of") <= 2, F.col("gap")).otherwise(F.array_contains("starts", F.col("seq")))
-    x = x.withColumn("row_idx", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("gap", "part", "of", "starts")
+    # a part's tiles go through the fold together and come out again, so nothing is joined
+    rest = [c for c in tiles.columns if c not in ("unit", "y", "seq")]
+    items = F.sort_array(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("seq").cast("int").alias("seq"), F.struct(F.col("y").alias("y"), *rest).alias("rest"))))
+    folded = x.groupBy("unit", "part").agg(items.alias("items")).select("unit", F.explode("items").alias("i"), F.aggregate("items", start, step, lambda s: s["starts"]).alias("starts"))
+    x = folded.select("unit", F.col("i.seq").cast(tiles.schema["seq"].dataType).alias("seq"), "i.rest.*", F.array_contains("starts", F.col("i.seq")).cast("int").alias("start"))
+    x = x.withColumn("row_idx", F.sum("start").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).select(*tiles.columns, "row_idx")
     x = x.withColumn("row_idx", F.col("row_idx").cast("int")).withColumn("col_idx", F.row_number().over(Window.partitionBy("unit", "row_idx").orderBy("x", "y", "seq")) - 1)
     return x.withColumn("read_pos", F.row_number().over(Window.partitionBy("unit").orderBy("row_idx", "col_idx")) - 1)
 
