@@ -8,7 +8,7 @@ off does not reach it.
 
 Training is plain numpy, backpropagation through time and Adam, on the driver, on a bounded sample: for each language
 the SAMPLE rows of least hash, SEGMENT characters of each from a hashed place, of which each batch takes TRAINED bytes
-from random places. Rows of which crc32(doc_id as text) mod 3 is HELD_OUT are never learned from; lang, source and
+from random places; more than LANGUAGES languages are an error. Rows of which crc32(doc_id as text) mod 3 is HELD_OUT are never learned from; lang, source and
 doc_id are never inputs.
 
 Defined cases: null text and text without a letter get `und` and score 0; without labelled rows all documents get
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .scratch import read_table
 from .textnum import buffers, chunks
 
-HELD_OUT, SAMPLE, SEGMENT, TRAINED, WINDOW, CONTEXT, ROWS, HIDDEN = 1, 300, 600, 64, 448, 32, 1024, 12
+HELD_OUT, SAMPLE, SEGMENT, TRAINED, WINDOW, CONTEXT, ROWS, LANGUAGES, HIDDEN = 1, 300, 600, 64, 448, 32, 384, 10_000, 12
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -59,11 +59,11 @@ class ByteGRU:
         self.w["V"], self.w["c"] = rng.normal(0, 0.3, (2 * hidden, n)), np.zeros(n)
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def _states(self, x: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
-        """x: bytes (steps, rows) -> states (steps, H, rows)."""
+    def _states(self, x: np.ndarray, d: str, tape: list | None = None, seen: np.ndarray | None = None) -> np.ndarray:
+        """x: bytes (steps, rows) -> states (steps, H, rows), or what seen (H, L) makes of them, so that no states are kept."""
         e, u, c, n = self.w["E" + d], self.w["U" + d].T, self.w["C" + d].T, self.h
         h = np.zeros((n, x.shape[1]), e.dtype)
-        out = np.empty((len(x), n, x.shape[1]), e.dtype)
+        out = np.empty((len(x), n if seen is None else seen.shape[1], x.shape[1]), e.dtype)
         for t in range(len(x)):
             a = e[x[t]].T
             g = u @ h
@@ -77,7 +77,8 @@ class ByteGRU:
             np.tanh(k, out=k)
             if tape is not None:
                 tape.append((h, g[:n], g[n:], k))
-            out[t] = h = h + g[:n] * (k - h)
+            h = h + g[:n] * (k - h)
+            out[t] = h if seen is None else seen.T @ h
         return out
 
     def _back(self, x: np.ndarray, d: str, tape: list, dout: np.ndarray, grad: dict) -> None:
@@ -97,32 +98,38 @@ class ByteGRU:
         np.add.at(ge, x.ravel(), da.transpose(0, 2, 1).reshape(-1, 3 * n))
         grad["E" + d], grad["U" + d], grad["C" + d] = ge, gu, gc
 
-    def position_probabilities(self, x: np.ndarray, size: np.ndarray, tapes: dict[str, list] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(steps, L, rows) for bytes x (steps, rows), of which the first `size` of a row count; with the states of both directions, those backwards in their own order."""
-        turn = _turned(size, len(x))
-        f = self._states(x, "f", tapes and tapes["f"])
-        b = self._states(np.take_along_axis(x, turn, 0), "b", tapes and tapes["b"])
-        v = self.w["V"]
-        s = v[: self.h].T @ f + self.w["c"][:, None] + np.take_along_axis(v[self.h :].T @ b, turn[:, None, :], 0)
+    def position_probabilities(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(steps, L, rows) for bytes x (steps, rows), of which the first `size` of a row count."""
+        turn, v = _turned(size, len(x)), self.w["V"]
+        f = self._states(x, "f", seen=v[: self.h])
+        b = self._states(np.take_along_axis(x, turn, 0), "b", seen=v[self.h :])
+        return self._shares(f, b, turn)
+
+    def _shares(self, f: np.ndarray, b: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Distributions from both directions' sums, those backwards in their own order."""
+        s = np.take_along_axis(b, turn[:, None, :], 0)
+        s += f
+        s += self.w["c"][:, None]
         s -= s.max(1, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(1, keepdims=True)
-        return s, f, b
+        return s
 
     def step(self, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean loss over positions, and gradients."""
         tapes: dict[str, list] = {"f": [], "b": []}
-        p, f, b = self.position_probabilities(x, size, tapes)
+        turn, v = _turned(size, len(x)), self.w["V"]
+        f, b = self._states(x, "f", tapes["f"]), self._states(np.take_along_axis(x, turn, 0), "b", tapes["b"])
+        p = self._shares(v[: self.h].T @ f, v[self.h :].T @ b, turn)
         rows, count = np.arange(len(y)), size.sum()
         mask = np.arange(len(x))[:, None] < size
         loss = -(np.log(p[:, y, rows] + 1e-9) * mask).sum() / count
         p[:, y, rows] -= 1
         p *= (mask / count)[:, None, :].astype(p.dtype)
-        q = np.take_along_axis(p, _turned(size, len(x))[:, None, :], 0)
+        q = np.take_along_axis(p, turn[:, None, :], 0)
         grad = {"V": np.concatenate([np.einsum("thr,tlr->hl", s, g) for s, g in ((f, p), (b, q))]), "c": p.sum((0, 2))}
-        v = self.w["V"]
         self._back(x, "f", tapes["f"], v[: self.h] @ p, grad)
-        self._back(np.take_along_axis(x, _turned(size, len(x)), 0), "b", tapes["b"], v[self.h :] @ q, grad)
+        self._back(np.take_along_axis(x, turn, 0), "b", tapes["b"], v[self.h :] @ q, grad)
         return float(loss), grad
 
     def train(self, texts: list[bytes], y: np.ndarray, steps: int = 400, rows: int = 256, length: int = TRAINED, rate: float = 0.02, seed: int = 7) -> float:
@@ -165,7 +172,7 @@ class ByteGRU:
                 length = high[k] - low[k]
                 t = np.arange(length[0])[:, None]
                 x = part[np.minimum(low[k] + t, high[k] - 1)]
-                p, _, _ = self.position_probabilities(x, length)
+                p = self.position_probabilities(x, length)
                 p *= ((t >= first[k] - low[k]) & (t < last[k] - low[k]))[:, None, :]
                 np.add.at(out, i + own[k], p.sum(0, dtype=np.float64).T)
             out[i:j] /= np.maximum(size, 1)[:, None]
@@ -188,8 +195,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, segment: int = SEGMENT) -> ByteGR
     near = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     near = near.select("lang", h.alias("h"), "text")
     # of a language's rows only the share with the least hashes that is sure to hold the sample goes on to be sorted
-    share = near.groupBy("lang").agg(((2 * sample + 100) / F.count(F.lit(1))).alias("share"))
-    some = near.join(share, "lang").filter(F.col("h") / float(1 << 64) + 0.5 <= F.col("share"))
+    share = {r["lang"]: (2 * sample + 100) / r["count"] for r in near.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(share) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not share:
+        return ByteGRU([])
+    shares = F.create_map(*[F.lit(x) for kv in sorted(share.items()) for x in kv])
+    some = near.filter(F.col("h") / float(1 << 64) + 0.5 <= shares[F.col("lang")])
     place = (1 + F.pmod("h", F.greatest(F.length("text") - segment, F.lit(1)))).cast("int")
     some = some.select("lang", "h", F.substring(F.col("text"), place, F.lit(segment)).alias("seg")).groupBy("lang", "h").agg(F.min("seg").alias("seg"))
     top = some.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "seg"))).filter(F.col("nth") <= sample)
