@@ -44,6 +44,7 @@ from .scratch import Scratch, read_table
 from .textnum import U64, buffers, chunks, mix, shingle_sets
 
 WORDS, NUM, DEN, MINHASHES, HOT_BITS, HOT_MOST, HOT_LEAST, BLOCK, RUN, MARK_BITS, EXTRA = 5, 75, 100, 16, 23, 1 << 19, 16, 5_000_000, 8192, 25, 16
+SHORT = 48  # rows of a run that is tried with others at once
 _SEEDS = mix(np.arange(1, MINHASHES + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
 
 
@@ -320,6 +321,42 @@ def opened(q: Side, p: Side, same: bool, apart: bool) -> Iterator[np.ndarray]:
             yield np.stack((q.node[x[keep]], p.node[y[keep]]), 1)
 
 
+def short_runs(run: np.ndarray, node: np.ndarray, g: np.ndarray, n: np.ndarray, room: np.ndarray, raw: list[bytes]) -> np.ndarray:
+    """As opened, for many short runs at once: rows sorted by (run, n), each tried with those 1, 2, ... places after it."""
+    x, y, at, d = [], [], np.arange(len(run)), 0
+    while len(at):
+        d += 1
+        at = at[at + d < len(run)]
+        o = at + d
+        on = (run[at] == run[o]) & (DEN * n[at] >= NUM * n[o])
+        at, o = at[on], o[on]
+        need = _need(n[at], n[o])
+        fit = (g[at] != g[o]) & (room[at] >= need) & (room[o] >= need)
+        x.append(at[fit])
+        y.append(o[fit])
+    x, y = np.concatenate(x or [at]), np.concatenate(y or [at])
+    width = np.fromiter(map(len, raw), np.int64, len(raw))
+    least = np.minimum(width[x], width[y])
+    keep = np.zeros(len(x), bool)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        rows, place = np.unique(np.concatenate((x[pairs], y[pairs])), return_inverse=True)
+        sig = np.zeros((len(rows), w // 8), U64)
+        for wide in (w, 2 * w):
+            some = np.flatnonzero(width[rows] == wide)
+            if len(some):
+                m = np.frombuffer(b"".join([raw[k] for k in rows[some].tolist()]), U64).reshape(len(some), wide // 8)
+                sig[some] = m if wide == w else m[:, : w // 8] ^ m[:, w // 8 :]
+        a, b = place[: len(pairs)], place[len(pairs) :]
+        step = max(1, (1 << 22) // sig.shape[1])
+        for k in range(0, len(pairs), step):
+            t = slice(k, k + step)
+            differ = np.bitwise_count(sig[a[t]] ^ sig[b[t]]).sum(1, dtype=np.int64)
+            i, j = x[pairs[t]], y[pairs[t]]
+            keep[pairs[t]] = differ <= n[i] + n[j] - 2 * _need(n[i], n[j])
+    return np.stack((node[x[keep]], node[y[keep]]), 1)
+
+
 def qualifying(rows: DataFrame, most: int = RUN) -> DataFrame:
     """Pairs (a, b) of nodes of different groups that share a token of rows(token, node, g, n, room, held, sig) and can link."""
 
@@ -351,7 +388,14 @@ def qualifying(rows: DataFrame, most: int = RUN) -> DataFrame:
             parts = [t[c].to_numpy() for c in ("node", "g", "n", "room", "block")]
             raw = t["sig"].to_pylist()
             edge = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
-            for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            length = np.diff(edge)
+            short = (length <= SHORT) & (keys[edge[:-1], 1] == keys[edge[:-1], 2])
+            rows = np.flatnonzero(np.repeat(short, length))
+            if len(rows):
+                found = short_runs(np.repeat(np.arange(len(length)), length)[rows], *[c[rows] for c in parts[:4]], [raw[k] for k in rows.tolist()])
+                held.append(found)
+                size += len(found)
+            for i, j in zip(edge[:-1][~short].tolist(), edge[1:][~short].tolist()):
                 for found in unit(*[c[i:j] for c in parts], raw[i:j], bool(keys[i, 1] != keys[i, 2])):
                     held.append(found)
                     size += len(found)
@@ -371,7 +415,7 @@ def qualifying(rows: DataFrame, most: int = RUN) -> DataFrame:
                 yield from take(t.slice(0, cut))
         if left is not None:
             yield from take(left)
-        if held:
+        if size:
             yield out()
 
     # a run of k blocks goes to its k * (k + 1) / 2 pairs of blocks
@@ -379,7 +423,7 @@ def qualifying(rows: DataFrame, most: int = RUN) -> DataFrame:
     x = rows.withColumn("k", k).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("u", F.least("block", "other")).withColumn("v", F.greatest("block", "other"))
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    x = x.select("token", "u", "v", "node", "g", "n", "room", "block", "sig").repartition(n, "token", "u", "v").sortWithinPartitions("token", "u", "v")
+    x = x.select("token", "u", "v", "node", "g", "n", "room", "block", "sig").repartition(n, "token", "u", "v").sortWithinPartitions("token", "u", "v", "n")
     return x.mapInArrow(run, "a long, b long").distinct()
 
 
