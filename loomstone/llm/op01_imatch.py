@@ -155,13 +155,17 @@ def query_rows(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
     # a doc_id that fills several ranges is cut by the hash of its texts
     different = list(dict.fromkeys(bounds))
     heavy = {b: bounds.count(b) for b in different if bounds.count(b) > 1}
-    bucket = F.lit(0)
+    bucket, buckets = F.lit(0), 1
     if different:
-        bucket = F.aggregate(F.array(*[F.lit(b).cast("long") for b in different]), F.lit(0), lambda n, b: n + (b <= key).cast("int") + (b < key).cast("int"))  # a bound is a range of its own
+        # a bound is a range of its own, of several buckets where it is heavy; so ranges are numbered first, then their buckets
+        bucket = F.aggregate(F.array(*[F.lit(b).cast("long") for b in different]), F.lit(0), lambda n, b: n + (b <= key).cast("int") + (b < key).cast("int"))
+        sizes = [1] + [k for b in different for k in (heavy.get(b, 1), 1)]
+        starts = [sum(sizes[:k]) for k in range(len(sizes))]
+        bucket, buckets = F.get(F.array(*[F.lit(x) for x in starts]), bucket), sum(sizes)
     if heavy:
         parts = F.create_map(*[x for b, c in heavy.items() for x in (F.lit(b).cast("long"), F.lit(c))])[key]
         share = F.floor((F.col("h") / float(1 << 64) + 0.5) * parts)
-        bucket = bucket * (4 * n) + F.coalesce(F.least(share, parts - 1), F.lit(0)).cast("int")
+        bucket = bucket + F.coalesce(F.least(share, parts - 1), F.lit(0)).cast("int")
     rows = rows.withColumn("bucket", bucket)
     firsts = rows.groupBy("bucket").agg(F.min(F.struct("order", "h")).alias("at"))  # a row a range, 4 n at most
     there = sorted(r[0] for r in firsts.select("bucket").collect())
@@ -172,7 +176,7 @@ def query_rows(docs: DataFrame, lexicon: np.ndarray) -> DataFrame:
     heads = rows.join(firsts, (F.col("bucket") == F.col("b")) & (F.col("order") == F.col("o")) & (F.col("h") == F.col("f"))).groupBy("bucket", "order", "h").agg(F.min("text").alias("text"))
     heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", to[F.col("bucket")].alias("bucket"), "order", "h", F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(heads)
-    both = both.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "order", "h", "text").select("bucket", "guest", "doc_id", "text")
+    both = both.repartitionById(n, F.floor(F.col("bucket") * n / buckets).cast("int")).sortWithinPartitions("bucket", "guest", "order", "h", "text").select("bucket", "guest", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(lexicon)

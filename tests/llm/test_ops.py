@@ -368,6 +368,20 @@ def test_hamming_index_finds_every_code_within():
             assert index.within(q, r).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= r).tolist()
 
 
+def test_jaccard_lists_are_long_enough():
+    """Lists of both sets hold 1 + n // 16 common tokens whenever sets of these sizes link, for either size n."""
+    ceil = lambda x, y: -(-x // y)
+    for s in range(1, 700):
+        for n in range(s, s * 4 // 3 + 1):
+            common = ceil(75 * (s + n), 175)
+            if common > s:
+                continue
+            lists = [op10_jaccard.prefix_length(k) + op10_jaccard.extra_length(k) for k in (s, n)]
+            shared = min(lists[0] - (s - common), lists[1] - (n - common))
+            assert shared >= 1 + op10_jaccard.extra_length(n) >= 1 + op10_jaccard.extra_length(s)
+            assert op10_jaccard._need(s, n) == common
+
+
 def test_jaccard_finds_what_no_bucket_tells(spark, monkeypatch):
     """Near copies that do not all link, in blocks of few rows, against a comparison of all pairs."""
     rng = np.random.default_rng(8)
@@ -381,8 +395,9 @@ def test_jaccard_finds_what_no_bucket_tells(spark, monkeypatch):
     texts += [" ".join(f"y{i}_{k}" for k in range(int(rng.integers(3, 40)))) + " " + " ".join(base[20:40]) for i in range(30)]
     monkeypatch.setattr(op10_jaccard.qualifying, "__defaults__", (16,))
     monkeypatch.setattr(op10_jaccard.partnered, "__defaults__", (16,))
-    # buckets that are never shared leave all links to the matrix
-    monkeypatch.setattr(op10_jaccard, "_SEEDS", op10_jaccard._SEEDS[:2])
+    # the links that buckets tell are taken away, so the matrix has to find all
+    links, calls = op10_jaccard._links, []
+    monkeypatch.setattr(op10_jaccard, "_links", lambda found: calls.append(1) or (links(found).limit(0) if len(calls) == 1 else links(found)))
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(words, texts)]
     label = list(range(len(sets)))
     for a in range(len(sets)):
