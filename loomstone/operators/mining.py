@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.config import CONFIG, STOP_WORDS
 from loomstone.functions.text import article_root, category_of_last, contains_answer, title_slug, tokens
-from loomstone.operators.scoring import question_scores
+from loomstone.operators.scoring import question_scores, with_questions
 
 
 def hard_negatives(scores: DataFrame, tiles: DataFrame, qa: DataFrame, n: int = CONFIG.n_hard_negatives, judged: DataFrame | None = None, leak_filter: bool = True) -> DataFrame:
@@ -25,6 +26,21 @@ def hard_negatives(scores: DataFrame, tiles: DataFrame, qa: DataFrame, n: int =
     return x.withColumn("nth", F.row_number().over(order) - 1).filter(F.col("nth") < n).select("unit", "pos", "nth")
 
 
+def asked_negatives(asked: DataFrame, n: int = CONFIG.n_hard_negatives, judged: DataFrame | None = None, leak_filter: bool = True, score: Callable[[DataFrame], DataFrame] = question_scores) -> DataFrame:
+    """As hard_negatives, of asked(unit, pos, text, question, answer, positive[, relevant]): which tiles may be negatives is told before they are scored, so their texts are read once."""
+    fit = F.col("pos") != F.col("positive")
+    if leak_filter:
+        fit &= ~F.coalesce(contains_answer(F.col("answer"), F.col("text"), trim=False), F.lit(False))
+    x = asked
+    if judged is not None:
+        x = x.join(judged.select("unit", "pos", "relevant"), ["unit", "pos"], "left")
+    if "relevant" in x.columns:
+        fit &= ~F.coalesce("relevant", F.lit(False))
+    s = score(with_questions(x.withColumn("fit", fit), "fit")).filter("fit")
+    order = Window.partitionBy("unit").orderBy(F.col("score").desc(), "pos")
+    return s.withColumn("nth", F.row_number().over(order) - 1).filter(F.col("nth") < n).select("unit", "pos", "nth")
+
+
 def contrastive(negatives: DataFrame, qa: DataFrame) -> DataFrame:
     """(unit, question, answer, positive, negatives array): questions without negatives keep an empty list."""
     lists = negatives.groupBy("unit").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "pos"))), lambda s: s["pos"]).alias("negatives"))

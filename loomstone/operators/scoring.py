@@ -9,24 +9,25 @@ from loomstone.config import CONFIG
 from loomstone.functions.text import content_tokens, tokens
 
 
-def with_questions(asked: DataFrame) -> DataFrame:
-    """(unit, pos, text) of asked(unit, pos, text, question, positive), each question as the row of pos -1 of its unit; one pass, no join."""
-    own = F.struct("pos", "text")
-    question = F.struct(F.lit(-1).alias("pos"), F.col("question").alias("text"))
+def with_questions(asked: DataFrame, *carry: str) -> DataFrame:
+    """(unit, pos, text, carry) of asked(unit, pos, text, question, positive, carry), each question as the row of pos -1 of its unit; one pass, no join."""
+    own = F.struct("pos", "text", *carry)
+    question = F.struct(F.lit(-1).alias("pos"), F.col("question").alias("text"), *carry)
     rows = F.when(F.col("pos") == F.col("positive"), F.array(own, question)).otherwise(F.array(own))
-    return asked.select("unit", F.explode(rows).alias("r")).select("unit", "r.pos", "r.text")
+    return asked.select("unit", F.explode(rows).alias("r")).select("unit", "r.*")
 
 
 def _against_question(texts: DataFrame, stop: bool, fit_question: bool, plain: bool) -> DataFrame:
-    """(unit, pos, score) of texts(unit, pos, text), of which pos -1 is the unit's question.
+    """(unit, pos, score) of texts(unit, pos, text), of which pos -1 is the unit's question; further columns of texts come along.
 
     The rows are dealt by unit once; counts, document frequencies, norms and products are aggregates and windows within
     a unit, so nothing is joined and no text is read twice."""
     t = content_tokens(F.col("text")) if stop else tokens(F.col("text"))
     unit, term = Window.partitionBy("unit"), Window.partitionBy("unit", "term")
     tile = (F.col("pos") >= 0).cast("int")
-    x = texts.repartition("unit").withColumn("n", F.sum(tile).over(unit)).select("unit", "pos", "n", F.explode_outer(t).alias("term"))
-    x = x.groupBy("unit", "pos", "term").agg(F.first("n").alias("n"), F.count("term").alias("tf"))
+    carry = [c for c in texts.columns if c not in ("unit", "pos", "text")]
+    x = texts.repartition("unit").withColumn("n", F.sum(tile).over(unit)).select("unit", "pos", "n", *carry, F.explode_outer(t).alias("term"))
+    x = x.groupBy("unit", "pos", "term").agg(F.first("n").alias("n"), F.count("term").alias("tf"), *[F.first(c).alias(c) for c in carry])
     x = x.withColumn("qf", F.max(F.when(F.col("pos") < 0, F.col("tf")).otherwise(0)).over(term))
     if plain:
         x = x.withColumn("idf", F.lit(1.0))
@@ -34,11 +35,11 @@ def _against_question(texts: DataFrame, stop: bool, fit_question: bool, plain: b
         n, df = (F.col("n") + 1, F.count(F.lit(1)).over(term)) if fit_question else (F.col("n"), F.sum(tile).over(term))
         x = x.withColumn("df", df).withColumn("idf", F.when(F.col("df") > 0, F.log((1 + n) / (1 + F.col("df"))) + 1).otherwise(0.0))
     w, q = F.col("tf") * F.col("idf"), F.col("qf") * F.col("idf")
-    x = x.groupBy("unit", "pos").agg(F.sum(w * w).alias("own"), F.sum(w * q).alias("dot"))
+    x = x.groupBy("unit", "pos").agg(F.sum(w * w).alias("own"), F.sum(w * q).alias("dot"), *[F.first(c).alias(c) for c in carry])
     # the question's own product with itself is the square of its length
     x = x.withColumn("asked", F.max(F.when(F.col("pos") < 0, F.col("dot"))).over(unit)).filter("pos >= 0 AND asked IS NOT NULL")
     score = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("own") * F.sqrt("asked")), F.lit(0.0))
-    return x.select("unit", "pos", F.round(score, 6).alias("score"))
+    return x.select("unit", "pos", F.round(score, 6).alias("score"), *carry)
 
 
 def _both(tiles: DataFrame, questions: DataFrame) -> DataFrame:

@@ -454,7 +454,7 @@ def _(spark, d):
 @query("p14_resolvable")
 def _(spark, d):
     a = asked_tiles(tiles(spark, d))
-    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(scoring.with_questions(a)), a, questions(a)), questions(a))
+    x = mining.contrastive(mining.asked_negatives(a, score=scoring.count_cosine), questions(a))
     return mining.resolvable(x, tiles(spark, d).filter("pos % 7 != 3")).select("unit", F.size("negatives").alias("n"))
 
 
@@ -519,14 +519,14 @@ def _(spark, d):
 @query("w13_positive_indices")
 def _(spark, d):
     a = asked_tiles(tiles(spark, d))
-    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(scoring.with_questions(a)), a, questions(a)), questions(a))
+    x = mining.contrastive(mining.asked_negatives(a, score=scoring.count_cosine), questions(a))
     return mining.batch_offsets(mining.uniform_negatives(x, 2), 4)
 
 
 @query("a13_dataset_volumes")
 def _(spark, d):
     a = asked_tiles(tiles(spark, d))
-    n = mining.hard_negatives(scores(a), a, questions(a))
+    n = mining.asked_negatives(a)
     return mining.contrastive(n, questions(a)).groupBy(F.size("negatives").alias("n_negatives")).agg(F.count(F.lit(1)).alias("examples"))
 
 
@@ -538,14 +538,15 @@ def _(spark, d):
 @query("g17_hard_negatives")
 def _(spark, d):
     a = asked_tiles(tiles(spark, d))
-    judged = a.join(table(spark, d, "labels").select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit"), (F.col("quality") == 1).alias("good")), "unit").select("unit", "pos", (F.col("good") & (F.col("pos") % 2 == 1)).alias("relevant"))
-    return mining.hard_negatives(scores(a), a, questions(a), judged=judged)
+    good = table(spark, d, "labels").filter("quality = 1").select(F.concat(F.lit("d"), F.col("doc_id")).alias("unit")).distinct()
+    judged = a.join(good.withColumn("good", F.lit(True)), "unit", "left").withColumn("relevant", F.coalesce("good", F.lit(False)) & (F.col("pos") % 2 == 1))
+    return mining.asked_negatives(judged)
 
 
 @query("g18_negatives_unfiltered")
 def _(spark, d):
     a = asked_tiles(tiles(spark, d))
-    return mining.hard_negatives(scores(a, True), a, questions(a), leak_filter=False)
+    return mining.asked_negatives(a, leak_filter=False, score=lambda t: scoring.question_scores(t, fit_question=True))
 
 
 @query("g24_evidence")
@@ -751,7 +752,7 @@ def _(spark, d):
 def _(spark, d):
     path = stores.shared_folder(spark)
     a = asked_tiles(tiles(spark, d))
-    x = mining.contrastive(mining.hard_negatives(scoring.count_cosine(scoring.with_questions(a)), a, questions(a)), questions(a))
+    x = mining.contrastive(mining.asked_negatives(a, score=scoring.count_cosine), questions(a))
     tile = graph.tile_id
     rows = x.select(F.col("unit").alias("qa_id"), F.lit("u").alias("page_url"), F.col("unit").alias("page_slug"), "question", "answer", tile(F.col("positive")).alias("positive_tile_id"), F.transform("negatives", tile).alias("hard_negative_tile_ids"))
     stores.save_jsonl(rows, path)
