@@ -43,13 +43,24 @@ def read_url_list(spark: SparkSession, path: str, limit: int | None = None) -> D
     return df if limit is None else df.limit(limit)
 
 
+_PIN = "struct<revid:bigint,pinned_url:string,pinned_at:string>"
+
+
+def save_snapshot(pins: DataFrame, path: str) -> None:
+    """pins(url, revid, pinned_url, pinned_at) as a folder of lines, each a JSON object from an address to its pin. Pins are neither gathered nor merged, so an address may stand in several lines; one without address stands under ''."""
+    pin = F.struct("revid", "pinned_url", "pinned_at")
+    pins.select(F.to_json(F.create_map(F.coalesce("url", F.lit("")), pin)).alias("value")).write.text(path)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """(url, revid, pinned_url, pinned_at) of a JSON object from address to pinned revision; a missing file has none."""
-    pin = "struct<revid:bigint,pinned_url:string,pinned_at:string>"
+    """(url, revid, pinned_url, pinned_at) of a JSON object from address to pinned revision: a file is one object, a folder holds one a line; a missing path has none."""
     if not _exists(spark, path):
         return spark.createDataFrame([], "url string, revid long, pinned_url string, pinned_at string")
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{pin}>", {"mode": "FAILFAST"}).alias("m"))
-    return text.select(F.explode("m").alias("url", "p")).select("url", "p.revid", "p.pinned_url", "p.pinned_at")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    lines = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    text = spark.read.text(path, wholetext=not lines).select(F.from_json("value", f"map<string,{_PIN}>", {"mode": "FAILFAST"}).alias("m"))
+    url = F.when((F.col("key") != "") | F.col("p.pinned_url").isNotNull(), F.col("key"))
+    return text.select(F.explode("m").alias("key", "p")).select(url.alias("url"), "p.revid", "p.pinned_url", "p.pinned_at")
 
 
 def tile_image_path(slug, tile_id, folder: str = "images"):

@@ -247,3 +247,21 @@ def test_links_in_any_form(spark):
         (1, 0, "https://site.org/a", "One"), (1, 1, "https://site.org/p/q/b?x=1&y=2", "Two & more"), (1, 2, "https://site.org/p/c", "Three"),
         (1, 7, "https://other.org/d", "Four lines"), (1, 9, "https://else.org/", "Five"), (2, 0, "https://site.org/r/s", "S"),
     ]
+
+
+def on_pages(spark, tmp_path, name, pages):
+    """(rows of a query, rows of its SQL) over other pages."""
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    return rows(queries.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(c.execute(SQL[name]).fetchdf())
+
+
+def test_snapshot_of_repeated_addresses(spark, tmp_path):
+    from loomstone.sources.stores import read_snapshot
+
+    pages = spark.createDataFrame([(1, "https://a.org/x", ""), (2, "https://a.org/x", ""), (3, "", ""), (4, None, "")], "page_id long, url string, html string")
+    got, want = on_pages(spark, tmp_path, "s11_snapshot", pages)
+    assert got == want and len(got) == 4
+    (tmp_path / "snap.json").write_text('{\n "u": {"revid": 3,\n "pinned_url": "p", "pinned_at": "t"},\n "v": {"revid": 4, "pinned_url": "q", "pinned_at": "t"}\n}')
+    assert sorted(tuple(r) for r in read_snapshot(spark, str(tmp_path / "snap.json")).collect()) == [("u", 3, "p", "t"), ("v", 4, "q", "t")]
