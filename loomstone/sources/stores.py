@@ -171,8 +171,9 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pinned(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """urls(url) with the address to read: the pinned one where there is one."""
-    return urls.join(snapshot.select("url", "pinned_url"), "url", "left").withColumn("read_url", F.coalesce("pinned_url", "url"))
+    """urls(url) with the address to read: the pinned one where there is one; of several pins of an address the first by name, so each row comes out once."""
+    pins = snapshot.groupBy("url").agg(F.min("pinned_url").alias("pinned_url"))
+    return urls.join(pins, "url", "left").withColumn("read_url", F.coalesce("pinned_url", "url"))
 
 
 def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -265,3 +265,9 @@ def test_snapshot_of_repeated_addresses(spark, tmp_path):
     assert got == want and len(got) == 4
     (tmp_path / "snap.json").write_text('{\n "u": {"revid": 3,\n "pinned_url": "p", "pinned_at": "t"},\n "v": {"revid": 4, "pinned_url": "q", "pinned_at": "t"}\n}')
     assert sorted(tuple(r) for r in read_snapshot(spark, str(tmp_path / "snap.json")).collect()) == [("u", 3, "p", "t"), ("v", 4, "q", "t")]
+
+
+def test_pins_of_repeated_addresses(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://a.org/x", ""), (2, "https://a.org/x", ""), (3, "http://b.org", ""), (4, None, "")], "page_id long, url string, html string")
+    got, want = on_pages(spark, tmp_path, "k7_pin_if_absent", pages)
+    assert got == want and len(got) == 4
