@@ -271,3 +271,10 @@ def test_pins_of_repeated_addresses(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://a.org/x", ""), (2, "https://a.org/x", ""), (3, "http://b.org", ""), (4, None, "")], "page_id long, url string, html string")
     got, want = on_pages(spark, tmp_path, "k7_pin_if_absent", pages)
     assert got == want and len(got) == 4
+
+
+def test_references_without_semicolon(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://a.org/x", "<h1>token = &quot</h1><p>a &lt b &lt; &ltc &amp d &amp; &amp;lt; &quot;</p><p>x &#x27</p>"), (2, "https://a.org/y", None)], "page_id long, url string, html string")
+    got, want = on_pages(spark, tmp_path, "s1_parsed_elements", pages)
+    assert got == want and len(got) == 3
+    assert [r.text for r in elements.parsed_elements(pages).orderBy("seq").collect()][0] == 'token = "'
