@@ -278,3 +278,27 @@ def test_references_without_semicolon(spark, tmp_path):
     got, want = on_pages(spark, tmp_path, "s1_parsed_elements", pages)
     assert got == want and len(got) == 3
     assert [r.text for r in elements.parsed_elements(pages).orderBy("seq").collect()][0] == 'token = "'
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_row_a_term(spark, monkeypatch):
+    t = spark.createDataFrame([(f"u{i // 3}", i % 3, s) for i, s in enumerate(["red fox runs", "red dog", "fox dog runs", "red fox", "", "fox red fox"])], "unit string, pos int, text string")
+    q = spark.createDataFrame([("u0", "fox"), ("u1", "red fox")], "unit string, text string")
+    for x in (scoring.question_scores(t, q), scoring.count_cosine(t, q), scoring.similar_pairs(t, 0.1)):
+        assert "explode" not in plan(x) and "Join" not in plan(x)
+    got = rows(scoring.similar_pairs(t, 0.1).toPandas())
+    monkeypatch.setattr(scoring, "MEETINGS", 1)
+    assert rows(scoring.similar_pairs(t, 0.1).toPandas()) == got and len(got) == 4
+
+
+def test_units_come_whole():
+    import pyarrow as pa
+
+    from loomstone.operators.whole import _whole
+
+    b = [pa.record_batch({"unit": pa.array(u, "string"), "pos": list(range(len(u)))}) for u in (["a", "a", "b"], ["b"], ["b", "c", None], [None])]
+    got = [x["unit"].to_pylist() for x in _whole(iter(b), 1)]
+    assert sum(got, []) == ["a", "a", "b", "b", "b", "c", None, None] and len(got) == 3
