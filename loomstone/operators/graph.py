@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.config import CONFIG
 from loomstone.functions.text import heading_level
 from loomstone.operators.scoring import similar_pairs
+from loomstone.operators.whole import map_units, unit_codes
 
 EDGE = ("unit", "src", "dst", "relation", "direction", "similarity", "anchor_text")
 
@@ -83,18 +85,21 @@ def link_edges(t: DataFrame, links: DataFrame, most: int = CONFIG.max_linked_til
 
 
 def capped_neighbours(pairs: DataFrame, most: int = CONFIG.max_semantic_neighbours) -> DataFrame:
-    """Pairs taken greedily by similarity while both ends have fewer than `most`; pairs(unit, i, j, similarity) of one unit are one group."""
+    """Pairs taken greedily by similarity while both ends have fewer than `most`; pairs(unit, i, j, similarity) of one unit go to Python together, many units at a time."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[int, int] = {}
+    def run(t: pa.Table) -> pa.Table:
+        unit, i, j = unit_codes(t), t["i"].to_numpy(), t["j"].to_numpy()
+        order = np.lexsort((j, i, -t["similarity"].to_numpy(), unit))
+        degree: dict[tuple[int, int], int] = {}
         keep = []
-        for k, r in enumerate(p.sort_values(["similarity", "i", "j"], ascending=[False, True, True]).itertuples(index=False)):
-            if degree.get(r.i, 0) < most and degree.get(r.j, 0) < most:
-                degree[r.i], degree[r.j] = degree.get(r.i, 0) + 1, degree.get(r.j, 0) + 1
-                keep.append((r.unit, r.i, r.j, r.similarity))
-        return pd.DataFrame(keep, columns=["unit", "i", "j", "similarity"])
-
-    return pairs.select("unit", "i", "j", "similarity").groupBy("unit").applyInPandas(run, "unit string, i int, j int, similarity double")
+        for k, u, a, b in zip(order.tolist(), unit[order].tolist(), i[order].tolist(), j[order].tolist()):
+            if degree.get((u, a), 0) < most and degree.get((u, b), 0) < most:
+                degree[u, a], degree[u, b] = degree.get((u, a), 0) + 1, degree.get((u, b), 0) + 1
+                keep.append(k)
+        return t.select(["unit", "i", "j", "similarity"]).take(pa.array(keep, "int64"))
+
+    pair = [F.col(c).cast("int").alias(c) for c in ("i", "j")]
+    return map_units(pairs.select("unit", *pair, "similarity"), run, "unit string, i int, j int, similarity double", "i", "j", "similarity")
 
 
 def tile_id(seq):

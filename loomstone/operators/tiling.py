@@ -1,4 +1,4 @@
-"""The tile packer: sequential by nature, so a pure function of one section of a page, run by applyInPandas.
+"""The tile packer: sequential by nature, so a pure function of one section of a page, run on column batches of whole units.
 
 Roles come first: a heading takes the group after it along, elements that overlap are one tile, low ones in a row are
 gathered, all else stands alone. Only the gathering of low ones and the numbering of slices walk over the groups.
@@ -11,12 +11,15 @@ import math
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from loomstone.config import CONFIG, HEADING_TAGS, Config
 from loomstone.operators.sectioning import split_sections
+from loomstone.operators.whole import map_units, pages_of
 
 NO_LINKS = "cast(array() as array<struct<href:string,anchor_text:string>>)"
 
@@ -144,11 +147,11 @@ def pack_page(items: list[dict], config: Config = CONFIG, size: tuple[float, flo
 def pruned(e: DataFrame, tolerance: float = CONFIG.containment_tolerance) -> DataFrame:
     """Elements of each unit without those nested in something kept: exact for any tolerance, since containment with one is not transitive. Only boxes go to Python."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        kept = prune(page.to_dict("records"), tolerance)
-        return pd.DataFrame({"unit": page["unit"].iloc[0], "seq": [k["seq"] for k in kept]})
+    def run(t: pa.Table) -> pa.Table:
+        kept = [(page[0]["unit"], k["seq"]) for page in pages_of(t) for k in prune(page, tolerance)]
+        return pa.table({"unit": pa.array([u for u, _ in kept], "string"), "seq": pa.array([k for _, k in kept], "int32")})
 
-    kept = e.select("unit", "seq", "x", "y", "w", "h", "depth").groupBy("unit").applyInPandas(run, "unit string, seq int")
+    kept = map_units(e.select("unit", "seq", "x", "y", "w", "h", "depth"), run, "unit string, seq int", "seq", "x", "y", "w", "h", "depth")
     return e.join(kept, ["unit", "seq"], "left_semi")
 
 
@@ -158,18 +161,21 @@ SCHEMA = "unit string, tile_seq int, tile_id string, x int, y int, width int, he
 def build_tiles(e: DataFrame, config: Config = CONFIG) -> DataFrame:
     """Tiles of each unit of elements(unit, seq, tag, x, y, w, h, depth, text[, links]).
 
-    A Python group is one unit; texts are clipped to previews before they leave the JVM, so it holds boxes and previews only."""
+    Units go to Python whole and many at a time; texts are clipped to previews before they leave the JVM, so a batch holds boxes and previews only."""
     links = F.col("links") if "links" in e.columns else F.expr(NO_LINKS).alias("links")
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = pack_page(page.sort_values("seq").to_dict("records"), config)
-        out = pd.DataFrame(rows, columns=["x", "y", "width", "height", "dom_tag", "text_preview", "source_ids", "links"])
-        out.insert(0, "tile_id", [f"tile_{i:04d}" for i in range(len(out))])
-        out.insert(0, "tile_seq", range(len(out)))
-        out.insert(0, "unit", page["unit"].iloc[0])
-        return out
+    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
-    return e.select("unit", "seq", "tag", "x", "y", "w", "h", "depth", F.substring("text", 1, config.preview_chars).alias("text"), links).groupBy("unit").applyInPandas(run, SCHEMA)
+    def run(t: pa.Table) -> pa.Table:
+        rows = []
+        for page in pages_of(t):
+            page.sort(key=lambda r: r["seq"])
+            rows += [{"unit": page[0]["unit"], "tile_seq": i, "tile_id": f"tile_{i:04d}", **r} for i, r in enumerate(pack_page(page, config))]
+        return pa.Table.from_pylist(rows, schema)
+
+    box = ("seq", "tag", "x", "y", "w", "h", "depth")
+    x = e.select("unit", *box, F.substring("text", 1, config.preview_chars).alias("text"), links)
+    return map_units(x, run, SCHEMA, *box, "text", "links")
 
 
 def build_section_tiles(e: DataFrame, config: Config = CONFIG) -> DataFrame:

@@ -302,3 +302,12 @@ def test_units_come_whole():
     b = [pa.record_batch({"unit": pa.array(u, "string"), "pos": list(range(len(u)))}) for u in (["a", "a", "b"], ["b"], ["b", "c", None], [None])]
     got = [x["unit"].to_pylist() for x in _whole(iter(b), 1)]
     assert sum(got, []) == ["a", "a", "b", "b", "b", "c", None, None] and len(got) == 3
+
+
+def test_no_python_group_a_unit(spark):
+    e = spark.createDataFrame([(f"u{k}", i, "p", 0, 40 * i, 90, 30, 3, "t") for k in range(3) for i in range(4)], E)
+    s = e.selectExpr("unit", "seq AS pos", "cast(0.1 * seq AS double) AS score")
+    p = e.selectExpr("unit", "seq AS i", "seq + 1 AS j", "0.5D AS similarity")
+    for x, n in ((tiling.build_tiles(e), 6), (tiling.pruned(e), 12), (controller.controller_log(s), 18), (controller.controller_log(s, controller.reading_neighbours(s)), 18), (graph.capped_neighbours(p), 12)):
+        assert "FlatMap" not in plan(x) and x.count() == n, (x.count(), n)
+    assert rows(controller.controller_log(s).toPandas()) == rows(controller.controller_log(s, controller.reading_neighbours(s)).toPandas())
