@@ -311,3 +311,8 @@ def test_no_python_group_a_unit(spark):
     for x, n in ((tiling.build_tiles(e), 6), (tiling.pruned(e), 12), (controller.controller_log(s), 18), (controller.controller_log(s, controller.reading_neighbours(s)), 18), (graph.capped_neighbours(p), 12)):
         assert "FlatMap" not in plan(x) and x.count() == n, (x.count(), n)
     assert rows(controller.controller_log(s).toPandas()) == rows(controller.controller_log(s, controller.reading_neighbours(s)).toPandas())
+
+
+def test_ablation_joins_no_texts(spark):
+    p = plan(queries.QUERIES["g21_ablation"](spark, D))
+    assert p.count("SortMergeJoin") + p.count("BroadcastHashJoin") <= 1  # the bands of a page and their text
