@@ -316,3 +316,14 @@ def test_no_python_group_a_unit(spark):
 def test_ablation_joins_no_texts(spark):
     p = plan(queries.QUERIES["g21_ablation"](spark, D))
     assert p.count("SortMergeJoin") + p.count("BroadcastHashJoin") <= 1  # the bands of a page and their text
+
+
+def test_questions_stand_beside_their_tiles(spark):
+    """Rows stay as they are dealt and sorted: no row a question, so each text is sorted once."""
+    for name in ("g14_static_top_k", "g17_hard_negatives", "g18_negatives_unfiltered", "j21_coverage", "a13_dataset_volumes", "p14_resolvable", "w13_positive_indices"):
+        assert "Generate explode(CASE" not in plan(queries.QUERIES[name](spark, D)), name
+    asked = spark.createDataFrame([("u", 0, "red fox", "fox runs"), ("u", 1, "fox runs home", "fox runs"), ("v", 0, "dog", None), ("w", 0, "", ""), ("x", 0, "cat", "cat nap"), ("x", 1, "the cat", "cat nap")], "unit string, pos int, text string, question string").withColumn("positive", F.when(F.col("unit") == "u", 1).otherwise(0))
+    q = asked.filter("pos = positive").selectExpr("unit", "question AS text")
+    for score in (scoring.question_scores, scoring.count_cosine, lambda *t: scoring.question_scores(*t, fit_question=True)):
+        got = rows(score(scoring.with_questions(asked)).toPandas())
+        assert got == rows(score(asked, q).toPandas()) and len(got) == 6
