@@ -327,3 +327,13 @@ def test_questions_stand_beside_their_tiles(spark):
     for score in (scoring.question_scores, scoring.count_cosine, lambda *t: scoring.question_scores(*t, fit_question=True)):
         got = rows(score(scoring.with_questions(asked)).toPandas())
         assert got == rows(score(asked, q).toPandas()) and len(got) == 6
+
+
+def test_evidence_brings_its_texts_along(spark):
+    p = plan(queries.QUERIES["g24_evidence"](spark, D))
+    assert "Join" not in p and p.count("FileScan") == 2
+    s = spark.createDataFrame([("u", 2, 0.9, "c" * 300), ("u", 0, 0.9, "a"), ("u", 1, 0.1, "b"), ("v", 0, 0.0, "d")], "unit string, pos int, score double, text string")
+    top = controller.static_top_k(s, 2)
+    want = {"u": "a\n\n" + "c" * 200, "v": "d"}
+    assert {r.unit: r.evidence for r in controller.evidence(top).collect()} == want
+    assert {r.unit: r.evidence for r in controller.evidence(top.drop("text"), s).collect()} == want
