@@ -337,3 +337,11 @@ def test_evidence_brings_its_texts_along(spark):
     want = {"u": "a\n\n" + "c" * 200, "v": "d"}
     assert {r.unit: r.evidence for r in controller.evidence(top).collect()} == want
     assert {r.unit: r.evidence for r in controller.evidence(top.drop("text"), s).collect()} == want
+
+
+def test_states_are_counted_in_one_pass(spark):
+    p = plan(queries.QUERIES["p17_state_counts"](spark, D))
+    assert "Join" not in p and p.count("FileScan") == 2
+    s = spark.createDataFrame([("u", "opened"), ("u", "opened"), ("u", "pruned"), ("v", "inactive"), (None, "active")], "unit string, state string")
+    got = {(r.unit, r.state): r.n for r in controller.state_counts(s).collect()}
+    assert len(got) == 12 and {k: n for k, n in got.items() if n} == {("u", "opened"): 2, ("u", "pruned"): 1, ("v", "inactive"): 1, (None, "active"): 1}
