@@ -81,11 +81,14 @@ def judged_relevant(candidates: DataFrame, ask: Provider) -> DataFrame:
     return replies.select("unit", "pos", F.coalesce(F.startswith(F.upper(F.trim("reply")), F.lit("OUI")), F.lit(False)).alias("relevant"))
 
 
-def read_evidence(opened: DataFrame, tiles: DataFrame, ask: Provider) -> DataFrame:
-    """(unit, evidence): a model's reading of each opened tile, or its text where there is none."""
-    x = opened.select("unit", "pos").join(tiles.select("unit", "pos", "text"), ["unit", "pos"])
-    replies, _ = asked(x.withColumn("prompt", F.col("text")), ask)
-    return controller.evidence(opened, tiles, replies.select("unit", "pos", F.col("reply").alias("response")))
+def read_evidence(opened: DataFrame, tiles: DataFrame | None, ask: Provider) -> DataFrame:
+    """(unit, evidence): a model's reading of each opened tile, or its text where there is none. Without tiles, opened(unit, pos, text) has the texts.
+
+    A tile goes to its reply with its preview, and the whole text only to the model."""
+    x = opened if tiles is None else opened.select("unit", "pos").join(tiles.select("unit", "pos", "text"), ["unit", "pos"])
+    x = x.select("unit", "pos", F.substring("text", 1, CONFIG.preview_chars).alias("preview"), F.col("text").alias("prompt"))
+    replies, _ = asked(x, ask)
+    return controller.evidence(replies.select("unit", "pos", F.col("preview").alias("text"), F.col("reply").alias("response")))
 
 
 def embedded(texts: DataFrame, vectors: DataFrame, key: str = "key") -> DataFrame:

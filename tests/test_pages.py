@@ -345,3 +345,13 @@ def test_states_are_counted_in_one_pass(spark):
     s = spark.createDataFrame([("u", "opened"), ("u", "opened"), ("u", "pruned"), ("v", "inactive"), (None, "active")], "unit string, state string")
     got = {(r.unit, r.state): r.n for r in controller.state_counts(s).collect()}
     assert len(got) == 12 and {k: n for k, n in got.items() if n} == {("u", "opened"): 2, ("u", "pruned"): 1, ("v", "inactive"): 1, (None, "active"): 1}
+
+
+def test_readings_move_whole_texts_to_the_model_only(spark):
+    p = plan(queries.QUERIES["u3_model_evidence"](spark, D))
+    assert p.count("Join [") == 1  # tiles and their replies
+    t = spark.createDataFrame([("u", 1, "long " * 60), ("u", 0, "short"), ("v", 0, "long " * 60)], "unit string, pos int, text string")
+    ask = lambda r: r.filter(F.length("prompt") > 100).select("key", F.concat(F.lit("read "), F.length("prompt").cast("string")).alias("reply"))
+    want = {"u": "short\n\nread 300", "v": "read 300"}
+    assert {r.unit: r.evidence for r in models.read_evidence(t, None, ask).collect()} == want
+    assert {r.unit: r.evidence for r in models.read_evidence(t.drop("text"), t, ask).collect()} == want
