@@ -355,3 +355,10 @@ def test_readings_move_whole_texts_to_the_model_only(spark):
     want = {"u": "short\n\nread 300", "v": "read 300"}
     assert {r.unit: r.evidence for r in models.read_evidence(t, None, ask).collect()} == want
     assert {r.unit: r.evidence for r in models.read_evidence(t.drop("text"), t, ask).collect()} == want
+
+
+def test_ranks_of_positives_read_the_tiles_once(spark):
+    p = plan(queries.QUERIES["w8_rank_metrics"](spark, D))
+    assert "Join" not in p and p.count("FileScan") == 2
+    a = spark.createDataFrame([("u", 0, "red fox", "red", 0), ("u", 1, "dog", "red", 0), ("v", 0, "red", "dog runs", 1), ("v", 1, "dog", "dog runs", 1)], "unit string, pos int, text string, question string, positive int")
+    assert sorted((r.unit, r.pos, r["rank"]) for r in queries.positive_ranks(a).collect()) == [("u", 0, 0), ("v", 1, 0)]
